@@ -1,6 +1,480 @@
-"""Query catalogue of the change-detection operators."""
+"""Query catalogue of the change-detection operators, each with an independent SQL oracle where SQL can say it."""
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..constants import GAZETTEER, MODES, NEAR_FEATURES, NEAR_WORDS, REWRITES, SCL_DEGRADED, SCL_INVALID, SETTINGS, SIGNATURE_WEIGHTS
+from ..functions import indices as ix
+from ..operators import detect, interpret, neighbourhood, places, scenes, signatures
+from ..streaming.epochs import fold_events
+from . import pseudo
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+TODAY = dt.date(2026, 6, 30)
+KEYS = neighbourhood.KEYS
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(c, places_=6):
+    return F.round(c, places_)
+
+
+# ---- SQL text of the detection chain --------------------------------------------------------------------------------------------------------
+
+S = SETTINGS
+_ND = {"NDVI": ("nir", "red"), "NDBI": ("swir16", "nir"), "MNDWI": ("green", "swir16"), "NBR": ("nir", "swir16")}
+
+
+def _nd(name: str, suffix: str = "") -> str:
+    a, b = (x + suffix for x in _ND[name])
+    return f"(CASE WHEN abs({a} + {b}) > 1e-6 THEN greatest((-1)::DOUBLE, least(1::DOUBLE, ({a} - {b}) / ({a} + {b}))) ELSE 0::DOUBLE END)"
+
+
+_WET_B, _WET_A = (f"({_nd('MNDWI', s)} > 0.05)" for s in ("_b", "_a"))
+_GATES = {
+    "urban_expansion": f"{_nd('NDBI', '_a')} > (-0.08) AND {_nd('NDVI', '_a')} < 0.30 AND NOT {_WET_B} AND NOT {_WET_A}",
+    "vegetation_loss": f"{_WET_B} = {_WET_A}",
+    "vegetation_gain": f"{_WET_B} = {_WET_A}",
+    "water_gain": f"{_WET_A} AND NOT {_WET_B}",
+    "water_loss": f"{_WET_B} AND NOT {_WET_A}",
+    "burn_scar": f"{_nd('NDVI', '_b')} > 0.20 AND NOT {_WET_B} AND NOT {_WET_A}",
+}
+
+
+def _scored(mode: str) -> str:
+    name, up = MODES[mode][1], MODES[mode][2] == "increase"
+    hit = f"z >= {S.z_threshold} AND delta >= {S.min_delta}" if up else f"z <= -{S.z_threshold} AND delta <= -{S.min_delta}"
+    bands = ", ".join(f"{t}.{b} AS {b}_{s}" for t, s in (("x", "b"), ("y", "a")) for b in ("nir", "red", "swir16", "green"))
+    return f"""{pseudo.SQL},
+ends AS (SELECT min(k) AS k0, max(k) AS k1 FROM px),
+both_ AS (SELECT x.r, x.c, x.valid AND y.valid AS valid, {bands} FROM px x JOIN px y ON x.r = y.r AND x.c = y.c, ends WHERE x.k = k0 AND y.k = k1),
+core AS (SELECT m.r, m.c FROM both_ m JOIN both_ n ON abs(m.r - n.r) <= 1 AND abs(m.c - n.c) <= 1 AND n.valid GROUP BY ALL HAVING count(*) = 9),
+raw AS (SELECT both_.*, {_nd(name, "_a")} - {_nd(name, "_b")} AS raw FROM both_ JOIN core USING (r, c)),
+mv AS (SELECT raw.*, raw - s AS delta, s AS shift FROM raw, (SELECT median(raw) AS s FROM raw)),
+sc AS (SELECT mv.*, delta / sigma AS z FROM mv, (SELECT greatest(1e-4::DOUBLE, 1.4826::DOUBLE * median(abs(delta - m))) AS sigma FROM mv, (SELECT median(delta) AS m FROM mv))),
+cd AS (SELECT *, {hit} AS raw_hit, {_GATES[mode]} AS allowed FROM sc)"""
+
+
+def _labelled(mode: str) -> str:
+    return f"""{_scored(mode)},
+hits AS (SELECT r, c FROM cd WHERE raw_hit AND allowed),
+nb AS (SELECT m.r, m.c FROM hits m JOIN hits n ON abs(m.r - n.r) <= 1 AND abs(m.c - n.c) <= 1 AND (m.r <> n.r OR m.c <> n.c) GROUP BY ALL HAVING count(*) >= 2),
+off AS (SELECT i.i, j.j FROM (VALUES (-1), (0), (1)) i(i), (VALUES (-1), (0), (1)) j(j)),
+dil AS (SELECT DISTINCT r + i AS r, c + j AS c FROM nb, off, hh WHERE r + i >= 0 AND c + j >= 0 AND r + i < h AND c + j < h),
+clo AS (SELECT m.r, m.c FROM dil m JOIN dil n ON abs(m.r - n.r) <= 1 AND abs(m.c - n.c) <= 1 GROUP BY ALL HAVING count(*) = 9),
+cl AS (SELECT clo.r, clo.c, (clo.r * h + clo.c)::BIGINT AS id FROM clo JOIN cd USING (r, c), hh WHERE allowed),
+adj AS (SELECT a.id AS a, b.id AS b FROM cl a JOIN cl b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
+walk AS (SELECT id AS a, id AS b FROM cl UNION SELECT walk.a, adj.b FROM walk JOIN adj ON adj.a = walk.b),
+roots AS (SELECT a AS id, min(b) AS label FROM walk GROUP BY a),
+lab AS (SELECT r, c, label FROM cl JOIN roots USING (id) WHERE label IN (SELECT label FROM roots GROUP BY label HAVING count(*) >= {S.min_unit}))"""
+
+
+def _with(ctes: str, select: str) -> str:
+    return f"WITH RECURSIVE {ctes} {select}"
+
+
+# ---- pixels ----------------------------------------------------------------------------------------------------------------------------------
+
+
+@query(_with(pseudo.SQL, "SELECT k, year, r, c, round(nir, 6) AS nir, round(red, 6) AS red, round(swir16, 6) AS swir16, round(green, 6) AS green, scl, valid FROM px"))
+def q_pixel_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pseudo.pixels(spark, sf_dir)
+    return px.select("k", "year", "r", "c", *(_r(F.col(b)).alias(b) for b in ("nir", "red", "swir16", "green")), "scl", "valid")
+
+
+@query(_with(pseudo.SQL, "SELECT k, r, c, " + ", ".join(f"round({_nd(n)}, 6) AS {n.lower()}" for n in _ND) + " FROM px"))
+def q_indices(spark, sf_dir):
+    return pseudo.pixels(spark, sf_dir).select("k", "r", "c", *(_r(ix.index(n)).alias(n.lower()) for n in _ND))
+
+
+@query(_with(pseudo.SQL, f"SELECT k, round(avg((scl NOT IN {SCL_INVALID} AND nir + red + swir16 + green <> 0)::INT), 6) AS valid_fraction, round(avg((scl IN {SCL_DEGRADED})::INT), 6) AS degraded_fraction, count(*) AS n FROM px GROUP BY k"))
+def q_scl_masks(spark, sf_dir):
+    px = pseudo.pixels(spark, sf_dir)
+    empty = (F.col("nir") == 0) & (F.col("red") == 0) & (F.col("swir16") == 0) & (F.col("green") == 0)
+    good = (~ix.invalid_class() & ~empty).cast("int")
+    return px.groupBy("k").agg(_r(F.avg(good)).alias("valid_fraction"), _r(F.avg(ix.degraded_class().cast("int"))).alias("degraded_fraction"), F.count("*").alias("n"))
+
+
+@query(_with(pseudo.SQL, """, dn AS (SELECT k, r, c, round(swir16 * 10000) + CASE WHEN k = 3 THEN 1000 ELSE 0 END AS dn FROM px),
+p AS (SELECT k, quantile_cont(dn, 0.01::DOUBLE) FILTER (dn > 0) AS p01, count(*) FILTER (dn > 0) AS n FROM dn GROUP BY k),
+o AS (SELECT k, p01, CASE WHEN n > 64 AND p01 >= 700 THEN 1000 ELSE 0 END AS pedestal FROM p)
+SELECT k, round(any_value(p01), 6) AS p01, any_value(pedestal) AS pedestal, round(avg(greatest(0::DOUBLE, least(1.6::DOUBLE, (dn - pedestal) * 0.0001::DOUBLE))), 6) AS reflectance FROM dn JOIN o USING (k) GROUP BY k"""))
+def q_reflectance_pedestal(spark, sf_dir):
+    dn = pseudo.pixels(spark, sf_dir).select("k", (F.round(F.col("swir16") * 10000) + F.when(F.col("k") == 3, 1000).otherwise(0)).alias("dn"))
+    p = dn.where("dn > 0").groupBy("k").agg(F.percentile("dn", 0.01).alias("p01"), F.count("*").alias("n"))
+    p = p.withColumn("pedestal", F.when((F.col("n") > 64) & (F.col("p01") >= 700), 1000).otherwise(0))
+    out = dn.join(p, "k").groupBy("k").agg(F.first("p01").alias("p01"), F.first("pedestal").alias("pedestal"), F.avg(ix.reflectance(F.col("dn"), F.col("pedestal"))).alias("reflectance"))
+    return out.select("k", _r("p01").alias("p01"), "pedestal", _r("reflectance").alias("reflectance"))
+
+
+@query(_with(_scored("urban_expansion"), "SELECT r, c FROM core"))
+def q_core_valid_erosion(spark, sf_dir):
+    return detect.core(detect.pair(pseudo.pixels(spark, sf_dir))).select("r", "c")
+
+
+@query(_with(_scored("urban_expansion"), "SELECT r, c, round(delta, 6) AS delta, round(z, 4) AS z FROM sc"))
+def q_robust_z(spark, sf_dir):
+    return detect.scored(detect.pair(pseudo.pixels(spark, sf_dir)), "urban_expansion").select("r", "c", _r("delta").alias("delta"), _r("z", 4).alias("z"))
+
+
+def _gate_query(mode: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = detect.candidates(pseudo.pixels(spark, sf_dir), mode).where("raw_hit")
+        return rows.select("r", "c", "allowed")
+
+    run.__name__ = f"q_gate_{mode}"
+    return query(_with(_scored(mode), "SELECT r, c, allowed FROM cd WHERE raw_hit"))(run)
+
+
+def _component_query(mode: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        marked = detect.candidates(pseudo.pixels(spark, sf_dir), mode)
+        return detect.labelled(marked, pseudo.frame(spark, sf_dir)).select("r", "c", "label")
+
+    run.__name__ = f"q_components_{mode}"
+    return query(_with(_labelled(mode), "SELECT r, c, label FROM lab"))(run)
+
+
+for _mode in MODES:
+    _gate_query(_mode)
+for _mode in ("urban_expansion", "vegetation_loss", "water_gain", "burn_scar"):
+    _component_query(_mode)
+
+
+@query(_with(_labelled("urban_expansion"), "SELECT r, c FROM nb"))
+def q_neighbour_filter(spark, sf_dir):
+    marked = detect.candidates(pseudo.pixels(spark, sf_dir), "urban_expansion")
+    return neighbourhood.neighbour_filter(marked.where("raw_hit AND allowed").select(*KEYS)).select("r", "c")
+
+
+@query(_with(_scored("urban_expansion"), """, m AS (SELECT r, c FROM core WHERE (r * 7 + c * 13) % 3 <> 0),
+off AS (SELECT i.i, j.j FROM (VALUES (-1), (0), (1)) i(i), (VALUES (-1), (0), (1)) j(j)),
+dil AS (SELECT DISTINCT r + i AS r, c + j AS c FROM m, off, hh WHERE r + i >= 0 AND c + j >= 0 AND r + i < h AND c + j < h)
+SELECT a.r, a.c FROM dil a JOIN dil b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY ALL HAVING count(*) = 9"""))
+def q_closing(spark, sf_dir):
+    frame = pseudo.frame(spark, sf_dir)
+    mask = detect.core(detect.pair(pseudo.pixels(spark, sf_dir))).where("(r * 7 + c * 13) % 3 <> 0")
+    return neighbourhood.close(mask, frame.height, frame.width).select("r", "c")
+
+
+_UP = _nd("NDBI")
+_PERSIST = f""", v AS (SELECT k, year, r, c, valid, {_UP} AS value FROM px),
+base AS (SELECT r, c, delta, shift, {_nd("NDBI", "_b")} AS base, {_nd("NDBI", "_a")} AS last FROM cd),
+pe AS (SELECT base.r, base.c, avg((value - base - shift * v.k / k1 >= greatest(abs(delta) * 0.5::DOUBLE, 0.05::DOUBLE))::INT) AS p FROM v JOIN base USING (r, c), ends WHERE v.k > 0 AND v.valid GROUP BY ALL)"""
+
+
+@query(_with(_labelled("urban_expansion"), f"""{_PERSIST}, cv AS (SELECT r, c, max((NOT valid)::INT) AS cloudy FROM px GROUP BY ALL),
+t AS (SELECT label, count(*) AS n, avg(delta) AS md, max(delta) AS pd, avg(coalesce(p, 0)) AS ps, avg(lab.r) AS cr, avg(lab.c) AS cc, min(lab.r) AS r0, max(lab.r) + 1 AS r1, min(lab.c) AS c0, max(lab.c) + 1 AS c1, avg(cloudy) AS cl
+  FROM lab JOIN cd USING (r, c) LEFT JOIN pe USING (r, c) JOIN cv USING (r, c) GROUP BY label),
+em AS (SELECT label, k, year, avg(value) AS m FROM v JOIN lab USING (r, c) GROUP BY ALL),
+ee AS (SELECT label, arg_min(m, k) AS m0, arg_max(m, k) AS m1 FROM em GROUP BY label),
+os AS (SELECT label, min(year) AS onset_year FROM em JOIN ee USING (label) WHERE k > 0 AND CASE WHEN m1 > m0 THEN m >= m0 + 0.5::DOUBLE * (m1 - m0) ELSE m <= m0 + 0.5::DOUBLE * (m1 - m0) END GROUP BY label)
+SELECT row_number() OVER (ORDER BY n DESC, label)::INT AS id, label, n AS pixel_count, round(md, 6) AS mean_delta, round(pd, 6) AS peak_delta, round(ps, 6) AS persistence, round(cr, 6) AS centre_r, round(cc, 6) AS centre_c, r0, r1, c0, c1, onset_year,
+  round(greatest(0.05::DOUBLE, least(0.98::DOUBLE, 0.50::DOUBLE + 0.20::DOUBLE * least(abs(md) / 0.30::DOUBLE, 1) + 0.18::DOUBLE * ps + 0.08::DOUBLE * least(n / 400.0::DOUBLE, 1) - CASE WHEN cl > 0.10 THEN 0.12::DOUBLE * cl ELSE 0 END)), 6) AS confidence
+FROM t LEFT JOIN os USING (label)"""))
+def q_cluster_attrs(spark, sf_dir):
+    out = detect.clusters(pseudo.pixels(spark, sf_dir), "urban_expansion", pseudo.frame(spark, sf_dir))
+    rounded = ("mean_delta", "peak_delta", "persistence", "centre_r", "centre_c", "confidence")
+    return out.select("id", "label", "pixel_count", "r0", "r1", "c0", "c1", "onset_year", *(_r(c).alias(c) for c in rounded))
+
+
+@query(_with(_labelled("urban_expansion"), f"""{_PERSIST}, hot AS (SELECT base.*, lab.label IS NOT NULL OR (SELECT count(*) FROM lab) = 0 AS hot FROM base LEFT JOIN lab USING (r, c)),
+sp AS (SELECT avg(base) AS h0, avg(last) AS h1 FROM hot WHERE hot),
+t AS (SELECT v.k, year, avg(value) AS im, avg(value) FILTER (hot) AS hm, avg((value - base - shift * v.k / k1 >= 0.10::DOUBLE)::INT) AS cf FROM v JOIN hot USING (r, c), ends WHERE valid GROUP BY ALL),
+u AS (SELECT t.*, CASE WHEN abs(h1 - h0) > 1e-6 AND hm IS NOT NULL THEN greatest(0, least(1, (hm - h0) / (h1 - h0))) ELSE 0 END AS p FROM t, sp)
+SELECT k, year, round(im, 6) AS index_mean, round(hm, 6) AS hotspot_mean, round(cf, 6) AS changed_fraction, CASE WHEN k = 0 THEN 'stable' WHEN p >= 0.75 THEN 'changed' WHEN p >= 0.30 THEN 'emerging' ELSE 'stable' END AS status FROM u"""))
+def q_timeline(spark, sf_dir):
+    out = detect.timeline(pseudo.pixels(spark, sf_dir), "urban_expansion", pseudo.frame(spark, sf_dir))
+    return out.select("k", "year", "status", *(_r(c).alias(c) for c in ("index_mean", "hotspot_mean", "changed_fraction")))
+
+
+@query(_with(_labelled("vegetation_loss"), """SELECT (SELECT count(*) FROM cd) AS core, (SELECT count(*) FROM cd WHERE raw_hit) AS raw_hits, (SELECT count(*) FROM hits) AS gated, (SELECT count(*) FROM lab) AS cleaned,
+  round(((SELECT count(*) FROM hits) - (SELECT count(*) FROM lab))::DOUBLE / (SELECT count(*) FROM hits), 6) AS noise_rejection"""))
+def q_quality_counts(spark, sf_dir):
+    out = detect.quality_counts(pseudo.pixels(spark, sf_dir), "vegetation_loss", pseudo.frame(spark, sf_dir))
+    return out.select("core", "raw_hits", "gated", "cleaned", _r("noise_rejection").alias("noise_rejection"))
+
+
+_EPOCHS = """, e AS (SELECT k, avg((valid AND r % 3 <= k % 3 AND k <> 2)::INT) AS valid_fraction FROM px GROUP BY k)"""
+
+
+def _epochs(spark, sf_dir):
+    good = F.col("valid") & (F.col("r") % 3 <= F.col("k") % 3) & (F.col("k") != 2)
+    return pseudo.pixels(spark, sf_dir).groupBy("aoi", "k").agg(F.avg(good.cast("int")).alias("valid_fraction"))
+
+
+@query(_with(pseudo.SQL + _EPOCHS, "SELECT k, round(valid_fraction, 6) AS valid_fraction FROM e WHERE CASE WHEN (SELECT count(*) FROM e WHERE valid_fraction >= 0.25) >= 2 THEN valid_fraction >= 0.25 ELSE k IN (SELECT k FROM e ORDER BY valid_fraction DESC, k LIMIT 2) END"))
+def q_usable_epochs(spark, sf_dir):
+    return detect.usable_epochs(_epochs(spark, sf_dir)).select("k", _r("valid_fraction").alias("valid_fraction"))
+
+
+@query(_with(pseudo.SQL, "SELECT DISTINCT k FROM px WHERE k < 3 OR k = (SELECT max(k) FROM px)"))
+def q_epoch_cap(spark, sf_dir):
+    return detect.cap_epochs(pseudo.pixels(spark, sf_dir).select("aoi", "k").distinct(), 4).select("k")
+
+
+@query(_with(pseudo.SQL, """, src AS (SELECT k, r, c, ord, CASE WHEN (r + c + ord) % 3 = 0 THEN 0 ELSE nir + ord END AS nir, CASE WHEN (r + c + ord) % 3 = 0 THEN 0 ELSE swir16 + ord END AS swir16 FROM px, (VALUES (0), (1), (2)) t(ord))
+SELECT k, r, c, round(coalesce(arg_min(nir, ord) FILTER (swir16 > 0), arg_min(nir, ord)), 6) AS nir, round(coalesce(arg_min(swir16, ord) FILTER (swir16 > 0), arg_min(swir16, ord)), 6) AS swir16 FROM src GROUP BY k, r, c"""))
+def q_mosaic_fill(spark, sf_dir):
+    px = pseudo.pixels(spark, sf_dir).withColumn("ord", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    gap = (F.col("r") + F.col("c") + F.col("ord")) % 3 == 0
+    rows = px.select("aoi", "k", "r", "c", "ord", *(F.when(gap, 0.0).otherwise(F.col(b) + F.col("ord")).alias(b) for b in ("nir", "swir16")))
+    return detect.mosaic(rows, ("nir", "swir16")).select("k", "r", "c", _r("nir").alias("nir"), _r("swir16").alias("swir16"))
+
+
+@query(_with(pseudo.SQL, """, q AS (SELECT k, quantile_cont(red, 0.02::DOUBLE) AS lo, quantile_cont(red, 0.96::DOUBLE) AS hi FROM px WHERE valid GROUP BY k)
+SELECT k, r, c, CASE WHEN valid THEN floor(255 * pow(greatest(0::DOUBLE, least(1::DOUBLE, (red - lo) / greatest(hi - lo, 1e-6::DOUBLE))), 1 / 1.05::DOUBLE) + 1e-9)::INT ELSE 28 END AS shade FROM px JOIN q USING (k)"""))
+def q_percentile_stretch(spark, sf_dir):
+    px = pseudo.pixels(spark, sf_dir)
+    q = px.where("valid").groupBy("k").agg(F.percentile("red", F.array(F.lit(0.02), F.lit(0.96))).alias("q"))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("red") - F.col("q")[0]) / F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(1e-6))))
+    return px.join(q, "k").select("k", "r", "c", F.when(F.col("valid"), F.floor(255 * F.pow(t, F.lit(1 / 1.05)) + 1e-9).cast("int")).otherwise(28).alias("shade"))
+
+
+@query()
+def q_phase_shift(spark, sf_dir):
+    px = pseudo.pixels(spark, sf_dir)
+    frame = pseudo.frame(spark, sf_dir)
+    return neighbourhood.shifts(px.where("k IN (0, 6)"), "red", frame.height, frame.width)
+
+
+@query()
+def q_mask_png(spark, sf_dir):
+    frame = pseudo.frame(spark, sf_dir)
+    marked = detect.candidates(pseudo.pixels(spark, sf_dir), "urban_expansion")
+    return neighbourhood.masks_png(detect.labelled(marked, frame), frame.height, frame.width)
+
+
+# ---- scenes ----------------------------------------------------------------------------------------------------------------------------------
+
+_ANCHOR = f"""{pseudo.SCENES_SQL},
+an AS (SELECT a, year, min(cloud) AS cloud FROM s, range(15, 366, 10) t(a) WHERE least(abs(doy - a) % 365, 365 - abs(doy - a) % 365) <= 45 GROUP BY ALL),
+ag AS (SELECT a, count(*) AS covered, list_sort(list(cloud))[count(*) // 2 + 1] AS med FROM an GROUP BY a),
+anchor AS (SELECT a::INT AS anchor, covered, med FROM ag ORDER BY covered DESC, med, a LIMIT 1)"""
+
+
+@query(_with(_ANCHOR, "SELECT anchor, covered, round(med, 6) AS med FROM anchor"))
+def q_season_anchor(spark, sf_dir):
+    return scenes.season_anchor(pseudo.scenes(spark, sf_dir)).select("anchor", "covered", _r("med").alias("med"))
+
+
+@query(_with(pseudo.SCENES_SQL, "SELECT mgrs, count(*) AS n, count(DISTINCT year) AS years FROM s GROUP BY mgrs"))
+def q_tile_coverage(spark, sf_dir):
+    return scenes.tile_coverage(pseudo.scenes(spark, sf_dir))
+
+
+_BEST = f"""{_ANCHOR}, tile AS (SELECT mgrs FROM (SELECT mgrs, count(*) AS n, count(DISTINCT year) AS y FROM s GROUP BY mgrs ORDER BY y DESC, n DESC, mgrs LIMIT 1) WHERE y >= (SELECT count(DISTINCT year) FROM s)),
+d AS (SELECT s.*, least(abs(doy - anchor) % 365, 365 - abs(doy - anchor) % 365) AS days FROM s, anchor),
+f AS (SELECT *, (days > 45)::INT AS tier, (mgrs IN (SELECT mgrs FROM tile))::INT AS own FROM d WHERE days <= 90),
+b AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY tier, own DESC, round_even(cloud, 1), days, id) AS nth FROM f)"""
+
+
+@query(_with(_BEST, "SELECT year, id, date, mgrs, round(cloud, 6) AS cloud, tier = 1 AS relaxed FROM b WHERE nth = 1"))
+def q_best_scene_per_year(spark, sf_dir):
+    return scenes.best_per_year(pseudo.scenes(spark, sf_dir)).select("year", "id", "date", "mgrs", _r("cloud").alias("cloud"), "relaxed")
+
+
+@query(_with(_BEST, """, p AS (SELECT b.id AS chosen_id, s.id AS companion_id, s.mgrs, row_number() OVER (PARTITION BY b.id, s.mgrs ORDER BY s.cloud, s.id) AS j FROM b JOIN s ON s.date = b.date AND s.mgrs <> b.mgrs AND s.id <> b.id WHERE nth = 1)
+SELECT chosen_id, companion_id, mgrs FROM p WHERE j = 1"""))
+def q_companions(spark, sf_dir):
+    s = pseudo.scenes(spark, sf_dir)
+    return scenes.companions(s, scenes.best_per_year(s))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS id, o_orderdate::DATE AS date, CASE WHEN o_custkey % 4 = 0 THEN 100 ELSE o_totalprice END AS cloud, 'T' || (o_custkey % 5) AS mgrs FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0""")
+def q_scene_projection(spark, sf_dir):
+    o = pseudo.table(spark, sf_dir, "orders")
+    href = lambda b: F.format_string('"%s":{"href":"%s"}', F.lit(b), F.when((F.lit(b) == "nir") & (F.col("o_orderkey") % 7 == 0), "").otherwise("x"))
+    cloud = F.when(F.col("o_custkey") % 4 == 0, "").otherwise(F.concat(F.lit('"eo:cloud_cover":'), F.col("o_totalprice").cast("string"), F.lit(",")))
+    date = F.when(F.col("o_orderkey") % 11 == 0, "soon").otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+    which = F.when(F.col("o_custkey") % 2 == 0, "grid:code").otherwise("s2:mgrs_tile")
+    feature = F.concat(F.lit('{"id":"'), F.col("o_orderkey").cast("string"), F.lit('","properties":{'), cloud, F.lit('"'), which, F.lit('":"T'), (F.col("o_custkey") % 5).cast("string"), F.lit('","datetime":"'), date, F.lit('"},"assets":{'), F.concat_ws(",", *(href(b) for b in scenes.REQUIRED)), F.lit("}}"))
+    return scenes.project(o.select(feature.alias("feature"))).select("id", "date", "cloud", "mgrs")
+
+
+# ---- places ----------------------------------------------------------------------------------------------------------------------------------
+
+_G_SQL = "g(ord, k, label) AS (VALUES " + ", ".join(f"({i}, '{x[0]}', '{x[1]}')" for i, x in enumerate(GAZETTEER)) + ")"
+_NAMES = "CASE n_nationkey % 5 WHEN 0 THEN upper(k) WHEN 1 THEN k || ', hyderabad' WHEN 2 THEN 'old ' || k || ' lake' WHEN 3 THEN substr(k, 1, 4) ELSE lower(n_name) END"
+
+
+@query(f"""WITH {_G_SQL}, p AS (SELECT {_NAMES} AS query FROM nation JOIN g ON ord = n_nationkey),
+h AS (SELECT query, k, label, ord, CASE WHEN k = lower(trim(query)) THEN 0 WHEN query LIKE '%,%' AND k = trim(split_part(lower(trim(query)), ',', 1)) THEN 1 WHEN contains(lower(trim(query)), k) OR contains(k, lower(trim(query))) THEN 2 END AS tier FROM (SELECT DISTINCT query FROM p), g),
+b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, ord) AS nth FROM h WHERE tier IS NOT NULL)
+SELECT query, b.k AS key, label FROM (SELECT DISTINCT query FROM p) LEFT JOIN (SELECT * FROM b WHERE nth = 1) b USING (query)""")
+def q_gazetteer_lookup(spark, sf_dir):
+    g = places.gazetteer(spark).select("ord", F.col("key").alias("k"))
+    names = pseudo.table(spark, sf_dir, "nation").join(F.broadcast(g), F.col("ord") == F.col("n_nationkey"))
+    return places.look_up(names.select(F.expr(_NAMES).alias("query")))
+
+
+_BOX = "(c_custkey * 37 % 720) - 360.0::DOUBLE AS w, (c_acctbal / 50)::DOUBLE AS s, (c_custkey * 37 % 720) - 360.0::DOUBLE + (c_custkey % 7) * 0.1::DOUBLE AS e, (c_acctbal / 50)::DOUBLE + (c_nationkey % 5 - 2) * 0.2::DOUBLE AS n"
+
+
+def _boxes(spark, sf_dir):
+    w = (F.col("c_custkey") * 37 % 720) - 360.0
+    s = F.col("c_acctbal") / 50
+    return pseudo.table(spark, sf_dir, "customer").select("c_custkey", w.alias("w"), s.alias("s"), (w + (F.col("c_custkey") % 7) * 0.1).alias("e"), (s + (F.col("c_nationkey") % 5 - 2) * 0.2).alias("n"))
+
+
+_CLAMP = f"""a AS (SELECT c_custkey, {_BOX} FROM customer),
+b AS (SELECT c_custkey, CASE WHEN x THEN s ELSE w END AS w, CASE WHEN x THEN w ELSE s END AS s, CASE WHEN x THEN n ELSE e END AS e, CASE WHEN x THEN e ELSE n END AS n FROM (SELECT *, (abs(w) > 180 OR abs(e) > 180) AND abs(s) <= 180 AND abs(n) <= 180 AS x FROM a)),
+c AS (SELECT c_custkey, greatest(-180, least(180, least(w, e))) AS w, greatest(-180, least(180, greatest(w, e))) AS e, greatest(-85, least(85, least(s, n))) AS s, greatest(-85, least(85, greatest(s, n))) AS n FROM b),
+d AS (SELECT c_custkey, (w + e) / 2 AS x, (s + n) / 2 AS y, greatest(0.012::DOUBLE, least(0.5::DOUBLE, e - w)) / 2 AS dx, greatest(0.012::DOUBLE, least(0.5::DOUBLE, n - s)) / 2 AS dy FROM c),
+z AS (SELECT c_custkey, round(x - dx, 6) AS w, round(y - dy, 6) AS s, round(x + dx, 6) AS e, round(y + dy, 6) AS n FROM d)"""
+
+
+@query(f"WITH {_CLAMP} SELECT c_custkey, round(w, 5) AS w, round(s, 5) AS s, round(e, 5) AS e, round(n, 5) AS n FROM z")
+def q_bbox_clamp(spark, sf_dir):
+    out = _boxes(spark, sf_dir).select("c_custkey", places.clamp_box(*(F.col(c) for c in "wsen")).alias("b"))
+    return out.select("c_custkey", *(_r(f"b.{c}", 5).alias(c) for c in "wsen"))
+
+
+@query(f"""WITH {_CLAMP}, y AS (SELECT *, abs(e - w) AS dx, abs(n - s) AS dy FROM z),
+x AS (SELECT *, CASE WHEN dx >= dy THEN 480 ELSE greatest(64, round_even(480 * dx / dy, 0)::INT) END AS width, CASE WHEN dx >= dy THEN greatest(64, round_even(480 * dy / dx, 0)::INT) ELSE 480 END AS height, radians((s + n) / 2) AS m FROM y)
+SELECT c_custkey, width, height, round(dy / height * (111132.92::DOUBLE - 559.82::DOUBLE * cos(2 * m) + 1.175::DOUBLE * cos(4 * m)) * (dx / width * abs(111412.84::DOUBLE * cos(m) - 93.5::DOUBLE * cos(3 * m))) / 10000, 8) AS pixel_ha FROM x""")
+def q_grid_pixel_area(spark, sf_dir):
+    box = _boxes(spark, sf_dir).select("c_custkey", places.clamp_box(*(F.col(c) for c in "wsen")).alias("b")).select("c_custkey", "b.*")
+    sides = [F.col(c) for c in "wsen"]
+    out = box.withColumn("size", places.grid_size(*sides))
+    return out.select("c_custkey", "size.width", "size.height", _r(places.pixel_ha(*sides, F.col("size.width"), F.col("size.height")), 8).alias("pixel_ha"))
+
+
+_RING = ((10.0, -10.0), (80.0, 0.0), (60.0, 60.0), (30.0, 20.0), (-40.0, 70.0), (-70.0, -20.0))
+_EDGES = [(*_RING[i], *_RING[(i + 1) % len(_RING)]) for i in range(len(_RING))]
+
+
+@query(f"""WITH e(x0, y0, x1, y1) AS (VALUES {", ".join("(" + ", ".join(f"({v})::DOUBLE" for v in x) + ")" for x in _EDGES)}),
+p AS (SELECT c_custkey AS pid, (c_custkey * 37 % 180) - 90.0::DOUBLE AS lon, c_acctbal / 100 AS lat FROM customer),
+h AS (SELECT pid, count(*) AS n FROM p JOIN e ON (y0 > lat) <> (y1 > lat) AND lon < x0 + (lat - y0) / coalesce(nullif(y1 - y0, 0), 1e-12::DOUBLE) * (x1 - x0) GROUP BY pid)
+SELECT pid, coalesce(n, 0) % 2 = 1 AS inside FROM p LEFT JOIN h USING (pid)""")
+def q_point_in_polygon(spark, sf_dir):
+    points = pseudo.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pid"), ((F.col("c_custkey") * 37 % 180) - 90.0).alias("lon"), (F.col("c_acctbal") / 100).alias("lat"))
+    edges = spark.createDataFrame(_EDGES, "x0 double, y0 double, x1 double, y1 double")
+    return places.inside_rings(points, edges).select("pid", "inside")
+
+
+# ---- questions and text ------------------------------------------------------------------------------------------------------------------------
+
+_ASKS = (
+    "Show me urban expansion near lakes in Hyderabad between 2018 and 2024",
+    "Which water bodies have significantly reduced over the last 5 years?",
+    "forest cover loss in wayanad since 2019",
+    "Did vegetation increase along the river after the 2021 flood",
+    "Burned area around farms, past decade",
+    "where did new construction appear 2017-2023 close to the national park",
+    "find more places like this",
+    "flooding in 2015 and 2030, illegal encroachment definitely proves a crime",
+)
+_ASK_SQL = "[" + ", ".join(f"'{a}'" for a in _ASKS) + "][(conv_id * 31 + turn) % 8 + 1]"
+_Q_SQL = f"q AS (SELECT conv_id, turn, lower({_ASK_SQL}) AS q FROM conversations)"
+
+
+def _asked(spark, sf_dir):
+    asks = F.array(*(F.lit(a) for a in _ASKS))
+    return pseudo.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.element_at(asks, ((F.col("conv_id") * 31 + F.col("turn")) % 8 + 1).cast("int")).alias("text"))
+
+
+@query()
+def q_interpret(spark, sf_dir):
+    out = interpret.interpret(_asked(spark, sf_dir), TODAY)
+    return out.withColumn("matched", F.concat_ws("|", "matched")).drop("text")
+
+
+@query(f"""WITH {_Q_SQL}, m AS (SELECT *, regexp_extract(q, '((?:19|20)\\d{{2}})\\s*(?:-|to|and|until|till|through|vs\\.?|versus)\\s*((?:19|20)\\d{{2}})', 1) AS a, regexp_extract(q, '((?:19|20)\\d{{2}})\\s*(?:-|to|and|until|till|through|vs\\.?|versus)\\s*((?:19|20)\\d{{2}})', 2) AS b,
+  regexp_extract(q, '(?:last|past|previous|recent)\\s+(\\d{{1,2}})\\s*(?:year|yr)', 1) AS n, regexp_extract(q, 'since\\s+((?:19|20)\\d{{2}})', 1) AS s, list_filter(list_transform(regexp_extract_all(q, '\\b((?:19|20)\\d{{2}})\\b', 1), lambda x: x::INT), lambda x: x BETWEEN 2015 AND 2027) AS l FROM q),
+w AS (SELECT conv_id, turn, CASE WHEN a <> '' THEN least(a::INT, b::INT) WHEN n <> '' THEN 2026 - greatest(1, n::INT) WHEN regexp_matches(q, '(?:last|past)\\s+decade') THEN 2016 WHEN regexp_matches(q, '(?:last|past)\\s+(?:year|12\\s*months)') THEN 2025 WHEN s <> '' THEN s::INT
+  WHEN len(l) >= 2 THEN list_min(l) WHEN len(l) = 1 AND l[1] >= 2026 THEN greatest(2016, l[1] - 2) WHEN len(l) = 1 THEN l[1] ELSE 2022 END AS st, CASE WHEN a <> '' THEN greatest(a::INT, b::INT) WHEN n <> '' OR regexp_matches(q, '(?:last|past)\\s+(?:decade|year|12\\s*months)') OR s <> '' THEN 2026 WHEN len(l) >= 2 THEN list_max(l) ELSE 2026 END AS en FROM m),
+c AS (SELECT conv_id, turn, greatest(2016, st) AS st, least(2026, en) AS en FROM w)
+SELECT conv_id, turn, st AS start_year, CASE WHEN en <= st THEN least(2026, st + 1) ELSE en END AS end_year FROM c""".replace("\\\\", "\\"))
+def q_interpret_years(spark, sf_dir):
+    rows = _asked(spark, sf_dir).withColumn("w", interpret.years(F.lower("text"), TODAY))
+    return rows.select("conv_id", "turn", F.col("w.start").alias("start_year"), F.col("w.end").alias("end_year"))
+
+
+_NEAR_SQL = " ".join(f"WHEN regexp_matches(q, '\\b(?:{'|'.join(v)})\\b') THEN '{k}'" for k, v in NEAR_FEATURES.items())
+
+
+@query(f"WITH {_Q_SQL} SELECT conv_id, turn, CASE WHEN NOT regexp_matches(q, '\\b(?:{'|'.join(NEAR_WORDS)})\\b') THEN NULL {_NEAR_SQL} END AS proximity FROM q")
+def q_proximity(spark, sf_dir):
+    return _asked(spark, sf_dir).select("conv_id", "turn", interpret.proximity(F.lower("text")).alias("proximity"))
+
+
+def _sanitise_sql(text: str) -> str:
+    for pattern, put in REWRITES:
+        text = f"regexp_replace({text}, '{pattern}', '{put}', 'gi')"
+    return text
+
+
+@query(f"SELECT conv_id, turn, {_sanitise_sql(f'{_ASK_SQL} || {chr(39)} {chr(39)} || role || {chr(39)} PROOF of guarantees{chr(39)}')} AS clean FROM conversations")
+def q_sanitise(spark, sf_dir):
+    roles = pseudo.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    rows = _asked(spark, sf_dir).join(roles, ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", interpret.sanitise(F.concat_ws(" ", "text", "role", F.lit("PROOF of guarantees"))).alias("clean"))
+
+
+# ---- signatures, events, display ---------------------------------------------------------------------------------------------------------------
+
+_W_SQL = "[" + ", ".join(f"{w}::DOUBLE" for w in SIGNATURE_WEIGHTS) + "]"
+
+
+def _signatures(spark, sf_dir):
+    e = pseudo.table(spark, sf_dir, "embeddings")
+    return e.select(F.lpad(F.col("vec_id").cast("string"), 6, "0").alias("key"), F.col("vec_id").alias("seq"), F.slice("embedding", 1, 13).cast("array<double>").alias("vector"))
+
+
+@query(f"""WITH v AS (SELECT lpad(vec_id::VARCHAR, 6, '0') AS key, embedding[1:13]::DOUBLE[] AS v, vec_id FROM embeddings),
+d AS (SELECT q.key AS query_key, p.key, sqrt(list_sum(list_transform(range(1, 14), lambda i: pow((q.v[i] - p.v[i]) * {_W_SQL}[i], 2)))) AS distance FROM v q JOIN v p ON q.key <> p.key WHERE q.vec_id % 25 = 0 AND p.vec_id < 200),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY round(distance, 9), key) AS rank FROM d)
+SELECT query_key, key, rank::INT AS rank, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS similarity FROM r WHERE rank <= 4""")
+def q_similarity_topk(spark, sf_dir):
+    s = _signatures(spark, sf_dir)
+    out = signatures.most_similar(s.where("seq % 25 = 0"), s.where("seq < 200"))
+    return out.select("query_key", "key", "rank", _r("distance").alias("distance"), _r("similarity").alias("similarity"))
+
+
+@query("""WITH v AS (SELECT lpad((vec_id % 300)::VARCHAR, 6, '0') AS key, vec_id AS seq FROM embeddings), o AS (SELECT * FROM v WHERE seq < 300), n AS (SELECT * FROM v WHERE seq >= 300 AND seq < 420)
+SELECT key, seq FROM (SELECT * FROM o WHERE key NOT IN (SELECT key FROM n) UNION ALL SELECT * FROM n) ORDER BY seq DESC, key LIMIT 200""")
+def q_signature_upsert(spark, sf_dir):
+    v = _signatures(spark, sf_dir).withColumn("key", F.lpad((F.col("seq") % 300).cast("string"), 6, "0"))
+    return signatures.upsert(v.where("seq < 300"), v.where("seq >= 300 AND seq < 420")).select("key", "seq")
+
+
+@query("SELECT event_type || '-' || user_id % 10 AS step, arg_max(event_id, event_id) AS value FROM events GROUP BY ALL")
+def q_ndjson_fold(spark, sf_dir):
+    e = pseudo.table(spark, sf_dir, "events")
+    rows = e.select(F.concat_ws("-", "event_type", (F.col("user_id") % 10).cast("string")).alias("step"), F.col("event_id").alias("seq"), F.col("event_id").alias("value"))
+    return fold_events(rows)
+
+
+@query("SELECT least(a, 365 - a)::BIGINT AS days, count(*) AS n FROM (SELECT abs(dayofyear(l_shipdate) - 200) % 365 AS a FROM lineitem) GROUP BY ALL")
+def q_circular_days(spark, sf_dir):
+    rows = pseudo.table(spark, sf_dir, "lineitem").select(ix.circular_days(F.dayofyear("l_shipdate"), F.lit(200)).cast("long").alias("days"))
+    return rows.groupBy("days").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, CASE WHEN c >= 0.90 THEN 'high' WHEN c >= 0.70 THEN 'moderate' ELSE 'low' END AS band FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS c FROM part)")
+def q_confidence_band(spark, sf_dir):
+    return pseudo.table(spark, sf_dir, "part").select("p_partkey", ix.confidence_band(F.col("p_size") / 50.0).alias("band"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question, read as a plan, answered by the clusters of its mode."""
+    question = spark.createDataFrame([("Show me where urban expansion occurred between 2016 and 2022",)], "text string")
+    plan = interpret.interpret(question, TODAY).first()
+    px = pseudo.pixels(spark, sf_dir).where(F.col("year").between(plan["start_year"], plan["end_year"]))
+    return detect.clusters(px, plan["mode"], pseudo.frame(spark, sf_dir)).orderBy("id")
