@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import SF, canonical
+from tests.conftest import SF, canonical
 from orbitlens.constants import MODES, PHRASES
 from orbitlens.operators import detect, interpret, neighbourhood, places
 from orbitlens.plans import catalog
