@@ -195,7 +195,7 @@ def _gram_chunks(data: np.ndarray, offsets: np.ndarray, depth: int, size: int =
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and their summed counts."""
-    if not keys:
+    if not sum(map(len, keys)):
         return np.zeros(0, np.uint64), np.zeros(0)
     k, n = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(k, kind="stable")
