@@ -34,16 +34,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table that nothing reads any more."""
-    _remove(spark, path)
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of `saved` that nothing reads any more."""
+    _remove(df.sparkSession, df.scratch_path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -60,6 +62,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sliced(batches, text: str, limit: int = 4 << 20):
+    """The same rows in record batches of about `limit` bytes of text (one longer text makes its own)."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).cumsum()
+        at = 0
+        while at < batch.num_rows:
+            before = int(sizes[at - 1]) if at else 0
+            stop = max(int(sizes.searchsorted(before + limit, "right")), at + 1)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def blocks_of(batches, columns: tuple[str, ...], text: str, limit: int):
     """Joins record batches to runs of whole rows of about `limit` bytes of text; yields lists of record batches."""
     kept, size = [], 0

@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Words are compared with A-Z lower-cased.  Each test item keeps the half of its n-grams that the fewest training texts hold; a text that holds one is aligned
+Words are compared with A-Z lower-cased.  Each test item keeps the n-grams that are rare for it, counted over all training texts; a text that holds one is aligned
 with the item around the seed, and its score is the best local alignment's over that of the whole item with itself.  Items go in blocks of bounded words
 that are sent to all tasks, as many blocks as there are; texts stay where they lie and only hits are returned.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import saved, table
+from .common import saved, sliced, table
 
 SEED_WORDS = 4
 #: Words of test items sent to the tasks at a time.
@@ -23,6 +23,8 @@ ITEM_WORDS = 1 << 20
 #: Least score of a contaminated text, and of one where the item has fewer than SHORT words.
 THRESHOLD = 0.5
 SHORT = 8
+#: A seed is common if it lies in more texts than so many times the middle seed of its item, and one.
+COMMON = 4
 MATCH, MISMATCH, GAP = 2, -1, 1
 
 
@@ -66,15 +68,15 @@ class Items:
         self.bits[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
 
     def keep_rare(self, seen: dict[int, int]) -> None:
-        """Keeps of each item the half of its seeds (one at least) that the fewest texts hold."""
+        """Drops of each item the seeds that far more texts hold than its middle one: copies of the item raise all its seeds alike, common phrases only theirs."""
         count = np.array([seen.get(int(h), 0) for h in self.seeds["hash"]])
         kept = np.zeros(len(self.seeds), bool)
         by_item = np.argsort(self.seeds["item"], kind="stable")
         first = np.searchsorted(self.seeds["item"][by_item], np.arange(len(self.ids) + 1))
         for i in range(len(self.ids)):
             own = by_item[first[i] : first[i + 1]]
-            order = own[np.lexsort((self.seeds["at"][own], count[own]))]
-            kept[order[: (len(own) + 1) // 2]] = True
+            if len(own):
+                kept[own] = count[own] <= COMMON * (np.median(count[own]) + 1)
         self.seeds = self.seeds[kept]
         self.index()
 
@@ -92,7 +94,7 @@ class Items:
 def _count(batches, items: Items):
     schema = pa.schema([("seed", pa.int64()), ("texts", pa.int64())])
     total: dict[int, int] = {}
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         words, first = W.words_of(batch.column(0), True)
         for text, _, h in items.hits(words, first):
             pairs = np.unique(np.stack((text.astype(np.uint64), h)), axis=1)
@@ -132,7 +134,7 @@ def _best(item: np.ndarray, words: np.ndarray, a: int, b: int) -> tuple[int, int
 
 def _hit_rows(batches, items: Items, threshold: float):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         words, first = W.words_of(batch.column(1), True)
         rows = []
         for t, i, score, a, b in passages(items, words, first):
@@ -155,7 +157,7 @@ def _item_blocks(benchmark: DataFrame, limit: int):
 
 
 def _clean_rows(batches, items: Items, threshold: float):
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         words, first = W.words_of(batch.column(batch.schema.get_field_index("text")), True)
         clean = np.ones(batch.num_rows, bool)
         for t, i, score, _, _ in passages(items, words, first):
