@@ -6,10 +6,10 @@ ceil(num*(a+b)/(num+den)) shingles, so with all rows in one order of columns (ra
 first a - ceil(num*a/den) + 1 columns, at a first common column that leaves enough behind it.
 
 Steps: (1) documents with equal sets fall into one class; (2) the columns that several texts of a task share are counted, and the most frequent
-(at most FREQUENT, an order only, so any choice gives the same links) come last; (3) in each column of the heads, the class of the smallest number is
-multiplied with the others: those pairs' overlaps are accumulated in blocks over their whole rows; (4) components are formed, and columns that still
-hold several components give all their remaining pairs across components.  Pairs within a component are not multiplied again, so a group of copies costs
-about one product a member; no link between components is lost.
+(at most FREQUENT, an order only, so any choice gives the same links) come last; (3) in each column of the heads, the class with the smallest doc_id is
+multiplied with the others: those pairs' overlaps are accumulated in blocks over their whole rows; (4) components are formed; in columns that still hold several
+of them the class that shares most columns is multiplied with the other components; (5) what is left gives all its pairs across components.  Pairs within a
+component are not multiplied again, so a group of copies costs about one product a member; no link between components is lost.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import saved, table
+from .common import discard, saved, sliced, table
 from .components import components
 
 #: Most columns that are sent to all tasks as frequent ones (16 bytes each).
 FREQUENT = 1 << 17
+#: Columns that a task counts at a time; beyond it those met once so far are forgotten, which touches their order only.
+COUNTED = 1 << 19
 #: Bits of the table that preselects texts for the product (by hash: a false hit costs time only).
 FILTER = 1 << 20
 #: Pairs to a block of the product.
@@ -74,13 +76,15 @@ def _set_rows(batches, n: int):
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_shingles", "node", "key", "shingle", "rows")])
     seen: set[int] = set()
     counted = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         keys, owner, _, size, node = _sets(batch, n)
         none = pa.nulls(batch.num_rows, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), pa.array(node, mask=size == 0), batch.column(1), none, none], schema=schema)
         k, c = np.unique(keys[_new(node, seen)[owner]], return_counts=True)
         k, back = np.unique(np.concatenate((counted[0], k)), return_inverse=True)
-        counted = k, np.bincount(back, np.concatenate((counted[1], c)), len(k)).astype(np.int64)
+        c = np.bincount(back, np.concatenate((counted[1], c)), len(k)).astype(np.int64)
+        kept = (c > 1) | (len(k) <= COUNTED)
+        counted = k[kept], c[kept]
     often = counted[1] > 1
     k, c = counted[0][often].view(np.int64), counted[1][often]
     none = pa.nulls(len(k), pa.int64())
@@ -93,7 +97,7 @@ _HEADS = "shingle long, node long, n int, pos int"
 def _head_rows(batches, n: int, num: int, den: int, frequent: np.ndarray, counts: np.ndarray):
     schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
     seen: set[int] = set()
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         keys, owner, _, size, node = _sets(batch, n)
         mine = _new(node, seen)[owner]
         keys, owner = keys[mine], owner[mine]
@@ -116,7 +120,7 @@ _ROWS = "node long, row binary"
 def _matrix_rows(batches, n: int, bits: np.ndarray):
     schema = pa.schema([("node", pa.int64()), ("row", pa.binary())])
     seen: set[int] = set()
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         key = np.asarray(batch.column(0).fill_null(0))
         batch = batch.filter(pa.array(bits[key.view(np.uint64) % np.uint64(len(bits))]))
         if not batch.num_rows:
@@ -170,42 +174,77 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     frequent, counts = keys[order], often["rows"].to_numpy(np.int64)[order]
     heads = saved(texts.select("text").mapInArrow(functools.partial(_head_rows, n=n, num=num, den=den, frequent=frequent, counts=counts), _HEADS), "heads")
     # columns in the heads of two classes at least
-    shared = heads.groupBy("shingle").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("shingle", "pivot")
-    cells = saved(heads.join(shared, "shingle").groupBy("shingle", "node").agg(F.min("pivot").alias("pivot"), F.min("n").alias("n"), F.min("pos").alias("pos")), "cells")
+    shared = heads.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("shingle")
+    by_node = sets.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.min("doc_id").alias("doc_id"))
+    cells = heads.join(shared, "shingle", "left_semi").groupBy("shingle", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    cells = saved(cells.join(by_node, "node").withColumn("rank", F.coalesce("doc_id", "node")).drop("doc_id"), "cells")
 
-    # rows of the matrix that a product may need
-    by_node = sets.where("node is not null").groupBy("node").agg(F.min("key").alias("key"))
-    used = cells.select("node").distinct().join(by_node, "node").select(F.pmod("key", F.lit(FILTER)).alias("bit")).distinct()
-    bits = np.zeros(FILTER, bool)
-    bits[used.toPandas()["bit"].to_numpy(np.int64) % FILTER] = True
-    matrix = texts.select("key", "text").mapInArrow(functools.partial(_matrix_rows, n=n, bits=bits), _ROWS).join(cells.select("node").distinct(), "node", "left_semi")
-    matrix = saved(matrix.dropDuplicates(["node"]), "matrix")
+    discard(heads)
 
     def bound(x, y):
         least = -F.floor(-num * (F.col(f"{x}.n") + F.col(f"{y}.n")) / F.lit(num + den))
         rest = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos"))
         return (rest >= least) & (den * F.least(f"{x}.n", f"{y}.n") >= num * F.greatest(f"{x}.n", f"{y}.n"))
 
+    def ends(x, y):
+        return F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")
+
     def multiplied(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs (a, b): only the rows of the matrix that they name are made, from the texts anew."""
+        pairs = saved(pairs, "pairs")
+        nodes = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-nodes")
+        used = nodes.join(cells.select("node", "key").distinct(), "node").select(F.pmod("key", F.lit(FILTER)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
+        if not len(used):
+            return pairs.select("a", "b")
+        bits = np.zeros(FILTER, bool)
+        bits[used] = True
+        matrix = texts.select("key", "text").mapInArrow(functools.partial(_matrix_rows, n=n, bits=bits), _ROWS).join(nodes, "node", "left_semi")
+        matrix = saved(matrix.dropDuplicates(["node"]), "matrix")
         rows = pairs.join(matrix.withColumnsRenamed({"node": "b", "row": "row_b"}), "b").join(matrix.withColumnsRenamed({"node": "a", "row": "row_a"}), "a")
-        return saved(rows.select("a", "b", "row_a", "row_b").mapInArrow(functools.partial(_link_rows, num=num, den=den), "a long, b long, overlap long"), "links")
-
-    pivots = cells.where("node = pivot").alias("p")
-    pairs = pivots.join(cells.alias("c"), (F.col("p.shingle") == F.col("c.shingle")) & (F.col("c.node") != F.col("p.node")) & bound("p", "c"))
-    links = multiplied(pairs.select(F.col("p.node").alias("a"), F.col("c.node").alias("b")).distinct())
-    found = components(links)
-
-    # columns of several components: pairs of a class outside the pivot's component with all others
-    marked = cells.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = marked.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    marked = saved(marked.join(mixed, "shingle", "left_semi"), "mixed")
-    home = marked.where("node = pivot").select("shingle", F.col("component").alias("home"))
-    outside = marked.join(home, "shingle").where("component <> home").alias("x")
-    inside = F.col("y.component") == F.col("x.home")
-    pairs = outside.join(marked.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & (inside | (F.col("x.node") < F.col("y.node"))) & (F.col("y.node") != F.col("y.pivot")) & bound("x", "y"))
-    more = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    links = links.select("a", "b").unionByName(multiplied(more).select("a", "b"))
-    found = components(links)
+        links = saved(rows.select("a", "b", "row_a", "row_b").mapInArrow(functools.partial(_link_rows, num=num, den=den), "a long, b long, overlap long"), "links")
+        discard(matrix)
+        return links.select("a", "b")
+
+    def pivots_of(columns: DataFrame) -> DataFrame:
+        """The cells of each column's least rank."""
+        least = columns.groupBy("shingle").agg(F.min("rank").alias("least"))
+        return columns.join(least, "shingle").where("rank = least").drop("least")
+
+    def mixed_columns(found: DataFrame) -> DataFrame:
+        """The cells of the columns that hold several components, with those."""
+        marked = cells.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = marked.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
+        return saved(marked.join(several, "shingle", "left_semi"), "mixed")
+
+    def widened(found: DataFrame, links: DataFrame) -> DataFrame:
+        """Components after further links: only those that the links join are formed anew."""
+        if links.limit(1).count() == 0:
+            return found
+        names = found.select(F.col("node"), F.col("component"))
+        for end in ("a", "b"):
+            links = links.join(names.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left").withColumn(end, F.coalesce(f"of_{end}", end)).drop(f"of_{end}")
+        joined = components(links.select("a", "b"))
+        old = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
+        return saved(old.unionByName(joined.join(found, "node", "left_anti").select("node", "component")).distinct(), "components")
+
+    same = F.col("x.shingle") == F.col("y.shingle")
+    pairs = pivots_of(cells).alias("x").join(cells.alias("y"), same & (F.col("x.node") != F.col("y.node")) & bound("x", "y"))
+    found = components(multiplied(pairs.select(*ends("x", "y")).distinct()))
+    for last in (False, True):
+        mixed = mixed_columns(found)
+        if not last:
+            # the class that meets others in most columns is the likeliest to link with all copies
+            often = mixed.groupBy("node").agg(F.count("*").alias("columns"))
+            ranked = mixed.drop("rank").join(often, "node").withColumn("rank", -F.shiftleft("columns", 32) + F.pmod("node", F.lit(1 << 31)))
+            apart = same & (F.col("x.component") != F.col("y.component")) & bound("x", "y")
+            pairs = pivots_of(ranked).alias("x").join(ranked.alias("y"), apart)
+        else:
+            # all that is left: pairs across components with an end outside the column's main one
+            home = pivots_of(mixed).groupBy("shingle").agg(F.min("component").alias("home"))
+            outside = mixed.join(home, "shingle").where("component <> home").alias("x")
+            apart = same & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("x.home")) | (F.col("x.node") < F.col("y.node"))) & bound("x", "y")
+            pairs = outside.join(mixed.alias("y"), apart)
+        found = widened(found, multiplied(pairs.select(*ends("x", "y")).distinct()))
 
     return sets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
