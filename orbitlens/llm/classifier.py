@@ -23,7 +23,8 @@ from .common import remainder, table
 CHUNK, STRIDE, WIDTH, FILTERS = 1024, 896, 8, 12
 #: Bounds of the training sample: rows of each class, and bytes of text in all.
 ROWS, BYTES = 1200, 8 << 20
-EPOCHS, RATE, THRESHOLD = 6, 0.02, 0.7
+#: Passes over the sample; a small one is passed more often, up to STEPS batches in all.
+EPOCHS, STEPS, RATE, THRESHOLD = 6, 450, 0.02, 0.7
 _SYMBOLS = 1024  # byte and mark
 
 
@@ -128,12 +129,18 @@ class Network:
         """Adam for the small weights, AdaGrad for the filters, over batches of texts."""
         r = np.random.default_rng(seed)
         data, offsets = W.text_buffer(pa.array(texts, pa.large_string()))
-        rows, text = symbols(data, offsets)
+        parts, at = [], 0
+        while at < len(texts):  # a stretch of texts at a time: the marks need wide intermediates
+            stop = max(int(np.searchsorted(offsets, offsets[at] + (1 << 18), "right")) - 1, at + 1)
+            part, own = symbols(data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at])
+            parts.append((part, own + at))
+            at = stop
+        rows, text = (np.concatenate(x) for x in zip(*parts, strict=True))
         first = np.searchsorted(text, np.arange(len(texts) + 1))
         squares = np.full(self.filters.shape, 1e-3, np.float32)
         state = {n: [np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))] for n in ("bias", "mean", "top", "offset")}
         step = 0
-        for _ in range(epochs):
+        for _ in range(max(epochs, STEPS // -(-len(texts) // 32))):
             order = r.permutation(len(texts))
             for at in range(0, len(order), 32):
                 pick = order[at : at + 32]
