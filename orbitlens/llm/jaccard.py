@@ -7,7 +7,8 @@ first a - ceil(num*a/den) + 1 columns, at a first common column that leaves enou
 
 Steps: (1) documents with equal sets fall into one class; (2) the columns that several texts of a task share are counted, and the most frequent
 (at most FREQUENT, an order only, so any choice gives the same links) come last; (3) in each column of the heads, the class with the smallest doc_id is
-multiplied with the others: those pairs' overlaps are accumulated in blocks over their whole rows; (4) components are formed; in columns that still hold several
+multiplied with the others: those pairs' overlaps are accumulated, first over the heads, which rules out most pairs (of the two heads the one that ends first
+holds all of its common columns in the other, so the overlap is at most the heads' plus what lies beyond), then in blocks over their whole rows; (4) components are formed; in columns that still hold several
 of them the class that shares most columns is multiplied with the other components; (5) what is left gives all its pairs across components.  Pairs within a
 component are not multiplied again, so a group of copies costs about one product a member; no link between components is lost.
 """
@@ -189,9 +190,19 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def ends(x, y):
         return F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")
 
+    tops = saved(cells.groupBy("node").agg(F.first("n").cast("long").alias("n"), F.collect_list("shingle").alias("top")), "tops")
+
+    def promising(pairs: DataFrame) -> DataFrame:
+        """The pairs whose heads share enough columns for the bound."""
+        for end in ("b", "a"):
+            pairs = pairs.join(tops.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("top").alias(f"top_{end}")), end)
+        least = -F.floor(-num * (F.col("n_a") + F.col("n_b")) / F.lit(num + den))
+        beyond = -F.floor(-num * F.greatest("n_a", "n_b") / F.lit(den)) - 1
+        return pairs.where(F.size(F.array_intersect("top_a", "top_b")) + beyond >= least).select("a", "b")
+
     def multiplied(pairs: DataFrame) -> DataFrame:
         """Links among the pairs (a, b): only the rows of the matrix that they name are made, from the texts anew."""
-        pairs = saved(pairs, "pairs")
+        pairs = saved(promising(pairs), "pairs")
         nodes = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-nodes")
         used = nodes.join(cells.select("node", "key").distinct(), "node").select(F.pmod("key", F.lit(FILTER)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
         if not len(used):
