@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,18 @@ class Frame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A stage that several later ones read: computed once, on disk where memory is short, and again from its lineage if an executor is lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """A stage that several later ones read: computed once and checkpointed, so later plans stay short and lost executors cost nothing.
+
+    The folder is the session's spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine).
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            where = tempfile.mkdtemp(prefix="orbitlens-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
+        context.setCheckpointDir(where)
+    return df.checkpoint()
 
 
 def pair(pixels: DataFrame) -> DataFrame:
@@ -160,8 +172,8 @@ def quality_counts(pixels: DataFrame, mode: str, frame: Frame, settings: Setting
     """Per AOI: core pixels, threshold hits, plausible ones, cleaned ones, and the share of hits that cleaning removed (below 0 where closing added more)."""
     marked = kept(candidates(pixels, mode, settings))
     counts = marked.groupBy("aoi").agg(F.count("*").alias("core"), F.count_if("raw_hit").alias("raw_hits"), F.count_if(F.col("raw_hit") & F.col("allowed")).alias("gated"))
-    kept = labelled(marked, frame, settings).groupBy("aoi").agg(F.count("*").alias("cleaned"))
-    out = counts.join(kept, "aoi", "left").withColumn("cleaned", F.coalesce("cleaned", F.lit(0)))
+    clean = labelled(marked, frame, settings).groupBy("aoi").agg(F.count("*").alias("cleaned"))
+    out = counts.join(clean, "aoi", "left").withColumn("cleaned", F.coalesce("cleaned", F.lit(0)))
     return out.withColumn("noise_rejection", F.try_divide(F.col("gated") - F.col("cleaned"), F.col("gated")))
 
 

@@ -5,10 +5,8 @@ from orbitlens.constants import MODES, PHRASES
 from orbitlens.operators import detect, interpret, neighbourhood, places
 from orbitlens.plans import catalog
 
-SLOW = {"q_timeline", "q_quality_counts", "q_components_vegetation_loss", "q_components_water_gain", "q_components_burn_scar", "q_gate_vegetation_gain", "q_gate_water_gain", "q_gate_burn_scar"}
 
-
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_oracle(spark, duck, name):
     spark.catalog.clearCache()
     got, want = catalog.QUERIES[name](spark, SF).toPandas(), duck.execute(catalog.ORACLES[name]).df()
