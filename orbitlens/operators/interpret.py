@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import ARCHIVE_START, CHANGE_CUES, DOWN_VERBS, MODES, NEAR_FEATURES, NEAR_WORDS, PHRASES, REWRITES, SIMILARITY_CUES, SUBJECTS, UP_VERBS
+from ..constants import ARCHIVE_START, CHANGE_CUES, DOWN_VERBS, MODES, NEAR_FEATURES, NEAR_WORDS, PHRASES, REWRITES, SIMILARITY_CUES, STOPWORDS, SUBJECTS, UP_VERBS
 
 #: Longest first; equal lengths in the order of the modes' lists.
 ORDERED = sorted(((p, m) for m, ps in PHRASES.items() for p in ps), key=lambda x: -len(x[0]))
@@ -103,13 +103,45 @@ def proximity(q: Column) -> Column:
     return out
 
 
+def _clean_place(text: Column) -> Column:
+    """The words without stop words at either end and outer punctuation; null below three characters."""
+    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    telling = F.transform(words, lambda w: ~F.lower(w).isin(*STOPWORDS))
+    first, last = F.array_position(telling, True), F.size(words) - F.array_position(F.reverse(telling), True) + 1
+    out = F.regexp_replace(F.concat_ws(" ", F.slice(words, first.cast("int"), (last - first + 1).cast("int"))), r"^[ ,.;:!?]+|[ ,.;:!?]+$", "")
+    return F.when(F.when(first > 0, F.length(out) >= 3), out)
+
+
+def place(text: Column) -> Column:
+    """Name of the place a (normalised) question is about, or null.
+
+    A chain of capitalised names after a locative word, else the longest run of capitalised words, else the small words after a locative word.
+    """
+    bare = F.regexp_replace(text, r"(?:between\s+)?(?:19|20)\d{2}\s*(?:-|to|and)\s*(?:19|20)\d{2}", " ")
+    bare = F.regexp_replace(bare, r"(?U)\b(?:19|20)\d{2}\b", " ")
+    bare = F.regexp_replace(bare, r"(?:last|past|previous|recent)\s+\d{1,2}\s*(?:year|yr)s?", " ")
+    name = r"(?:[A-Z][\w'\-]*|and|of|the|de|el|la|al)"
+    names = rf"{name}(?:\s+{name}){{0,3}}"
+    chain = F.regexp_extract(bare, rf"(?U)\b(?:in|near|around|at|for|within|inside|across|surrounding|close to)\s+({names}(?:\s*,\s*{names}){{0,4}})", 1)
+    small = F.regexp_extract(bare, r"(?U)\b(?:in|near|around|at|for|within)\s+([a-z][\w'\-]*(?:\s+[a-z][\w'\-]*){0,2})", 1)
+    words = F.transform(F.split(F.trim(bare), r"\s+"), lambda w: F.regexp_replace(w, r"(?U)[^\w'\-]", ""))
+    none = F.array().cast("array<string>")
+
+    def step(acc, w):
+        run = F.when(F.rlike(w, F.lit(r"^\p{Lu}")) & ~F.lower(w).isin(*STOPWORDS), F.concat(acc["run"], F.array(w))).otherwise(none)
+        return F.struct(F.when(F.size(run) > F.size(acc["best"]), run).otherwise(acc["best"]).alias("best"), run.alias("run"))
+
+    longest = F.aggregate(words, F.struct(none.alias("best"), none.alias("run")), step, lambda acc: F.concat_ws(" ", acc["best"]))
+    return F.coalesce(_clean_place(chain), _clean_place(longest), _clean_place(small))
+
+
 def interpret(questions: DataFrame, today: dt.date, text: str = "text") -> DataFrame:
-    """`questions` with mode, index, direction, start_year, end_year, proximity, wants_similarity, matched and confidence.
+    """`questions` with place, mode, index, direction, start_year, end_year, proximity, wants_similarity, matched and confidence.
 
-    The place is left to `places.look_up` over the text's location phrase.  Null texts count as empty and get the default plan.
+    The place is a name, which `places.look_up` or a geocoder turns into a box.  Null texts count as empty and get the default plan.
     """
-    q = F.lower(normalise(F.coalesce(F.col(text), F.lit(""))))
-    rows = questions.withColumn("q", q).withColumn("hits", phrase_hits(F.col("q"))).withColumn("best", _mode_scores(F.col("hits"))).withColumn("subject", subject_mode(F.col("q")))
+    plain = normalise(F.coalesce(F.col(text), F.lit("")))
+    rows = questions.withColumns({"place": place(plain), "q": F.lower(plain)}).withColumn("hits", phrase_hits(F.col("q"))).withColumn("best", _mode_scores(F.col("hits"))).withColumn("subject", subject_mode(F.col("q")))
     phrase_mode = F.when(F.size("hits") > 0, F.col("best.mode"))
     own = F.transform(F.filter("hits", lambda x: x["m"] == F.col("best.mode")), lambda x: x["p"])
     rows = rows.withColumns({"phrase_mode": phrase_mode, "own": own})
@@ -124,7 +156,7 @@ def interpret(questions: DataFrame, today: dt.date, text: str = "text") -> DataF
     rows = rows.withColumns({"matched": matched, "mode": F.when(green & rises, "vegetation_gain").when(green & falls, "vegetation_loss").otherwise(mode), "window": years(F.col("q"), today)})
     labels = F.create_map(*(x for m, v in MODES.items() for x in (F.lit(m), F.struct(*(F.lit(y).alias(n) for n, y in zip(("label", "index", "direction"), v, strict=True))))))
     spec = labels[F.col("mode")]
-    confidence = F.lit(0.35) + F.when(F.col("found").isNotNull(), 0.30).otherwise(0.0) + F.when(_any(F.col("q"), CHANGE_CUES), 0.10).otherwise(0.0) + F.when(F.col("window.stated"), 0.10).otherwise(0.0)
+    confidence = F.lit(0.35) + F.when(F.col("found").isNotNull(), 0.30).otherwise(0.0) + F.when(_any(F.col("q"), CHANGE_CUES), 0.10).otherwise(0.0) + F.when(F.col("place").isNotNull(), 0.20).otherwise(0.0) + F.when(F.col("window.stated"), 0.10).otherwise(0.0)
     return rows.withColumns({
         "index": spec["index"], "direction": spec["direction"], "start_year": F.col("window.start"), "end_year": F.col("window.end"), "proximity": proximity(F.col("q")),
         "wants_similarity": _any(F.col("q"), SIMILARITY_CUES), "confidence": F.round(F.least(confidence, F.lit(0.98)), 2),

@@ -27,6 +27,8 @@ def look_up(places: DataFrame) -> DataFrame:
 
 def clamp_box(w: Column, s: Column, e: Column, n: Column, settings: Settings = SETTINGS) -> Column:
     """The box (struct w, s, e, n) in order, inside the world, and neither too small nor too large about its centre; null where a side is null or not finite."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)
+    whole = finite(w) & finite(s) & finite(e) & finite(n)
     swapped = ((F.abs(w) > 180) | (F.abs(e) > 180)) & (F.abs(s) <= 180) & (F.abs(n) <= 180)
     w, s, e, n = (F.when(swapped, x).otherwise(y) for x, y in ((s, w), (w, s), (n, e), (e, n)))
     hold = lambda x, m: F.greatest(F.lit(-m), F.least(F.lit(m), x))
@@ -35,8 +37,7 @@ def clamp_box(w: Column, s: Column, e: Column, n: Column, settings: Settings = S
     size = lambda a, b: F.greatest(F.lit(settings.min_aoi), F.least(F.lit(settings.max_aoi), b - a))
     cx, cy, dx, dy = (w + e) / 2, (s + n) / 2, size(w, e), size(s, n)
     box = F.struct(F.round(cx - dx / 2, 6).alias("w"), F.round(cy - dy / 2, 6).alias("s"), F.round(cx + dx / 2, 6).alias("e"), F.round(cy + dy / 2, 6).alias("n"))
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)
-    return F.when(finite(w) & finite(s) & finite(e) & finite(n), box)
+    return F.when(whole, box)
 
 
 def pixel_ha(w: Column, s: Column, e: Column, n: Column, width: Column, height: Column) -> Column:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import ARCHETYPES, SIGNATURE_WEIGHTS
+from ..constants import ARCHETYPES, SETTINGS, SIGNATURE_WEIGHTS, Settings
+from ..functions.indices import index
 
 STORE_CAP = 200
+#: Names of a vector's dimensions that an explanation may use, by position.
+NAMED = {2: "vegetation change", 5: "built-up change", 8: "water change", 9: "share changed", 10: "cluster density", 12: "patch size"}
 
 
 def archetypes(spark: SparkSession) -> DataFrame:
@@ -23,9 +26,9 @@ def distance(a: Column, b: Column) -> Column:
 def most_similar(queries: DataFrame, pool: DataFrame, k: int = 4) -> DataFrame:
     """(query_key, key, rank, distance, similarity): the k nearest signatures of the pool for every query, never itself; ties by key.
 
-    The pool is the store (at most STORE_CAP) and the archetypes, so it is sent to every task.
+    The stated queries meet the whole pool; Spark sends the smaller side to every task if its size is below the session's limit, else it joins block by block.
     """
-    rows = queries.select(F.col("key").alias("query_key"), F.col("vector").alias("q")).crossJoin(F.broadcast(pool.select("key", "vector"))).where("key <> query_key")
+    rows = queries.select(F.col("key").alias("query_key"), F.col("vector").alias("q")).crossJoin(pool.select("key", "vector")).where("key <> query_key")
     rows = rows.withColumn("distance", distance(F.col("q"), F.col("vector"))).withColumn("similarity", 1 / (1 + F.col("distance")))
     rank = F.row_number().over(Window.partitionBy("query_key").orderBy(F.round("distance", 9), "key"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_key", "key", "rank", "distance", "similarity")
@@ -35,3 +38,28 @@ def upsert(store: DataFrame, new: DataFrame, cap: int = STORE_CAP) -> DataFrame:
     """The store (key, seq, vector) with new rows in place of those with their keys; the `cap` newest by seq stay."""
     rows = store.join(new.select("key"), "key", "left_anti").unionByName(new)
     return rows.orderBy(F.desc("seq"), "key").limit(cap)
+
+
+def describe(both: DataFrame, labels: DataFrame, pixel_ha: float, settings: Settings = SETTINGS) -> DataFrame:
+    """(aoi, vector): the 13 dimensions of an analysed area, from its end epochs (`detect.pair`) and its labelled change.
+
+    Shares of plant, built and water pixels before, after and their change; share changed; density, fragmentation and size of the clusters that are described in detail.
+    """
+    shares = {"veg": ("NDVI", settings.vegetation), "built": ("NDBI", 0.0), "water": ("MNDWI", settings.water)}
+    share = lambda name, end: F.avg((index(shares[name][0], end) > shares[name][1]).cast("int")).alias(name + end)
+    base = both.where("valid").groupBy("aoi").agg(F.count("*").alias("n"), *(share(name, end) for name in shares for end in ("_b", "_a")))
+    found = labels.groupBy("aoi").agg(F.count("*").alias("changed"), F.least(F.count_distinct("label"), F.lit(settings.detail_cap)).alias("ncl"))
+    rows = base.join(found, "aoi", "left").fillna(0, ["changed", "ncl"])
+    n, changed, ncl = (F.col(c).cast("double") for c in ("n", "changed", "ncl"))
+    capped = lambda x: F.least(x, F.lit(1.0))
+    density = ncl / (F.greatest(n * pixel_ha, F.lit(1e-6)) / 100)
+    broken = F.when(changed > 0, ncl / F.greatest(changed, F.lit(1.0))).otherwise(0.0)
+    patch = F.when(ncl > 0, changed * pixel_ha / F.greatest(ncl, F.lit(1.0))).otherwise(0.0)
+    classes = [x for name in shares for x in (F.col(f"{name}_b"), F.col(f"{name}_a"), F.col(f"{name}_a") - F.col(f"{name}_b"))]
+    return rows.select("aoi", F.array(*classes, changed / n, capped(density / 10), capped(broken * 50), capped(patch / 50)).alias("vector"))
+
+
+def explain(a: Column, b: Column) -> Column:
+    """The two named dimensions in which the vectors are closest."""
+    gaps = F.array(*(F.struct(F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))).alias("gap"), F.lit(n).alias("name")) for i, n in NAMED.items()))
+    return F.concat(F.lit("Closest agreement on "), F.concat_ws(" and ", F.transform(F.slice(F.array_sort(gaps), 1, 2), lambda x: x["name"])))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..constants import GAZETTEER, MODES, NEAR_FEATURES, NEAR_WORDS, REWRITES, SCL_DEGRADED, SCL_INVALID, SETTINGS, SIGNATURE_WEIGHTS
 from ..functions import indices as ix
-from ..operators import detect, interpret, neighbourhood, places, scenes, signatures
+from ..operators import detect, interpret, neighbourhood, places, raster, report, scenes, signatures, study
+from ..sources import files
 from ..streaming.epochs import fold_events
 from . import pseudo
 
@@ -259,6 +260,77 @@ def q_mask_png(spark, sf_dir):
     return neighbourhood.masks_png(detect.labelled(marked, frame), frame.height, frame.width)
 
 
+@query(_with(_scored("urban_expansion"), f"""{_PERSIST} SELECT base.r, base.c, round(coalesce(p, 0), 6) AS persistence FROM base LEFT JOIN pe USING (r, c)"""))
+def q_persistence(spark, sf_dir):
+    px = detect.kept(pseudo.pixels(spark, sf_dir))
+    return detect.persistence(px, detect.candidates(px, "urban_expansion"), "urban_expansion").select("r", "c", _r("persistence").alias("persistence"))
+
+
+_SIGNATURE = f"""SELECT unnest([round(vb, 6), round(va, 6), round(va - vb, 6), round(bb, 6), round(ba, 6), round(ba - bb, 6), round(wb, 6), round(wa, 6), round(wa - wb, 6), round(ch / n, 6), round(least(1, ncl / (n * 0.01::DOUBLE / 100) / 10), 6),
+  round(CASE WHEN ch > 0 THEN least(1, ncl / ch * 50) ELSE 0 END, 6), round(CASE WHEN ncl > 0 THEN least(1, ch * 0.01::DOUBLE / ncl / 50) ELSE 0 END, 6)]) AS value, unnest(range(13))::INT AS dim
+FROM (SELECT count(*)::DOUBLE AS n, {", ".join(f"avg(({_nd(i, e)} > {t}::DOUBLE)::INT) AS {x}{e[1]}" for x, i, t in (("v", "NDVI", 0.30), ("b", "NDBI", 0.0), ("w", "MNDWI", 0.05)) for e in ("_b", "_a"))} FROM both_ WHERE valid),
+(SELECT count(*)::DOUBLE AS ch, least(count(DISTINCT label), 40)::DOUBLE AS ncl FROM lab)"""
+
+
+@query(_with(_labelled("urban_expansion"), _SIGNATURE))
+def q_signature(spark, sf_dir):
+    px, frame = detect.kept(pseudo.pixels(spark, sf_dir)), pseudo.frame(spark, sf_dir)
+    labels = detect.labelled(detect.candidates(px, "urban_expansion"), frame)
+    rows = signatures.describe(detect.pair(px), labels, frame.pixel_ha)
+    return rows.select(F.posexplode("vector").alias("dim", "x")).select("dim", _r("x").alias("value"))
+
+
+@query(_with(pseudo.SQL, """, t AS (SELECT k, h, (h * 3) // 2 AS m, tr::INT AS tr, tc::INT AS tc FROM (SELECT DISTINCT k FROM px), hh, range((h * 3) // 2) a(tr), range((h * 3) // 2) b(tc))
+SELECT t.k, tr AS r, tc AS c, round(nir, 6) AS nir, scl FROM t LEFT JOIN px ON px.k = t.k AND px.r = floor((tr + 0.5::DOUBLE) * h / m) AND px.c = floor((tc + 0.5::DOUBLE) * h / m)"""))
+def q_resample_nearest(spark, sf_dir):
+    h = pseudo.side(spark, sf_dir)
+    out = raster.resample_nearest(pseudo.pixels(spark, sf_dir), ["nir", "scl"], ["k"], (h, h), (h * 3 // 2, h * 3 // 2))
+    return out.select("k", "r", "c", _r("nir").alias("nir"), "scl")
+
+
+@query(_with(pseudo.SQL, """, t AS (SELECT k, tr::INT AS tr, tc::INT AS tc, (tr + 0.5::DOUBLE) * h / ((h * 2) // 3) - 0.5::DOUBLE AS y, (tc + 0.5::DOUBLE) * h / ((h * 2) // 3) - 0.5::DOUBLE AS x FROM (SELECT DISTINCT k FROM px), hh, range((h * 2) // 3) a(tr), range((h * 2) // 3) b(tc)),
+w AS (SELECT t.*, px.nir, px.red, (1 - abs(y - px.r)) * (1 - abs(x - px.c)) AS w FROM t LEFT JOIN px ON px.k = t.k AND abs(y - px.r) < 1 AND abs(x - px.c) < 1)
+SELECT k, tr AS r, tc AS c, round(sum(w * nir) / sum(w), 6) AS nir, round(sum(w * red) / sum(w), 6) AS red FROM w GROUP BY ALL"""))
+def q_resample_bilinear(spark, sf_dir):
+    h = pseudo.side(spark, sf_dir)
+    out = raster.resample_bilinear(pseudo.pixels(spark, sf_dir), ["nir", "red"], ["k"], (h, h), (h * 2 // 3, h * 2 // 3))
+    return out.select("k", "r", "c", _r("nir").alias("nir"), _r("red").alias("red"))
+
+
+@query("""WITH s AS (SELECT p_partkey, p_size * 137.0::DOUBLE AS w, p_retailprice * 3::DOUBLE AS h, CASE p_partkey % 3 WHEN 0 THEN [1, 2, 4, 8, 16] WHEN 1 THEN [1, 3, 9] ELSE [1] END AS levels FROM part),
+b AS (SELECT *, least(w / 480, h / 320) / 4 AS need, sqrt(w * h / 1e6::DOUBLE / 6) AS cap FROM s)
+SELECT p_partkey, greatest(coalesce(list_max(list_filter(levels, lambda x: x <= need)), 1), CASE WHEN cap > 1 THEN coalesce(list_min(list_filter(levels, lambda x: x >= cap)), list_max(levels)) ELSE 1 END)::INT AS level FROM b""")
+def q_overview_level(spark, sf_dir):
+    ladder = lambda *xs: F.array(*(F.lit(x) for x in xs))
+    levels = F.when(F.col("p_partkey") % 3 == 0, ladder(1, 2, 4, 8, 16)).when(F.col("p_partkey") % 3 == 1, ladder(1, 3, 9)).otherwise(ladder(1))
+    level = raster.overview_level(F.col("p_size") * 137.0, F.col("p_retailprice") * 3, F.lit(480), F.lit(320), levels)
+    return pseudo.table(spark, sf_dir, "part").select("p_partkey", level.alias("level"))
+
+
+@query(_with(_scored("vegetation_loss"), """, q AS (SELECT quantile_cont(-delta, 0.02::DOUBLE) AS lo, quantile_cont(-delta, 0.99::DOUBLE) AS hi FROM sc)
+SELECT heat, count(*) AS n FROM (SELECT floor(255 * greatest(0::DOUBLE, least(1::DOUBLE, (-delta - lo) / greatest(hi - lo, 1e-6::DOUBLE))))::INT AS heat FROM sc, q) GROUP BY heat"""))
+def q_heat_bins(spark, sf_dir):
+    rows = detect.scored(detect.pair(pseudo.pixels(spark, sf_dir)), "vegetation_loss")
+    return raster.heat_index(rows, "delta", "decrease").groupBy("heat").agg(F.count("*").alias("n"))
+
+
+@query()
+def q_heat_png(spark, sf_dir):
+    frame = pseudo.frame(spark, sf_dir)
+    rows = raster.heat_index(detect.scored(detect.pair(pseudo.pixels(spark, sf_dir)), "vegetation_loss"), "delta", "decrease")
+    return raster.heat_png(rows, frame.height, frame.width).select("aoi", raster.data_uri(F.col("png")).alias("image"))
+
+
+@query()
+def q_overlay_png(spark, sf_dir):
+    px, frame = detect.kept(pseudo.pixels(spark, sf_dir)), pseudo.frame(spark, sf_dir)
+    labels = detect.labelled(detect.candidates(px, "urban_expansion"), frame)
+    last = px.join(px.groupBy("aoi").agg(F.max("k").alias("k")), ["aoi", "k"])
+    shade = lambda b: F.floor(255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(b) * 2))).cast("int")
+    colours = raster.overlay(last.select(*KEYS, shade("red").alias("red"), shade("green").alias("green"), shade("green").alias("blue")), labels, "increase")
+    return raster.rgb_png(colours, frame.height, frame.width).select("aoi", raster.data_uri(F.col("png")).alias("image"))
+
+
 # ---- scenes ----------------------------------------------------------------------------------------------------------------------------------
 
 _ANCHOR = f"""{pseudo.SCENES_SQL},
@@ -368,6 +440,78 @@ def q_point_in_polygon(spark, sf_dir):
     return places.inside_rings(points, edges).select("pid", "inside")
 
 
+# ---- study windows and reports -----------------------------------------------------------------------------------------------------------------
+
+_REGION = ("Ringland", -70.0, -20.0, 80.0, 70.0)
+_CELLS = "SELECT i::INT AS i, (-70.0)::DOUBLE + 150.0::DOUBLE * (i % 9 + 0.5::DOUBLE) / 9 AS lon, (-20.0)::DOUBLE + 90.0::DOUBLE * (i // 9 + 0.5::DOUBLE) / 7 AS lat FROM range(63) t(i)"
+_EDGE_SQL = "e(x0, y0, x1, y1) AS (VALUES " + ", ".join("(" + ", ".join(f"({v})::DOUBLE" for v in x) + ")" for x in _EDGES) + ")"
+
+
+def _parity(points: str) -> str:
+    return f"SELECT p.*, (SELECT count(*) FROM e WHERE (y0 > p.y) <> (y1 > p.y) AND p.x < x0 + (p.y - y0) / coalesce(nullif(y1 - y0, 0), 1e-12::DOUBLE) * (x1 - x0)) % 2 = 1 AS inside FROM {points} p"
+
+
+@query(f"""WITH {_EDGE_SQL}, cells AS ({_CELLS}), h AS (SELECT (c_custkey % 63)::INT AS i, avg(c_acctbal) / 100 AS elevation FROM customer WHERE c_custkey % 63 <> 5 GROUP BY ALL),
+pts AS (SELECT i, lon AS x, lat AS y FROM cells), c AS (SELECT q.i, q.x, q.y, elevation FROM ({_parity("pts")}) q JOIN h USING (i) WHERE inside),
+best AS (SELECT x AS bx, y AS by_, elevation FROM c ORDER BY (elevation >= 5) DESC, elevation, i LIMIT 1),
+held AS (SELECT greatest(-69.75::DOUBLE, least(79.75::DOUBLE, bx)) AS bx, greatest(-19.75::DOUBLE, least(69.75::DOUBLE, by_)) AS by_, elevation FROM best),
+mv AS (SELECT 0 AS o, 0::DOUBLE AS dx, 0::DOUBLE AS dy UNION ALL SELECT 1 + si * 8 + mi, mx * 0.5::DOUBLE * st, my * 0.5::DOUBLE * st FROM (VALUES (0, 0.25::DOUBLE), (1, 0.5::DOUBLE), (2, 0.75::DOUBLE), (3, 1::DOUBLE)) s(si, st), (VALUES {", ".join(f"({i}, ({a}), ({b}))" for i, (a, b) in enumerate(study.MOVES))}) m(mi, mx, my)),
+tr AS (SELECT o, bx + dx AS cx, by_ + dy AS cy, elevation FROM held, mv WHERE o = 0 OR (bx + dx BETWEEN (-69.75)::DOUBLE AND 79.75::DOUBLE AND by_ + dy BETWEEN (-19.75)::DOUBLE AND 69.75::DOUBLE)),
+pr AS (SELECT tr.*, cx + a.v * 0.25::DOUBLE AS x, cy + b.v * 0.25::DOUBLE AS y FROM tr, (VALUES (-0.9::DOUBLE), (-0.45::DOUBLE), (0::DOUBLE), (0.45::DOUBLE), (0.9::DOUBLE)) a(v), (VALUES (-0.9::DOUBLE), (-0.45::DOUBLE), (0::DOUBLE), (0.45::DOUBLE), (0.9::DOUBLE)) b(v)),
+sh AS (SELECT o, cx, cy, elevation, avg(inside::INT) AS coverage FROM ({_parity("pr")}) GROUP BY ALL ORDER BY coverage DESC, o LIMIT 1)
+SELECT '{_REGION[0]}' AS name, round(cx, 6) AS lon, round(cy, 6) AS lat, round(elevation, 6) AS elevation, round(coverage, 6) AS coverage FROM sh""")
+def q_study_window(spark, sf_dir):
+    """The window of a region whose scan cells get their heights from the customers' balances; one cell has none."""
+    cells = spark.range(63).select(F.col("id").cast("int").alias("i"), (-70.0 + 150.0 * (F.col("id") % 9 + 0.5) / 9).alias("lon"), (-20.0 + 90.0 * (F.floor(F.col("id") / 9) + 0.5) / 7).alias("lat"))
+    heights = pseudo.table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 63).cast("int").alias("i")).agg((F.avg("c_acctbal") / 100).alias("elevation")).where("i <> 5")
+    regions = spark.createDataFrame([_REGION], "name string, w double, s double, e double, n double")
+    edges = spark.createDataFrame([(_REGION[0], *x) for x in _EDGES], "name string, x0 double, y0 double, x1 double, y1 double")
+    out = study.study_windows(regions, edges, cells.join(heights, "i").select("lon", "lat", "elevation"))
+    return out.select("name", *(_r(c).alias(c) for c in ("lon", "lat", "elevation", "coverage")))
+
+
+@query("""WITH a AS (SELECT p_partkey, sqrt(p_partkey + 0.5::DOUBLE) * p_size * p_size / 100 AS ha FROM part)
+SELECT p_partkey, CASE WHEN ha >= 100 THEN format('{:.2f}', ha / 100) || ' km² (' || format('{:,}', round_even(ha, 0)::BIGINT) || ' ha)' WHEN ha >= 1 THEN format('{:,.1f}', ha) || ' ha' ELSE format('{:,}', round_even(ha * 10000, 0)::BIGINT) || ' m²' END AS area FROM a""")
+def q_area_format(spark, sf_dir):
+    ha = F.sqrt(F.col("p_partkey") + 0.5) * F.col("p_size") * F.col("p_size") / 100
+    return pseudo.table(spark, sf_dir, "part").select("p_partkey", ix.area_text(ha).alias("area"))
+
+
+@query("""SELECT c_nationkey AS aoi, CASE WHEN count(*) > 1 THEN CASE WHEN sum(lat * ha) / sum(ha) > (min(lat) + max(lat)) / 2 THEN 'northern' ELSE 'southern' END || ' and ' || CASE WHEN sum(lon * ha) / sum(ha) > (min(lon) + max(lon)) / 2 THEN 'eastern' ELSE 'western' END END AS bias
+FROM (SELECT c_nationkey, (c_custkey * 37 % 180) - 90.0::DOUBLE AS lon, (c_custkey * 53 % 97)::DOUBLE AS lat, abs(c_acctbal) + 1 AS ha FROM customer) GROUP BY c_nationkey""")
+def q_spatial_bias(spark, sf_dir):
+    rows = pseudo.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("aoi"), ((F.col("c_custkey") * 37 % 180) - 90.0).alias("lon"), (F.col("c_custkey") * 53 % 97).cast("double").alias("lat"), (F.abs("c_acctbal") + 1).alias("area_ha"))
+    return report.spatial_bias(rows)
+
+
+@query("""SELECT p_partkey, round(greatest(0.05::DOUBLE, least(0.97::DOUBLE, CASE WHEN cl > 0 THEN x ELSE least(x, 0.72::DOUBLE) END)), 6) AS confidence FROM (SELECT p_partkey, cl, 0.50::DOUBLE + 0.15::DOUBLE * least(vf / 0.9::DOUBLE, 1) + 0.12::DOUBLE * CASE WHEN n >= 4 THEN 1 WHEN n = 3 THEN 0.6::DOUBLE ELSE 0 END
+  + CASE WHEN cl > 0 THEN 0.13::DOUBLE * least(p / 0.6::DOUBLE, 1) ELSE 0 END + 0.10::DOUBLE - CASE WHEN cloud > 10 THEN 0.08::DOUBLE ELSE 0 END AS x FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS vf, p_partkey % 7 AS n, p_partkey % 4 AS cl, p_partkey % 11 / 11.0::DOUBLE AS p, p_retailprice % 20 AS cloud FROM part))""")
+def q_overall_confidence(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = pseudo.table(spark, sf_dir, "part").select(k, (F.col("p_size") / 50).alias("valid_fraction"), (k % 7).alias("epoch_count"), (k % 4).alias("cluster_count"), (k % 11 / 11).alias("mean_persistence"), (F.col("p_retailprice") % 20).alias("mean_cloud"))
+    return rows.select("p_partkey", _r(report.overall_confidence()).alias("confidence"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value FROM events WHERE event_id % 9 <> 0""")
+def q_frames_round_trip(spark, sf_dir):
+    """Events as JSON lines, every ninth one cut short, read back: broken lines are skipped, numbers that JSON can't hold are null."""
+    e = pseudo.table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
+    text = files.frames(e).withColumn("id", F.get_json_object("value", "$.event_id").cast("long"))
+    cut = text.select(F.when(F.col("id") % 9 == 0, F.substring("value", 1, 9)).otherwise(F.col("value")).alias("value"))
+    return files.parse_frames(cut, "event_id long, value double")
+
+
+@query()
+def q_report_lines(spark, sf_dir):
+    """The Markdown report of a question over the whole pseudo-raster."""
+    from ..engine import Engine
+
+    engine = Engine(spark, pseudo.pixels(spark, sf_dir), pseudo.frame(spark, sf_dir), today=TODAY)
+    for _ in engine.analyze("Show urban expansion in Ringland between 2016 and 2022"):
+        pass
+    return engine.report()
+
+
 # ---- questions and text ------------------------------------------------------------------------------------------------------------------------
 
 _ASKS = (
@@ -406,6 +550,11 @@ def q_interpret_years(spark, sf_dir):
     return rows.select("conv_id", "turn", F.col("w.start").alias("start_year"), F.col("w.end").alias("end_year"))
 
 
+@query()
+def q_interpret_place(spark, sf_dir):
+    return _asked(spark, sf_dir).select("conv_id", "turn", interpret.place(interpret.normalise(F.col("text"))).alias("place"))
+
+
 _NEAR_SQL = " ".join(f"WHEN regexp_matches(q, '\\b(?:{'|'.join(v)})\\b') THEN '{k}'" for k, v in NEAR_FEATURES.items())
 
 
@@ -438,20 +587,23 @@ def _signatures(spark, sf_dir):
 
 
 @query(f"""WITH v AS (SELECT lpad(vec_id::VARCHAR, 6, '0') AS key, embedding[1:13]::DOUBLE[] AS v, vec_id FROM embeddings),
-d AS (SELECT q.key AS query_key, p.key, sqrt(list_sum(list_transform(range(1, 14), lambda i: pow((q.v[i] - p.v[i]) * {_W_SQL}[i], 2)))) AS distance FROM v q JOIN v p ON q.key <> p.key WHERE q.vec_id % 25 = 0 AND p.vec_id < 200),
+d AS (SELECT q.key AS query_key, p.key, sqrt(list_sum(list_transform(range(1, 14), lambda i: pow((q.v[i] - p.v[i]) * {_W_SQL}[i], 2)))) AS distance FROM v q JOIN v p ON q.key <> p.key WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY round(distance, 9), key) AS rank FROM d)
 SELECT query_key, key, rank::INT AS rank, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS similarity FROM r WHERE rank <= 4""")
 def q_similarity_topk(spark, sf_dir):
     s = _signatures(spark, sf_dir)
-    out = signatures.most_similar(s.where("seq % 25 = 0"), s.where("seq < 200"))
+    out = signatures.most_similar(s.where("seq % 20 = 0"), s)
     return out.select("query_key", "key", "rank", _r("distance").alias("distance"), _r("similarity").alias("similarity"))
 
 
-@query("""WITH v AS (SELECT lpad((vec_id % 300)::VARCHAR, 6, '0') AS key, vec_id AS seq FROM embeddings), o AS (SELECT * FROM v WHERE seq < 300), n AS (SELECT * FROM v WHERE seq >= 300 AND seq < 420)
+@query("""WITH o AS (SELECT lpad(vec_id::VARCHAR, 6, '0') AS key, vec_id AS seq FROM embeddings), n AS (SELECT lpad(vec_id::VARCHAR, 6, '0') AS key, vec_id + 1000000 AS seq FROM embeddings WHERE label = 0)
 SELECT key, seq FROM (SELECT * FROM o WHERE key NOT IN (SELECT key FROM n) UNION ALL SELECT * FROM n) ORDER BY seq DESC, key LIMIT 200""")
 def q_signature_upsert(spark, sf_dir):
-    v = _signatures(spark, sf_dir).withColumn("key", F.lpad((F.col("seq") % 300).cast("string"), 6, "0"))
-    return signatures.upsert(v.where("seq < 300"), v.where("seq >= 300 AND seq < 420")).select("key", "seq")
+    """All signatures as the store; those of one class are analysed again."""
+    store = _signatures(spark, sf_dir)
+    again = pseudo.table(spark, sf_dir, "embeddings").where("label = 0").select(F.lpad(F.col("vec_id").cast("string"), 6, "0").alias("key"))
+    new = store.join(again, "key", "left_semi").withColumn("seq", F.col("seq") + 1000000)
+    return signatures.upsert(store, new).select("key", "seq")
 
 
 @query("SELECT event_type || '-' || user_id % 10 AS step, arg_max(event_id, event_id) AS value FROM events GROUP BY ALL")
