@@ -281,20 +281,20 @@ def q_signature(spark, sf_dir):
 
 
 @query(_with(pseudo.SQL, """, t AS (SELECT k, h, (h * 3) // 2 AS m, tr::INT AS tr, tc::INT AS tc FROM (SELECT DISTINCT k FROM px), hh, range((h * 3) // 2) a(tr), range((h * 3) // 2) b(tc))
-SELECT t.k, tr AS r, tc AS c, round(nir, 6) AS nir, scl FROM t LEFT JOIN px ON px.k = t.k AND px.r = floor((tr + 0.5::DOUBLE) * h / m) AND px.c = floor((tc + 0.5::DOUBLE) * h / m)"""))
+SELECT t.k, tr AS r, tc AS c, round(coalesce(nir, 0), 6) AS nir, coalesce(scl, 0) AS scl FROM t LEFT JOIN px ON px.k = t.k AND px.r = floor((tr + 0.5::DOUBLE) * h / m) AND px.c = floor((tc + 0.5::DOUBLE) * h / m)"""))
 def q_resample_nearest(spark, sf_dir):
     h = pseudo.side(spark, sf_dir)
     out = raster.resample_nearest(pseudo.pixels(spark, sf_dir), ["nir", "scl"], ["k"], (h, h), (h * 3 // 2, h * 3 // 2))
-    return out.select("k", "r", "c", _r("nir").alias("nir"), "scl")
+    return out.select("k", "r", "c", _r(F.coalesce("nir", F.lit(0.0))).alias("nir"), F.coalesce("scl", F.lit(0)).alias("scl"))
 
 
 @query(_with(pseudo.SQL, """, t AS (SELECT k, tr::INT AS tr, tc::INT AS tc, (tr + 0.5::DOUBLE) * h / ((h * 2) // 3) - 0.5::DOUBLE AS y, (tc + 0.5::DOUBLE) * h / ((h * 2) // 3) - 0.5::DOUBLE AS x FROM (SELECT DISTINCT k FROM px), hh, range((h * 2) // 3) a(tr), range((h * 2) // 3) b(tc)),
 w AS (SELECT t.*, px.nir, px.red, (1 - abs(y - px.r)) * (1 - abs(x - px.c)) AS w FROM t LEFT JOIN px ON px.k = t.k AND abs(y - px.r) < 1 AND abs(x - px.c) < 1)
-SELECT k, tr AS r, tc AS c, round(sum(w * nir) / sum(w), 6) AS nir, round(sum(w * red) / sum(w), 6) AS red FROM w GROUP BY ALL"""))
+SELECT k, tr AS r, tc AS c, round(sum(w * nir) / sum(w), 10) AS nir, round(sum(w * red) / sum(w), 10) AS red FROM w GROUP BY ALL"""))
 def q_resample_bilinear(spark, sf_dir):
     h = pseudo.side(spark, sf_dir)
     out = raster.resample_bilinear(pseudo.pixels(spark, sf_dir), ["nir", "red"], ["k"], (h, h), (h * 2 // 3, h * 2 // 3))
-    return out.select("k", "r", "c", _r("nir").alias("nir"), _r("red").alias("red"))
+    return out.select("k", "r", "c", _r("nir", 10).alias("nir"), _r("red", 10).alias("red"))
 
 
 @query("""WITH s AS (SELECT p_partkey, p_size * 137.0::DOUBLE AS w, p_retailprice * 3::DOUBLE AS h, CASE p_partkey % 3 WHEN 0 THEN [1, 2, 4, 8, 16] WHEN 1 THEN [1, 3, 9] ELSE [1] END AS levels FROM part),
