@@ -89,18 +89,19 @@ class Engine:
             mode = plan["mode"]
             marked = detect.kept(detect.candidates(pixels, mode, self.settings))
             labels = detect.kept(detect.labelled(marked, self.frame, self.settings))
-            clusters = detect.kept(detect.clusters(pixels, mode, self.frame, self.settings))
+            done = (marked, labels)
+            clusters = detect.kept(detect.clusters(pixels, mode, self.frame, self.settings, scored_by=done))
             yield event(step, "done", f"{clusters.count()} clusters")
             step = "explain"
             yield event(step, "running")
-            summary = detect.kept(report.stats(clusters, detect.quality_counts(pixels, mode, self.frame, self.settings), epochs, settings=self.settings))
+            summary = detect.kept(report.stats(clusters, detect.quality_counts(pixels, mode, self.frame, self.settings, done), epochs, settings=self.settings))
             detailed = clusters.where(F.col("id") <= self.settings.detail_cap)
             where = detailed.select("aoi", F.col("centre_c").alias("lon"), (-F.col("centre_r")).alias("lat"), "area_ha")
             story = detect.kept(report.narrative(summary, report.spatial_bias(where), report.onset_span(detailed), mode, plan["start_year"], plan["end_year"], plan["place"]))
             vectors = signatures.describe(detect.pair(pixels), labels, self.frame.pixel_ha, self.settings)
             self.last = {
                 "clusters": clusters.where(F.col("id") <= report.RESPONSE_CLUSTERS), "stats": summary, "narrative": story, "epochs": epochs, "signatures": vectors, "report": report.markdown(story, clusters, epochs),
-                "timeline": detect.timeline(pixels, mode, self.frame, self.settings), "mask_png": neighbourhood.masks_png(labels, self.frame.height, self.frame.width),
+                "timeline": detect.timeline(pixels, mode, self.frame, self.settings, done), "mask_png": neighbourhood.masks_png(labels, self.frame.height, self.frame.width),
             }
             if self.store:
                 self._remember(vectors, mode)

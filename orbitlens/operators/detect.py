@@ -109,11 +109,20 @@ def onsets(pixels: DataFrame, labels: DataFrame, mode: str) -> DataFrame:
     return means.join(ends, ["aoi", "label"]).where((F.col("k") > 0) & crossed).groupBy("aoi", "label").agg(F.min("year").alias("onset_year"))
 
 
-def clusters(pixels: DataFrame, mode: str, frame: Frame, settings: Settings = SETTINGS, shift_px: float = 0.0) -> DataFrame:
-    """One row a component of at least the minimum unit, largest first (ties: least label): place, size, change, persistence, onset, confidence."""
+def _stages(pixels: DataFrame, mode: str, frame: Frame, settings: Settings, scored_by: tuple[DataFrame, DataFrame] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    if scored_by:
+        return pixels, *scored_by
     pixels = kept(pixels)
     marked = kept(candidates(pixels, mode, settings))
-    labels = kept(labelled(marked, frame, settings))
+    return pixels, marked, kept(labelled(marked, frame, settings))
+
+
+def clusters(pixels: DataFrame, mode: str, frame: Frame, settings: Settings = SETTINGS, shift_px: float = 0.0, scored_by: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One row a component of at least the minimum unit, largest first (ties: least label): place, size, change, persistence, onset, confidence.
+
+    `scored_by` gives the candidates and labels where a caller has them already.
+    """
+    pixels, marked, labels = _stages(pixels, mode, frame, settings, scored_by)
     up = MODES[mode][2] == "increase"
     cloud = pixels.groupBy(*KEYS).agg(F.max((~F.col("valid")).cast("int")).alias("cloudy"))
     rows = labels.join(marked.select(*KEYS, "delta"), KEYS).join(persistence(pixels, marked, mode), KEYS).join(cloud, KEYS)
@@ -146,12 +155,11 @@ def clusters(pixels: DataFrame, mode: str, frame: Frame, settings: Settings = SE
     return out.withColumns({"id": rank, "name": name, "area_ha": F.col("pixel_count") * frame.pixel_ha}).drop("epochs")
 
 
-def timeline(pixels: DataFrame, mode: str, frame: Frame, settings: Settings = SETTINGS) -> DataFrame:
+def timeline(pixels: DataFrame, mode: str, frame: Frame, settings: Settings = SETTINGS, scored_by: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One row an epoch: mean over the core, mean over the change (over the core if there is none), share that has changed, status."""
     up = MODES[mode][2] == "increase"
-    pixels = kept(pixels)
-    marked = kept(candidates(pixels, mode, settings))
-    labels = kept(labelled(marked, frame, settings)).withColumn("hot", F.lit(True)).select(*KEYS, "hot")
+    pixels, marked, labels = _stages(pixels, mode, frame, settings, scored_by)
+    labels = labels.withColumn("hot", F.lit(True)).select(*KEYS, "hot")
     anywhere = labels.groupBy("aoi").agg(F.lit(True).alias("any_hot"))
     area = marked.select(*KEYS, "shift", index(mode_index(mode), "_b").alias("base"), index(mode_index(mode), "_a").alias("last")).join(labels, KEYS, "left").join(anywhere, "aoi", "left")
     area = area.withColumn("hot", F.coalesce("hot", F.col("any_hot").isNull()))
@@ -168,11 +176,11 @@ def timeline(pixels: DataFrame, mode: str, frame: Frame, settings: Settings = SE
     return out.join(span, "aoi").withColumn("progress", progress).withColumn("status", status).drop("hot0", "hot1", "progress")
 
 
-def quality_counts(pixels: DataFrame, mode: str, frame: Frame, settings: Settings = SETTINGS) -> DataFrame:
+def quality_counts(pixels: DataFrame, mode: str, frame: Frame, settings: Settings = SETTINGS, scored_by: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Per AOI: core pixels, threshold hits, plausible ones, cleaned ones, and the share of hits that cleaning removed (below 0 where closing added more)."""
-    marked = kept(candidates(pixels, mode, settings))
+    marked, labels = scored_by or (kept(candidates(pixels, mode, settings)), None)
     counts = marked.groupBy("aoi").agg(F.count("*").alias("core"), F.count_if("raw_hit").alias("raw_hits"), F.count_if(F.col("raw_hit") & F.col("allowed")).alias("gated"))
-    clean = labelled(marked, frame, settings).groupBy("aoi").agg(F.count("*").alias("cleaned"))
+    clean = (labelled(marked, frame, settings) if labels is None else labels).groupBy("aoi").agg(F.count("*").alias("cleaned"))
     out = counts.join(clean, "aoi", "left").withColumn("cleaned", F.coalesce("cleaned", F.lit(0)))
     return out.withColumn("noise_rejection", F.try_divide(F.col("gated") - F.col("cleaned"), F.col("gated")))
 
