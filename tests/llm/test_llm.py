@@ -308,6 +308,25 @@ def test_decontamination(spark):
     assert left.columns == docs.columns and left.count() == len(rows) - len({d for d, _ in got})
 
 
+def leaks_of(spark, item, passages, copies):
+    """Scores of the documents that hold the passages, `copies` of each, by passage; missing ones as 0."""
+    rows = [(100 * i + k, " ".join([text(20), *w, text(20)])) for i in range(copies) for k, w in enumerate(passages)]
+    got = {r.doc_id: r.score for r in decontaminate.contamination(docs_of(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    return [[got.get(100 * i + k, 0) for i in range(copies)] for k in range(len(passages))]
+
+
+@pytest.mark.parametrize("copies", [1, 5, 50, 1000])
+def test_decontamination_finds_edited_copies_in_any_number_of_documents(spark, copies):
+    item = [f"b{j}" for j in range(30)]
+    fifth = [f"z{j}" if j % 5 == 4 else w for j, w in enumerate(item)]
+    some = [f"z{j}" if j in R.choice(30, 9, replace=False) else w for j, w in enumerate(item)]
+    passages = [item, fifth, item[:16], item[15:], [w for j, w in enumerate(item) if j % 4], some]
+    want = [brute_score(item, w) for w in passages]
+    assert min(want[:5]) >= 0.5
+    for score, got in zip(want, leaks_of(spark, item, passages, copies), strict=True):
+        assert got == pytest.approx([score if score >= 0.5 else 0] * copies)
+
+
 def test_classifier_on_held_out_labels(spark):
     got = classifier.op10_quality(spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
