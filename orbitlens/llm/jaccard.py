@@ -11,6 +11,8 @@ multiplied with the others: those pairs' overlaps are accumulated, first over th
 holds all of its common columns in the other, so the overlap is at most the heads' plus what lies beyond), then in blocks over their whole rows; (4) components are formed; in columns that still hold several
 of them the class that shares most columns is multiplied with the other components; (5) what is left gives all its pairs across components.  Pairs within a
 component are not multiplied again, so a group of copies costs about one product a member; no link between components is lost.
+
+Links themselves (`jaccard_links`, `link_counts`) lie inside components, so there each component's classes are multiplied block by block with all others of it.
 """
 
 from __future__ import annotations
@@ -34,6 +36,11 @@ COUNTED = 1 << 19
 FILTER = 1 << 20
 #: Pairs to a block of the product.
 BLOCK = 256
+#: Classes and cells to a block of a component's classes, where all its links are wanted.
+LINK_BLOCK = 512
+LINK_CELLS = 1 << 18
+#: Columns multiplied densely at a time.
+DENSE = 4096
 
 
 def need(num: int, den: int, a, b):
@@ -162,6 +169,73 @@ def _link_rows(batches, num: int, den: int):
             yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(b[linked]), pa.array(overlap[linked])], schema=schema)
 
 
+def overlaps(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Overlaps of all rows of two blocks: columns that many rows share by a dense product, the others by a sparse one."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    keys = [np.concatenate([np.frombuffer(x, np.uint64) for x in rows]) for rows in (left, right)]
+    shared = np.intersect1d(*keys)
+    if not len(shared):
+        return out
+    row, col = [], []
+    for rows, k in zip((left, right), keys, strict=True):
+        at = np.minimum(np.searchsorted(shared, k), len(shared) - 1)
+        same = shared[at] == k
+        row.append(np.repeat(np.arange(len(rows)), [len(x) // 8 for x in rows])[same])
+        col.append(at[same])
+    count = [np.bincount(c, minlength=len(shared)) for c in col]
+    dense = 64 * count[0] * count[1] >= out.size
+    number = np.cumsum(dense) - 1
+    inside = [dense[c] for c in col]
+    for first in range(0, int(dense.sum()), DENSE):
+        cells = []
+        for rows, r, c, own in zip((left, right), row, col, inside, strict=True):
+            at = number[c[own]] - first
+            here = (at >= 0) & (at < DENSE)
+            block = np.zeros((len(rows), min(DENSE, int(dense.sum()) - first)), np.float32)
+            block[r[own][here], at[here]] = 1
+            cells.append(block)
+        out += (cells[0] @ cells[1].T).astype(np.int64)
+    (lr, lc), (rr, rc) = ((r[~own], c[~own]) for r, c, own in zip(row, col, inside, strict=True))
+    rr = rr[np.argsort(rc, kind="stable")]
+    count[1][dense] = 0
+    begin = np.cumsum(count[1]) - count[1]
+    for at in range(0, len(lc), 1 << 16):
+        b, n = begin[lc[at : at + (1 << 16)]], count[1][lc[at : at + (1 << 16)]]
+        where = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(b, n)
+        np.add.at(out, (np.repeat(lr[at : at + (1 << 16)], n), rr[where]), 1)
+    return out
+
+
+def _inside_rows(batches, num: int, den: int):
+    """Links between the classes of two blocks (lo, hi) of a component; the rows of such a pair follow each other."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64())])
+
+    def linked(members):
+        part, node = (np.array([m[i] for m in members]) for i in (3, 4))
+        lo, hi = members[0][1:3]
+        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        if not len(left) or not len(right):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, schema=schema)
+        size = np.array([len(m[5]) // 8 for m in members])
+        shared = overlaps([members[i][5] for i in left], [members[i][5] for i in right])
+        hit = den * shared >= num * (size[left][:, None] + size[right][None] - shared)
+        if lo == hi:
+            hit &= node[left][:, None] < node[right][None]
+        i, j = np.nonzero(hit)
+        a, b = node[left[i]], node[right[j]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shared[i, j])], schema=schema)
+
+    members = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if members and members[-1][:3] != row[:3]:
+                yield linked(members)
+                members = []
+            members.append(row)
+    if members:
+        yield linked(members)
+
+
 def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, node, key, component) for each row: key is the text's hash, node its set's, component its component's (null without shingles)."""
     spark = docs.sparkSession
@@ -266,10 +340,56 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     Null, empty and blank texts have no shingles, link with nothing and are their own component.  component_id is the smallest doc_id of the component, null
     if all are null.  Rows with equal doc_id are documents of their own; repeated rows share a class.  An empty table gives no rows.
     """
-    labelled = _labelled(docs, n, num, den)
+    return _named(_labelled(docs, n, num, den)).select("doc_id", "n_shingles", "component_id")
+
+
+def _named(labelled: DataFrame) -> DataFrame:
+    """The rows of `_labelled` with component_id."""
     least = labelled.where("node is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(least, "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def _inside(labelled: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(a, b, overlap) of all linked classes a < b: every component's classes in blocks, every block times itself and the others."""
+    spark = docs.sparkSession
+    classes = labelled.where("node is not null").groupBy("component", "node").agg(F.min("key").alias("key"), F.first("n_shingles").alias("cells"))
+    parts = F.greatest(F.ceil(F.count("*") / LINK_BLOCK), F.ceil(F.sum("cells") / LINK_CELLS)).cast("long")
+    several = classes.groupBy("component").agg(parts.alias("parts"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
+    classes = saved(classes.join(several, "component").drop("cells"), "classes")
+    used = classes.select(F.pmod("key", F.lit(FILTER)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
+    if not len(used):
+        return spark.createDataFrame([], "a long, b long, overlap long")
+    bits = np.zeros(FILTER, bool)
+    bits[used] = True
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("key"), "text")
+    matrix = texts.mapInArrow(functools.partial(_matrix_rows, n=n, bits=bits), _ROWS).join(classes.drop("key"), "node").dropDuplicates(["node"])
+    own, other = F.col("part"), F.col("other")
+    matrix = matrix.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    blocks = matrix.select("component", F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), "part", "node", "row")
+    blocks = blocks.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    return saved(blocks.mapInArrow(functools.partial(_inside_rows, num=int(num), den=int(den)), "a long, b long, overlap long"), "inside")
+
+
+def jaccard_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """All links, as members (doc_id, n_shingles, node) and (a, b, overlap): two rows link if they have the same node or if their nodes are a pair, a < b.
+
+    A node is a class of rows with equal sets (null without shingles, which links with nothing); overlap is the number of common shingles.
+    """
+    labelled = saved(_labelled(docs, n, num, den), "labelled")
+    return labelled.select("doc_id", "n_shingles", "node"), _inside(labelled, docs, n, num, den)
+
+
+def link_counts(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for each row of `docs`: as `ngram_jaccard_join`, with the number of other rows that it links with."""
+    labelled = saved(_labelled(docs, n, num, den), "labelled")
+    size = labelled.where("node is not null").groupBy("node").agg(F.count("*").alias("size"))
+    links = _inside(labelled, docs, n, num, den)
+    both = links.select(F.col("a").alias("end"), F.col("b").alias("node")).unionByName(links.select(F.col("b").alias("end"), F.col("a").alias("node")))
+    met = both.join(size, "node").groupBy("end").agg(F.sum("size").alias("met")).withColumnRenamed("end", "node")
+    counted = size.join(met, "node", "left").select("node", (F.col("size") - 1 + F.coalesce("met", F.lit(0))).alias("n_links"))
+    out = _named(labelled).join(counted, "node", "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -290,6 +410,11 @@ def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
+def op3_link_counts(spark, sf_dir: str) -> DataFrame:
+    """The same components with each document's number of links."""
+    return link_counts(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 ORACLE = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -304,3 +429,8 @@ r AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT r.node, e.b FROM
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.seen) AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY ALL
 """
+
+#: The same links, counted by document.
+LINK_ORACLE = ORACLE.replace("AS component_id", "AS component_id, coalesce(t.k, 0) AS n_links").replace(
+    "USING (doc_id) JOIN r", "USING (doc_id) LEFT JOIN (SELECT a, count(*) AS k FROM e GROUP BY a) t ON t.a = d.doc_id JOIN r"
+)

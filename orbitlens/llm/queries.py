@@ -8,6 +8,7 @@ QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
     "op2_ctw_scores": ctw.op2_ctw_scores,
     "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
+    "op3_link_counts": jaccard.op3_link_counts,
     "op4_warc": warc.op4_warc,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_secret_scan": secrets.op6_secret_scan,
@@ -21,6 +22,7 @@ QUERIES = {
 ORACLES = {
     "op1_url_filter": urls.ORACLE,
     "op3_ngram_jaccard": jaccard.ORACLE,
+    "op3_link_counts": jaccard.LINK_ORACLE,
     "op4_warc": warc.ORACLE,
     "op6_secret_scan": secrets.ORACLE,
     "op7_exact_topk": topk.ORACLE,

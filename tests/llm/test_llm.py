@@ -95,6 +95,24 @@ def test_jaccard(spark, n, num):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_links_inside_components_are_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "LINK_BLOCK", block)
+    rows = near_copies()
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set()) for w in (split(t) for _, t in rows)]
+    links = {(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
+    want = collections.Counter((doc, len(sets[i]), sum(i in p for p in links)) for i, (doc, _) in enumerate(rows))
+    docs = docs_of(spark, rows)
+    assert collections.Counter((r.doc_id, r.n_shingles, r.n_links) for r in jaccard.link_counts(docs).collect()) == want
+    members, pairs = (x.collect() for x in jaccard.jaccard_links(docs))
+    by_node = collections.defaultdict(list)
+    for r in members:
+        by_node[r.node].append(r.doc_id)
+    got = [p for node, x in by_node.items() if node is not None for p in itertools.combinations(x, 2)] + [(x, y) for r in pairs for x in by_node[r.a] for y in by_node[r.b]]
+    ends = lambda pairs: collections.Counter(frozenset(p) for p in pairs)
+    assert ends(got) == ends((rows[a][0], rows[b][0]) for a, b in links) and len(pairs) > 40
+
+
 def test_keep_one_keeps_columns_and_one_row(spark):
     rows = near_copies() + [(300, "same words here again and again"), (300, "same words here again and again")]
     docs = docs_of(spark, rows)
