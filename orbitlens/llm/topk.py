@@ -141,6 +141,7 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id"
     """(query_id, rank, vec_id, score): the k best other rows of every row that `is_query` (a condition) selects.
 
     Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id; vectors meet those of their own length.
+    Every other row is a candidate: repeated rows, with equal vec_ids and vectors, each take a rank of their own.
     Rows with a query's id count as the query's own.  Equal queries ids are answered once.  Products beyond a long are held to its range.  No queries or an empty table give no rows.
     """
     spark = vectors.sparkSession
@@ -151,7 +152,7 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id"
     for block in _query_blocks(queries):
         part = rows.mapInArrow(functools.partial(_search, blocks=block, k=k), "query_id long, vec_id long, score long")
         by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        part = part.distinct().withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        part = part.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         part = saved(part, "best")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

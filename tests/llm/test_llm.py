@@ -218,6 +218,14 @@ def test_topk(spark):
         assert mine == [(c, -s) for s, c in scores][: len(mine)] and len(mine) >= 4
 
 
+@pytest.mark.parametrize("tasks", [1, 4])
+def test_topk_keeps_repeated_candidates(spark, tasks):
+    rows = [(0, [1.0, 0.0])] + [(1, [9.0, 0.0])] * 2 + [(2, [8.0, 0.0])] * 6 + [(i, [float(8 - i), 1.0]) for i in range(3, 8)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(tasks)
+    got = sorted((r.rank, r.vec_id) for r in topk.exact_top_k(vectors, "vec_id = 0").collect())
+    assert got == [(1, 1), (2, 1), (3, 2), (4, 2), (5, 2)]
+
+
 def test_packing_is_a_round_trip(spark):
     from tokenizers import Tokenizer
 
