@@ -353,6 +353,16 @@ def test_decontamination_finds_edited_copies_in_any_number_of_documents(spark, c
         assert got == pytest.approx([score if score >= 0.5 else 0] * copies)
 
 
+def test_decontamination_finds_copies_without_a_long_run_of_words(spark):
+    item = [f"b{j}" for j in range(32)]
+    changed = [[f"z{j}" if j % 4 == at else w for j, w in enumerate(item)] for at in range(4)]
+    between = [x for j, w in enumerate(item) for x in (w, f"z{j}")][:-1]
+    third = [f"z{j}" if j % 3 == 2 else w for j, w in enumerate(item)]
+    want = [brute_score(item, w) for w in [*changed, between, third]]
+    assert min(want) >= 0.5
+    assert [x for x, in leaks_of(spark, item, [*changed, between, third], 1)] == pytest.approx(want)
+
+
 def test_classifier_on_held_out_labels(spark):
     got = classifier.op10_quality(spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
