@@ -31,7 +31,7 @@ class StageError(Exception):
 class Engine:
     """Analyses of one pixel table.
 
-    `pixels` (aoi, k, year, r, c, bands, scl, valid) holds every AOI of a query on one `frame`; `store` is the folder of the signature store, or None.
+    `pixels` (aoi, k, year, r, c, bands, scl, valid) holds every AOI of a query on one `frame`, with its scene's `cloud` in percent if known (else 0); `store` is the folder of the signature store, or None.
     """
 
     def __init__(self, spark: SparkSession, pixels: DataFrame, frame: detect.Frame, store: str | None = None, today: dt.date | None = None, settings: Settings = SETTINGS):
@@ -79,7 +79,8 @@ class Engine:
             step = "load"
             yield event(step, "running")
             pixels = detect.kept(self._epochs(plan["start_year"], plan["end_year"]))
-            epochs = detect.kept(pixels.groupBy("aoi", "k", "year").agg(F.avg(F.col("valid").cast("int")).alias("valid_fraction"), F.lit(0.0).alias("cloud")))
+            cloud = F.max("cloud").cast("double") if "cloud" in pixels.columns else F.lit(0.0)
+            epochs = detect.kept(pixels.groupBy("aoi", "k", "year").agg(F.avg(F.col("valid").cast("int")).alias("valid_fraction"), F.coalesce(cloud, F.lit(0.0)).alias("cloud")))
             fewest = epochs.groupBy("aoi").count().agg(F.min("count")).first()[0]
             if fewest is None or fewest < 2:
                 raise StageError("Fewer than two usable epochs in this period; try a longer one.")
@@ -90,11 +91,12 @@ class Engine:
             marked = detect.kept(detect.candidates(pixels, mode, self.settings))
             labels = detect.kept(detect.labelled(marked, self.frame, self.settings))
             done = (marked, labels)
-            clusters = detect.kept(detect.clusters(pixels, mode, self.frame, self.settings, scored_by=done))
+            shift = detect.kept(detect.registration(marked, mode, self.frame))
+            clusters = detect.kept(detect.clusters(pixels, mode, self.frame, self.settings, shift, done))
             yield event(step, "done", f"{clusters.count()} clusters")
             step = "explain"
             yield event(step, "running")
-            summary = detect.kept(report.stats(clusters, detect.quality_counts(pixels, mode, self.frame, self.settings, done), epochs, settings=self.settings))
+            summary = detect.kept(report.stats(clusters, detect.quality_counts(pixels, mode, self.frame, self.settings, done), epochs, shift, self.settings))
             detailed = clusters.where(F.col("id") <= self.settings.detail_cap)
             where = detailed.select("aoi", F.col("centre_c").alias("lon"), (-F.col("centre_r")).alias("lat"), "area_ha")
             story = detect.kept(report.narrative(summary, report.spatial_bias(where), report.onset_span(detailed), mode, plan["start_year"], plan["end_year"], plan["place"]))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MAD_TO_SIGMA, MODES, SETTINGS, SIGMA_FLOOR, Settings
 from ..functions.indices import confidence_band, gate, index, mode_index, passes_threshold
-from .neighbourhood import KEYS, close, components, erode, minimum_unit, neighbour_filter
+from .neighbourhood import KEYS, close, components, erode, minimum_unit, neighbour_filter, shifts
 
 _BANDS = ("nir", "red", "swir16", "green")
 
@@ -117,10 +117,23 @@ def _stages(pixels: DataFrame, mode: str, frame: Frame, settings: Settings, scor
     return pixels, marked, kept(labelled(marked, frame, settings))
 
 
-def clusters(pixels: DataFrame, mode: str, frame: Frame, settings: Settings = SETTINGS, shift_px: float = 0.0, scored_by: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def registration(marked: DataFrame, mode: str, frame: Frame) -> DataFrame:
+    """(aoi, shift_px): how far the mode's index moved between the end epochs, over the core pixels of `candidates` (0 elsewhere)."""
+    ends = [marked.select("aoi", F.lit(k).alias("k"), "r", "c", index(mode_index(mode), suffix).alias("value")) for k, suffix in enumerate(("_b", "_a"))]
+    return shifts(ends[0].unionByName(ends[1]), "value", frame.height, frame.width, 0.0).select("aoi", F.hypot("dy", "dx").alias("shift_px"))
+
+
+def with_shift(rows: DataFrame, shift_px: float | DataFrame) -> DataFrame:
+    """The rows with `shift_px`: one number, or each AOI's (0 where it has none)."""
+    if isinstance(shift_px, DataFrame):
+        return rows.join(shift_px.select("aoi", "shift_px"), "aoi", "left").fillna(0.0, ["shift_px"])
+    return rows.withColumn("shift_px", F.lit(float(shift_px)))
+
+
+def clusters(pixels: DataFrame, mode: str, frame: Frame, settings: Settings = SETTINGS, shift_px: float | DataFrame = 0.0, scored_by: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One row a component of at least the minimum unit, largest first (ties: least label): place, size, change, persistence, onset, confidence.
 
-    `scored_by` gives the candidates and labels where a caller has them already.
+    `shift_px` is the registration shift of all, or (aoi, shift_px) as `registration` returns it.  `scored_by` gives the candidates and labels where a caller has them already.
     """
     pixels, marked, labels = _stages(pixels, mode, frame, settings, scored_by)
     up = MODES[mode][2] == "increase"
@@ -140,19 +153,19 @@ def clusters(pixels: DataFrame, mode: str, frame: Frame, settings: Settings = SE
         F.avg("cloudy").alias("cloud"),
     )
     epochs = pixels.groupBy("aoi").agg(F.count_distinct("k").alias("epochs"))
-    out = out.join(epochs, "aoi").join(onsets(pixels, labels, mode), ["aoi", "label"], "left")
+    out = with_shift(out.join(epochs, "aoi").join(onsets(pixels, labels, mode), ["aoi", "label"], "left"), shift_px)
     confidence = (
         F.lit(0.50)
         + 0.20 * F.least(F.abs("mean_delta") / 0.30, F.lit(1.0))
         + F.when(F.col("epochs") >= 3, 0.18 * F.col("persistence")).otherwise(0.0)
         + 0.08 * F.least(F.col("pixel_count") / 400.0, F.lit(1.0))
-        - (0.10 if shift_px > settings.max_shift else 0.0)
+        - F.when(F.col("shift_px") > settings.max_shift, 0.10).otherwise(0.0)
         - F.when(F.col("cloud") > 0.10, 0.12 * F.col("cloud")).otherwise(0.0)
     )
     out = out.withColumn("confidence", F.greatest(F.lit(0.05), F.least(F.lit(0.98), confidence))).withColumn("band", confidence_band(F.col("confidence")))
     rank = F.row_number().over(Window.partitionBy("aoi").orderBy(F.desc("pixel_count"), "label"))
     name = F.concat(F.lit(MODES[mode][0]), F.when(F.col("persistence") < 0.4, " (transient)").otherwise(""))
-    return out.withColumns({"id": rank, "name": name, "area_ha": F.col("pixel_count") * frame.pixel_ha}).drop("epochs")
+    return out.withColumns({"id": rank, "name": name, "area_ha": F.col("pixel_count") * frame.pixel_ha}).drop("epochs", "shift_px")
 
 
 def timeline(pixels: DataFrame, mode: str, frame: Frame, settings: Settings = SETTINGS, scored_by: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:

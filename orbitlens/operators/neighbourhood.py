@@ -91,13 +91,13 @@ def phase_shift(before: np.ndarray, after: np.ndarray) -> tuple[float, float, fl
     return dy, dx, float(peak.max() / (peak.std() + 1e-12))
 
 
-def shifts(pixels: DataFrame, value: str, height: int, width: int) -> DataFrame:
-    """(aoi, dy, dx, sharpness) between the first and last epoch (k) of every AOI."""
+def shifts(pixels: DataFrame, value: str, height: int, width: int, missing: float = np.nan) -> DataFrame:
+    """(aoi, dy, dx, sharpness) between the first and last epoch (k) of every AOI; pixels without a row count as `missing` (NaN: the image's mean)."""
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
         images = []
         for k in (pdf["k"].min(), pdf["k"].max()):
-            image = np.full((height, width), np.nan)
+            image = np.full((height, width), missing)
             own = pdf[pdf["k"] == k]
             image[own["r"], own["c"]] = own[value]
             images.append(image)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MODES, SETTINGS, Settings
 from ..functions.indices import area_text, confidence_band
+from .detect import with_shift
 from .interpret import sanitise
 
 #: Clusters that a response and a report list.
@@ -48,10 +49,10 @@ def onset_span(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("aoi").agg(F.min("onset_year").alias("first_onset"), F.max("onset_year").alias("last_onset"), F.count_distinct("onset_year").alias("onsets"))
 
 
-def stats(clusters: DataFrame, quality: DataFrame, epochs: DataFrame, shift_px: float = 0.0, settings: Settings = SETTINGS) -> DataFrame:
+def stats(clusters: DataFrame, quality: DataFrame, epochs: DataFrame, shift_px: float | DataFrame = 0.0, settings: Settings = SETTINGS) -> DataFrame:
     """One row an AOI: changed pixels and hectares, clusters, largest, mean persistence of the detailed clusters, epochs, and the confidence of the whole.
 
-    `clusters` as detect.clusters returns them, `quality` as detect.quality_counts, `epochs` (aoi, k, valid_fraction, cloud).
+    `clusters` as detect.clusters returns them, `quality` as detect.quality_counts, `epochs` (aoi, k, valid_fraction, cloud in percent), `shift_px` as for detect.clusters.
     """
     found = clusters.groupBy("aoi").agg(
         F.sum("pixel_count").alias("changed_pixels"),
@@ -63,10 +64,11 @@ def stats(clusters: DataFrame, quality: DataFrame, epochs: DataFrame, shift_px:
     )
     seen = epochs.groupBy("aoi").agg(F.count("*").alias("epoch_count"), F.avg("valid_fraction").alias("valid_fraction"), F.avg("cloud").alias("mean_cloud"))
     rows = quality.join(seen, "aoi").join(found, "aoi", "left").fillna(0, ["changed_pixels", "changed_area_ha", "largest_ha", "cluster_count", "low_confidence"])
-    return rows.withColumn("changed_percent", F.try_divide(100 * F.col("changed_pixels"), F.col("core"))).withColumn("confidence", overall_confidence(shift_px, settings))
+    rows = with_shift(rows, shift_px).withColumn("changed_percent", F.try_divide(100 * F.col("changed_pixels"), F.col("core")))
+    return rows.withColumn("confidence", overall_confidence(F.col("shift_px"), settings)).drop("shift_px")
 
 
-def overall_confidence(shift_px: float = 0.0, settings: Settings = SETTINGS) -> Column:
+def overall_confidence(shift_px: float | Column = 0.0, settings: Settings = SETTINGS) -> Column:
     """From valid_fraction, epoch_count, cluster_count, mean_persistence and mean_cloud: more clear epochs and lasting clusters raise it; nothing found holds it down."""
     n, some = F.col("epoch_count"), F.col("cluster_count") > 0
     raw = (
@@ -74,7 +76,7 @@ def overall_confidence(shift_px: float = 0.0, settings: Settings = SETTINGS) ->
         + 0.15 * F.least(F.col("valid_fraction") / 0.9, F.lit(1.0))
         + 0.12 * F.when(n >= 4, 1.0).when(n == 3, 0.6).otherwise(0.0)
         + F.when(some, 0.13 * F.least(F.coalesce("mean_persistence", F.lit(0.0)) / 0.6, F.lit(1.0))).otherwise(0.0)
-        + (0.10 if shift_px <= settings.max_shift else 0.0)
+        + F.when(F.lit(shift_px) <= settings.max_shift, 0.10).otherwise(0.0)
         - F.when(F.col("mean_cloud") > 10, 0.08).otherwise(0.0)
     )
     return F.greatest(F.lit(0.05), F.least(F.lit(0.97), F.when(some, raw).otherwise(F.least(raw, F.lit(0.72)))))

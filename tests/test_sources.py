@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from orbitlens.engine import Engine, StageError
-from orbitlens.operators import interpret, raster, signatures, study
+from orbitlens.operators import detect, interpret, raster, signatures, study
 from orbitlens.plans import catalog, pseudo
 from orbitlens.sources import files
 from tests.conftest import SF
@@ -120,3 +120,25 @@ def test_engine(spark, tmp_path):
     assert "Ringland" in text and "| 1 | Urban / built-up expansion" in text
     assert engine.similar("aoi-1-urban_expansion").count() == 4
     assert list(engine.analyze("urban growth", start=2016, end=2016))[-1]["status"] == "error"
+
+
+def test_engine_lowers_confidence_by_shift_and_cloud(spark, monkeypatch):
+    pixels, frame = pseudo.pixels(spark, SF), pseudo.frame(spark, SF)
+    question = "Show urban expansion in Ringland between 2016 and 2022"
+    shift = detect.registration(detect.candidates(pixels, "urban_expansion"), "urban_expansion", frame).first().shift_px
+
+    def confidence(pixels, moved):
+        monkeypatch.setattr(detect, "registration", lambda marked, *_: marked.select("aoi").distinct().withColumn("shift_px", F.lit(moved)))
+        engine = Engine(spark, pixels, frame, today=catalog.TODAY)
+        stats = list(engine.analyze(question))[-1]["stats"][0]
+        return stats["confidence"], engine.last["clusters"].first().confidence
+
+    still, offset = confidence(pixels, 0.0), confidence(pixels.withColumn("cloud", F.lit(30.0)), 3.0)
+    assert shift >= 0 and offset[1] == pytest.approx(still[1] - 0.10) and offset[0] < still[0] - 0.05
+
+
+def test_registration_finds_a_moved_scene(spark):
+    image = np.random.default_rng(3).uniform(0.1, 0.9, (24, 24))
+    rows = [(1, r, c, *(float(x) for i in (image, np.roll(image, (5, 0), (0, 1))) for x in (1 - i[r, c], i[r, c]))) for r in range(24) for c in range(24)]
+    marked = spark.createDataFrame(rows, "aoi long, r int, c int, nir_b double, swir16_b double, nir_a double, swir16_a double")
+    assert detect.registration(marked, "urban_expansion", detect.Frame(24, 24)).first().shift_px == 5
