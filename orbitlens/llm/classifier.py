@@ -14,7 +14,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -28,11 +28,6 @@ EPOCHS, STEPS, RATE, THRESHOLD = 6, 450, 0.02, 0.7
 _SYMBOLS = 1024  # byte and mark
 
 
-def chunk_bounds(n: int) -> np.ndarray:
-    """Starts of the chunks of a text of n bytes; the last one reaches its end."""
-    return np.arange(0, max(n - CHUNK + STRIDE, 0) // STRIDE * STRIDE + 1, STRIDE)[: max(1, -(-max(n - CHUNK, 0) // STRIDE) + 1)]
-
-
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chunks of all texts as rows of symbols (byte * 4 + mark; shorter texts are filled with 255, which UTF-8 never has), and each chunk's text."""
     sizes = np.diff(offsets)
@@ -173,29 +168,34 @@ class Network:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS, limit: int = BYTES) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and weights for training: of each class the rows least by a hash, as far as `rows` and half of `limit` bytes go (one row at least).
+    """Texts, labels and weights for training: of each class the documents least by a hash, as far as `rows` and half of `limit` bytes go.
 
-    Rows with remainder 2 (the held-out ones) and null labels are never taken; weights restore the classes' shares.
+    Documents with remainder 2 (the held-out ones), null labels and texts longer than half of `limit` are never taken; of several labels of a document the
+    largest counts, of several rows with its doc_id the one with the shortest text (least by hash among those).  Weights restore the classes' shares.
+    Only doc_id, size and hash meet the labels; the chosen texts, `limit` bytes in all, are fetched by a filter on the table itself.
     """
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).where(remainder("doc_id", 4) != 2)
-    all_rows = docs.select("doc_id", "text").join(marks, "doc_id").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
     counts = {r["quality"]: r["n"] for r in marks.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    texts, y, weights = [], [], []
-    for label, n in sorted(counts.items()):
-        own = all_rows.where(F.col("quality") == label)
-        ids = own.select("doc_id", "size").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-        chosen, used = [], 0
-        for r in ids:
-            if chosen and used + r["size"] > limit // 2:
-                continue
-            chosen.append(r["doc_id"])
-            used += r["size"]
-        got = own.where(F.col("doc_id").isin(chosen)).select("text").collect() if chosen else []
-        texts += [r["text"] or "" for r in got]
-        y += [label] * len(got)
-        weights += [n / sum(counts.values()) * 2 / max(len(got), 1)] * len(got)
-    weights = np.array(weights, np.float32)
-    return texts, np.array(y, np.float32), weights * (len(weights) / max(weights.sum(), 1e-9)) if len(weights) else weights
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sized = docs.select("doc_id", F.struct(F.octet_length(text).alias("size"), F.xxhash64(text).alias("hash")).alias("x")).where(F.col("x.size") <= limit // 2)
+    least = sized.join(marks, "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).withColumn("order", F.xxhash64("doc_id"))
+    first = Window.partitionBy("quality").orderBy("order", "doc_id")
+    ranked = least.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows)
+    chosen, used = {}, dict.fromkeys(counts, 0)
+    for r in sorted(ranked.select("doc_id", "quality", "rank", "x.size", "x.hash").collect(), key=lambda r: (r["quality"], r["rank"])):
+        if used[r["quality"]] + r["size"] <= limit // 2:
+            chosen[r["doc_id"], r["hash"]] = r["quality"]
+            used[r["quality"]] += r["size"]
+    if not chosen:
+        return [], np.zeros(0, np.float32), np.zeros(0, np.float32)
+    ids, hashes = (sorted({k[i] for k in chosen}) for i in (0, 1))
+    rows_of = docs.where(F.col("doc_id").isin(ids)).select("doc_id", text.alias("text")).withColumn("hash", F.xxhash64("text")).where(F.col("hash").isin(hashes))
+    got = rows_of.groupBy("doc_id", "hash").agg(F.min("text").alias("text")).collect()
+    got = [(r["text"], chosen[r["doc_id"], r["hash"]]) for r in got if (r["doc_id"], r["hash"]) in chosen]
+    y = np.array([label for _, label in got], np.float32)
+    size = {label: max(int((y == label).sum()), 1) for label in counts}
+    weights = np.array([counts[label] / sum(counts.values()) * 2 / size[label] for _, label in got], np.float32)
+    return [t for t, _ in got], y, weights * (len(weights) / max(weights.sum(), 1e-9))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
