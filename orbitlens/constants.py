@@ -29,6 +29,10 @@ class Settings:
     max_aoi: float = 0.5
     min_aoi: float = 0.012
     grid_size: int = 480
+    least_valid: float = 0.55
+    large_span: float = 0.40
+    large_grid: int = 420
+    report_shift: float = 0.02
 
 
 SETTINGS = Settings()
@@ -38,6 +42,7 @@ SIGMA_FLOOR = 1e-4
 DN_SCALE = 1e-4
 PEDESTAL = 1000
 PEDESTAL_P01 = 700
+PEDESTAL_PIXELS = 64
 REFLECTANCE_MAX = 1.6
 SCL_INVALID = (0, 1, 3, 8, 9, 10, 11)
 SCL_DEGRADED = (2, 7)
@@ -53,6 +58,81 @@ MODES = {
     "burn_scar": ("Burned area / fire scar", "NBR", "decrease"),
 }
 
+#: mode: name of one cluster
+CLUSTER_NAMES = {
+    "urban_expansion": "New built-up surface",
+    "vegetation_loss": "Vegetation loss",
+    "vegetation_gain": "Vegetation gain",
+    "water_loss": "Water surface loss",
+    "water_gain": "Water expansion",
+    "burn_scar": "Burn scar",
+}
+OTHER_CLUSTER = "Surface change"
+
+#: index: (name, formula, bands)
+INDEX_META = {
+    "NDVI": ("Normalised Difference Vegetation Index", "(NIR - Red) / (NIR + Red)", "B08, B04"),
+    "NDBI": ("Normalised Difference Built-up Index", "(SWIR1 - NIR) / (SWIR1 + NIR)", "B11, B08"),
+    "MNDWI": ("Modified Normalised Difference Water Index", "(Green - SWIR1) / (Green + SWIR1)", "B03, B11"),
+    "NBR": ("Normalised Burn Ratio", "(NIR - SWIR1) / (NIR + SWIR1)", "B08, B11"),
+}
+
+SCL_LABELS = (
+    "no data", "saturated", "dark area", "cloud shadow", "vegetation", "bare soil", "water", "unclassified",
+    "cloud (medium prob)", "cloud (high prob)", "thin cirrus", "snow / ice",
+)
+#: Red, green and blue of each class of the scene classification, from 0.
+SCL_COLOURS = (
+    (12, 12, 14), (255, 0, 0), (47, 47, 47), (100, 50, 0), (46, 160, 67), (196, 168, 96), (30, 110, 220), (128, 128, 128),
+    (200, 200, 200), (245, 245, 245), (170, 200, 235), (180, 230, 255),
+)
+#: (share of the range, (red, green, blue)) between which a heat colour is a linear mix.
+HEAT_STOPS = (
+    (0.00, (10, 16, 34)),
+    (0.25, (24, 62, 120)),
+    (0.45, (16, 132, 148)),
+    (0.65, (232, 196, 62)),
+    (0.85, (238, 118, 44)),
+    (1.00, (240, 52, 72)),
+)
+OVERLAY_COLOURS = {"increase": (255, 68, 88), "decrease": (255, 176, 32)}
+OVERLAY_OPACITY = 0.62
+MASK_ALPHA = 210
+NO_DATA_SHADE = 28
+NO_DATA_HEAT = 22
+STRETCH_LOW, STRETCH_HIGH, GAMMA = 0.02, 0.96, 1.05
+HEAT_LOW, HEAT_HIGH = 0.02, 0.99
+IMAGE_SIDE, THUMB_SIDE = 640, 132
+
+#: Years of a question, as regular expressions over its lower-case text.
+YEAR_SPAN = r"((?:19|20)\d{2})\s*(?:-|to|and|until|till|through|vs\.?|versus)\s*((?:19|20)\d{2})"
+YEARS_BACK = r"(?:last|past|previous|recent)\s+(\d{1,2})\s*(?:year|yr)"
+DECADE_BACK = r"(?:last|past)\s+decade"
+YEAR_BACK = r"(?:last|past)\s+(?:year|12\s*months)"
+YEAR_SINCE = r"since\s+((?:19|20)\d{2})"
+ANY_YEAR = r"\b((?:19|20)\d{2})\b"
+#: What is taken out of a question before its place is looked for, in this order.
+PLACE_NOISE = (
+    r"(?:between\s+)?(?:19|20)\d{2}\s*(?:-|to|and)\s*(?:19|20)\d{2}",
+    r"\b(?:19|20)\d{2}\b",
+    r"(?:last|past|previous|recent)\s+\d{1,2}\s*(?:year|yr)s?",
+)
+PLACE_WORDS = r"(?:in|near|around|at|for|within|inside|across|surrounding|close to)"
+SMALL_PLACE_WORDS = r"(?:in|near|around|at|for|within)"
+PLACE_TOKEN = r"(?:[A-Z][\w'\-]*|and|of|the|de|el|la|al)"
+RISES = r"\b(increase|increased|growth|grew|gain|gained|more|greener)\b"
+FALLS = r"\b(decrease|decreased|loss|lost|less|reduced|declin)\w*\b"
+
+#: Study windows: degrees from which a region is country-sized, side of a window, cells of the scan, metres from which ground is land.
+COUNTRY_SPAN, STUDY_SIDE, SCAN_X, SCAN_Y, LAND_METRES = 2.0, 0.5, 9, 7, 5.0
+#: Where a window is probed, in half windows from its centre; by how much of a window it moves.
+PROBES = (-0.9, -0.45, 0.0, 0.45, 0.9)
+MOVE_STEPS = (0.25, 0.5, 0.75, 1.0)
+#: Ways to move, in the order that decides between equals.
+MOVES = ((0, 1), (0, -1), (-1, 0), (-1, 1), (-1, -1), (1, 0), (1, 1), (1, -1))
+#: Kilometres a degree of an area's stated size.
+KM_LON, KM_LAT = 111.32, 110.57
+
 PHRASES = {
     "urban_expansion": (
         "urban expansion", "urban growth", "urban sprawl", "urbanisation", "urbanization", "built up", "built-up", "builtup", "new construction",
@@ -148,14 +228,27 @@ GAZETTEER = (
     ("polavaram", "Polavaram, Andhra Pradesh, India", 81.6400, 17.2400, 81.54, 17.15, 81.75, 17.33),
 )
 
+#: Names of a signature's dimensions, and what an explanation calls those that it may name.
+SIGNATURE_NAMES = (
+    "veg_fraction_start", "veg_fraction_end", "veg_delta", "built_fraction_start", "built_fraction_end", "built_delta",
+    "water_fraction_start", "water_fraction_end", "water_delta", "change_rate", "cluster_density", "fragmentation", "mean_patch_ha",
+)
+NAMED_DIMENSIONS = {
+    "veg_delta": "change in vegetation cover",
+    "built_delta": "change in built-up cover",
+    "water_delta": "change in water extent",
+    "change_rate": "proportion of area changed",
+    "fragmentation": "how fragmented the change patches are",
+    "mean_patch_ha": "typical patch size",
+}
 SIGNATURE_WEIGHTS = (0.7, 0.7, 1.4, 0.7, 0.7, 1.4, 0.7, 0.7, 1.4, 1.2, 0.9, 0.9, 0.8)
-#: (key, mode, vector)
+#: (key, label, lon, lat, mode, vector)
 ARCHETYPES = (
-    ("ref-periurban-sprawl", "urban_expansion", (0.42, 0.31, -0.11, 0.18, 0.29, 0.11, 0.03, 0.03, 0.00, 0.09, 0.55, 0.30, 0.35)),
-    ("ref-planned-township", "urban_expansion", (0.55, 0.34, -0.21, 0.10, 0.27, 0.17, 0.02, 0.02, 0.00, 0.14, 0.15, 0.06, 0.85)),
-    ("ref-reservoir-drawdown", "water_loss", (0.22, 0.26, 0.04, 0.09, 0.14, 0.05, 0.34, 0.19, -0.15, 0.13, 0.10, 0.04, 0.90)),
-    ("ref-forest-clearing", "vegetation_loss", (0.86, 0.74, -0.12, 0.04, 0.07, 0.03, 0.01, 0.01, 0.00, 0.08, 0.40, 0.22, 0.40)),
-    ("ref-flood-inundation", "water_gain", (0.51, 0.28, -0.23, 0.07, 0.06, -0.01, 0.09, 0.38, 0.29, 0.31, 0.20, 0.08, 0.80)),
+    ("ref-periurban-sprawl", "Peri-urban sprawl archetype", 78.3489, 17.4401, "urban_expansion", (0.42, 0.31, -0.11, 0.18, 0.29, 0.11, 0.03, 0.03, 0.00, 0.09, 0.55, 0.30, 0.35)),
+    ("ref-planned-township", "Planned township archetype", 80.5150, 16.5150, "urban_expansion", (0.55, 0.34, -0.21, 0.10, 0.27, 0.17, 0.02, 0.02, 0.00, 0.14, 0.15, 0.06, 0.85)),
+    ("ref-reservoir-drawdown", "Reservoir drawdown archetype", 79.3120, 16.5750, "water_loss", (0.22, 0.26, 0.04, 0.09, 0.14, 0.05, 0.34, 0.19, -0.15, 0.13, 0.10, 0.04, 0.90)),
+    ("ref-forest-clearing", "Forest clearing archetype", 76.1320, 11.6854, "vegetation_loss", (0.86, 0.74, -0.12, 0.04, 0.07, 0.03, 0.01, 0.01, 0.00, 0.08, 0.40, 0.22, 0.40)),
+    ("ref-flood-inundation", "Flood inundation archetype", 88.8000, 21.9500, "water_gain", (0.51, 0.28, -0.23, 0.07, 0.06, -0.01, 0.09, 0.38, 0.29, 0.31, 0.20, 0.08, 0.80)),
 )
 
 #: Applied one after the other, whatever the case.

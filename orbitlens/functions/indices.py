@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import DN_SCALE, MODES, REFLECTANCE_MAX, SCL_DEGRADED, SCL_INVALID, SETTINGS, Settings
+from ..constants import DN_SCALE, INDEX_META, MODES, PEDESTAL, PEDESTAL_P01, PEDESTAL_PIXELS, REFLECTANCE_MAX, SCL_DEGRADED, SCL_INVALID, SETTINGS, Settings
+
+BANDS = ("red", "green", "blue", "nir", "swir16")
 
 
 def _finite(x: Column) -> Column:
@@ -42,6 +47,45 @@ def degraded_class(scl: str = "scl") -> Column:
     return F.col(scl).isin(*SCL_DEGRADED)
 
 
+def no_data(bands: Sequence[str] = BANDS) -> Column:
+    """Whether all raw bands of a pixel are 0; a missing band counts as 0."""
+    return reduce(lambda a, b: a & b, (F.coalesce(F.col(b), F.lit(0)) == 0 for b in bands))
+
+
+def usable_pixel(bands: Sequence[str] = BANDS, scl: str = "scl") -> Column:
+    """Whether a pixel of raw bands may decide anything: its class is fit and it holds data; a missing class is class 0, no data."""
+    return ~F.coalesce(F.col(scl), F.lit(0)).isin(*SCL_INVALID) & ~no_data(bands)
+
+
+def pedestals(raw: DataFrame, keys: Sequence[str], swir: str = "swir16") -> DataFrame:
+    """(keys, dark, pedestal): the first percentile of positive SWIR numbers, and the offset that all bands carry if even those are bright.
+
+    Groups of PEDESTAL_PIXELS positive pixels or fewer, and those without any, have dark 0 and no offset.
+    """
+    seen = F.when(F.col(swir) > 0, F.col(swir))
+    out = raw.groupBy(*keys).agg(F.percentile(seen, F.lit(0.01)).alias("p"), F.count(seen).alias("n"))
+    dark = F.when(F.col("n") > PEDESTAL_PIXELS, F.col("p")).otherwise(0.0)
+    return out.select(*keys, dark.alias("dark"), F.when(dark >= PEDESTAL_P01, F.lit(PEDESTAL)).otherwise(0).alias("pedestal"))
+
+
+def index_table(spark: SparkSession) -> DataFrame:
+    """(index, name, formula, bands) of all indices."""
+    return spark.createDataFrame([(k, *v) for k, v in INDEX_META.items()], "index string, name string, formula string, bands string")
+
+
+def shown(value: Column, digits: int) -> Column:
+    """A number as results show it: rounded half to even; null and numbers that JSON can't hold give null."""
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.bround(value, digits))
+
+
+def escaped(text: Column) -> Column:
+    """Text that is safe inside a page: the four signs of markup as entities; null is empty."""
+    out = F.coalesce(text.cast("string"), F.lit(""))
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(sign), F.lit(entity))
+    return out
+
+
 def passes_threshold(direction: str, settings: Settings = SETTINGS) -> Column:
     z, d = F.col("z"), F.col("delta")
     if direction == "increase":

@@ -77,33 +77,29 @@ def minimum_unit(labels: DataFrame, least: int) -> DataFrame:
 
 
 def phase_shift(before: np.ndarray, after: np.ndarray) -> tuple[float, float, float]:
-    """Shift (rows, columns) between two images by phase correlation, and the sharpness of the peak."""
-    images = [np.where(np.isfinite(x), x, np.nanmean(x) if np.isfinite(x).any() else 0.0) for x in (before.astype(float), after.astype(float))]
-    images = [x - x.mean() for x in images]
+    """Shift (rows, columns) between two images by phase correlation, and the sharpness of the peak; zeros if one image is flat."""
+    images = [before.astype(float), after.astype(float)]
     if min(x.std() for x in images) < 1e-6:
         return 0.0, 0.0, 0.0
     taper = np.outer(np.hanning(before.shape[0]), np.hanning(before.shape[1]))
-    f, g = (np.fft.rfft2(x * taper) for x in images)
+    f, g = (np.fft.rfft2((x - x.mean()) * taper) for x in images)
     cross = f * np.conj(g)
-    peak = np.fft.irfft2(cross / (np.abs(cross) + 1e-12), s=before.shape)
+    peak = np.fft.irfft2(cross / np.maximum(np.abs(cross), 1e-12), s=before.shape)
     at = np.unravel_index(int(peak.argmax()), peak.shape)
-    dy, dx = (float(a - n) if a > n / 2 else float(a) for a, n in zip(at, before.shape, strict=True))
+    dy, dx = (float(a - n) if a > n // 2 else float(a) for a, n in zip(at, before.shape, strict=True))
     return dy, dx, float(peak.max() / (peak.std() + 1e-12))
 
 
-def shifts(pixels: DataFrame, value: str, height: int, width: int, missing: float = np.nan) -> DataFrame:
-    """(aoi, dy, dx, sharpness) between the first and last epoch (k) of every AOI; pixels without a row count as `missing` (NaN: the image's mean)."""
+def shifts(pixels: DataFrame, before: str, after: str, height: int, width: int) -> DataFrame:
+    """(aoi, dy, dx, sharpness) between two images of every AOI, columns of (aoi, r, c, before, after); pixels without a row, or null, count as 0."""
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        images = []
-        for k in (pdf["k"].min(), pdf["k"].max()):
-            image = np.full((height, width), missing)
-            own = pdf[pdf["k"] == k]
-            image[own["r"], own["c"]] = own[value]
-            images.append(image)
+        images = np.zeros((2, height, width))
+        images[:, pdf["r"], pdf["c"]] = np.nan_to_num(pdf[["before", "after"]].to_numpy(float).T)
         return pd.DataFrame([(pdf["aoi"].iloc[0], *phase_shift(*images))], columns=["aoi", "dy", "dx", "sharpness"])
 
-    return pixels.select("aoi", "k", "r", "c", value).groupBy("aoi").applyInPandas(measure, "aoi long, dy double, dx double, sharpness double")
+    rows = pixels.select(*KEYS, F.col(before).alias("before"), F.col(after).alias("after"))
+    return rows.groupBy("aoi").applyInPandas(measure, "aoi long, dy double, dx double, sharpness double")
 
 
 def png_bytes(rgb: np.ndarray) -> bytes:
@@ -117,14 +113,3 @@ def png_bytes(rgb: np.ndarray) -> bytes:
     height, width, bands = rgb.shape
     raw = np.concatenate((np.zeros((height, 1), np.uint8), rgb.reshape(height, width * bands).astype(np.uint8)), axis=1).tobytes()
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6 if bands == 4 else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
-
-
-def masks_png(labels: DataFrame, height: int, width: int) -> DataFrame:
-    """(aoi, png): the change mask of every AOI as a transparent image."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((height, width, 4), np.uint8)
-        image[pdf["r"], pdf["c"]] = (226, 75, 60, 210)
-        return pd.DataFrame({"aoi": pdf["aoi"].iloc[:1], "png": [png_bytes(image)]})
-
-    return labels.select("aoi", "r", "c").groupBy("aoi").applyInPandas(one, "aoi long, png binary")

@@ -7,7 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import GAZETTEER, SETTINGS, Settings
+from ..constants import GAZETTEER, KM_LAT, KM_LON, SETTINGS, Settings
+
+
+#: Degrees of a band of latitude.
+BAND = 1.0
 
 
 def gazetteer(spark: SparkSession) -> DataFrame:
@@ -48,16 +52,41 @@ def pixel_ha(w: Column, s: Column, e: Column, n: Column, width: Column, height:
     return F.abs(n - s) / height * per_lat * (F.abs(e - w) / width * F.abs(per_lon)) / 10000
 
 
-def grid_size(w: Column, s: Column, e: Column, n: Column, target: int = SETTINGS.grid_size) -> Column:
-    """Struct (width, height): the long side has `target` pixels, the short one 64 at least."""
+def grid_size(w: Column, s: Column, e: Column, n: Column, target: int | Column = SETTINGS.grid_size) -> Column:
+    """Struct (width, height): the long side has `target` pixels, the short one 64 at least; null for a box without width or height."""
     dx, dy = F.abs(e - w), F.abs(n - s)
-    short = lambda a, b: F.greatest(F.lit(64), F.bround(F.lit(target) * a / b).cast("int"))
-    return F.struct(F.when(dx >= dy, F.lit(target)).otherwise(short(dx, dy)).alias("width"), F.when(dx >= dy, short(dy, dx)).otherwise(F.lit(target)).alias("height"))
+    target = F.lit(target) if isinstance(target, int) else target
+    short = lambda a, b: F.greatest(F.lit(64), F.bround(target * a / b).cast("int"))
+    size = F.struct(F.when(dx >= dy, target).otherwise(short(dx, dy)).alias("width"), F.when(dx >= dy, short(dy, dx)).otherwise(target).alias("height"))
+    return F.when((dx > 0) & (dy > 0), size)
+
+
+def grid_target(w: Column, s: Column, e: Column, n: Column, wanted: Column, settings: Settings = SETTINGS) -> Column:
+    """Pixels along the long side of a box's grid: those wanted (the settings' if null or 0), fewer for a very large box."""
+    asked = F.when(F.coalesce(wanted, F.lit(0)) > 0, wanted).otherwise(settings.grid_size)
+    return F.when(F.greatest(e - w, n - s) >= settings.large_span, F.least(asked, F.lit(settings.large_grid))).otherwise(asked).cast("int")
+
+
+def box_km(w: Column, s: Column, e: Column, n: Column) -> Column:
+    """Struct (wide, high, area): a box's size for reading, in kilometres, with equal degrees everywhere."""
+    wide, high = (e - w) * KM_LON, (n - s) * KM_LAT
+    return F.struct(wide.alias("wide"), high.alias("high"), F.bround(wide * high, 1).alias("area"))
+
+
+def point_box(lon: Column, lat: Column, side: float = 0.12, settings: Settings = SETTINGS) -> Column:
+    """The clamped box of that many degrees a side around a point."""
+    return clamp_box(lon - side / 2, lat - side / 2, lon + side / 2, lat + side / 2, settings)
+
 
+def inside_rings(points: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Points (keys, pid, lon, lat) with `inside`: an odd number of their keys' ring edges (keys, x0, y0, x1, y1) lie to the right.
 
-def inside_rings(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """Points (pid, lon, lat) with `inside`: an odd number of ring edges (x0, y0, x1, y1) lie to the right."""
-    at = F.col("x0") + (F.col("lat") - F.col("y0")) / F.coalesce(F.nullif(F.col("y1") - F.col("y0"), F.lit(0.0)), F.lit(1e-12)) * (F.col("x1") - F.col("x0"))
+    Edges are dealt to the bands of latitude that they cross, and a point meets those of its own band alone, so the join is one on equal keys.
+    """
+    band = lambda y: F.floor(F.col(y) / BAND).cast("int")
+    dealt = edges.where(F.col("y0") != F.col("y1")).withColumn("band", F.explode(F.sequence(F.least(band("y0"), band("y1")), F.greatest(band("y0"), band("y1")))))
+    at = F.col("x0") + (F.col("lat") - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
     cross = ((F.col("y0") > F.col("lat")) != (F.col("y1") > F.col("lat"))) & (F.col("lon") < at)
-    hits = points.join(F.broadcast(edges), cross).groupBy("pid").agg(F.count("*").alias("hits"))
-    return points.join(hits, "pid", "left").withColumn("inside", F.coalesce(F.col("hits"), F.lit(0)) % 2 == 1).drop("hits")
+    own = [*keys, "pid"]
+    hits = points.withColumn("band", band("lat")).join(dealt.select(*keys, "band", "x0", "y0", "x1", "y1"), [*keys, "band"]).where(cross).groupBy(*own).agg(F.count("*").alias("hits"))
+    return points.join(hits, own, "left").withColumn("inside", F.coalesce(F.col("hits"), F.lit(0)) % 2 == 1).drop("hits")

@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import COUNTRY_SPAN, MOVE_STEPS, MOVES, PROBES, SCAN_X, SCAN_Y
+from ..constants import LAND_METRES as LAND
+from ..constants import STUDY_SIDE as WINDOW
 from ..sources.files import elevations
-
-#: Degrees from which a region is country-sized, side of a window, cells of the scan, metres from which ground is land.
-COUNTRY_SPAN, WINDOW, SCAN_X, SCAN_Y, LAND = 2.0, 0.5, 9, 7, 5.0
-#: Where a window is probed, in half windows from its centre.
-PROBES = (-0.9, -0.45, 0.0, 0.45, 0.9)
-STEPS = (0.25, 0.5, 0.75, 1.0)
-#: Ways to move, in the order that decides between equals.
-MOVES = ((0, 1), (0, -1), (-1, 0), (-1, 1), (-1, -1), (1, 0), (1, 1), (1, -1))
+from .places import inside_rings
 
 
 def is_country_scale(w: Column, s: Column, e: Column, n: Column) -> Column:
@@ -22,10 +18,9 @@ def is_country_scale(w: Column, s: Column, e: Column, n: Column) -> Column:
 
 def inside_boundary(points: DataFrame, edges: DataFrame) -> DataFrame:
     """Points (name, pid, lon, lat) with `inside`: by parity of their region's edges (name, x0, y0, x1, y1); null where the region has none."""
-    rise = F.coalesce(F.nullif(F.col("y1") - F.col("y0"), F.lit(0.0)), F.lit(1e-12))
-    cross = ((F.col("y0") > F.col("lat")) != (F.col("y1") > F.col("lat"))) & (F.col("lon") < F.col("x0") + (F.col("lat") - F.col("y0")) / rise * (F.col("x1") - F.col("x0")))
-    hits = points.join(edges, "name").groupBy("name", "pid").agg(F.count_if(cross).alias("hits"))
-    return points.join(hits, ["name", "pid"], "left").withColumn("inside", F.col("hits") % 2 == 1).drop("hits")
+    bounded = edges.select("name").distinct().withColumn("bounded", F.lit(True))
+    out = inside_rings(points, edges, ("name",)).join(bounded, "name", "left")
+    return out.withColumn("inside", F.when(F.col("bounded"), F.col("inside"))).drop("bounded")
 
 
 def study_windows(regions: DataFrame, edges: DataFrame, dem: DataFrame, prefer: str = "water") -> DataFrame:
@@ -58,7 +53,7 @@ def study_windows(regions: DataFrame, edges: DataFrame, dem: DataFrame, prefer:
     held = lambda x, a, b: F.when(b - a > WINDOW, F.least(F.greatest(x, a + half), b - half)).otherwise((a + b) / 2)
     at = lambda c, a, b: held(F.coalesce(F.col(f"best.{c}"), F.col(f"centre.{c}"), (F.col(a) + F.col(b)) / 2), F.col(a), F.col(b))
     picked = picked.select("name", *"wsen", "method", F.col("best.elevation").alias("elevation"), at("lon", "w", "e").alias("lon"), at("lat", "s", "n").alias("lat"))
-    moves = [(0, 0.0, 0.0)] + [(1 + i * len(MOVES) + j, dx * WINDOW * step, dy * WINDOW * step) for i, step in enumerate(STEPS) for j, (dx, dy) in enumerate(MOVES)]
+    moves = [(0, 0.0, 0.0)] + [(1 + i * len(MOVES) + j, dx * WINDOW * step, dy * WINDOW * step) for i, step in enumerate(MOVE_STEPS) for j, (dx, dy) in enumerate(MOVES)]
     options = F.array(*(F.struct(F.lit(o).alias("o"), (F.col("lon") + dx).alias("lon"), (F.col("lat") + dy).alias("lat")) for o, dx, dy in moves))
     tries = picked.select("name", *"wsen", F.explode(options).alias("m")).select("name", *"wsen", "m.*")
     tries = tries.where((F.col("o") == 0) | (F.col("lon").between(F.col("w") + half, F.col("e") - half) & F.col("lat").between(F.col("s") + half, F.col("n") - half)))

@@ -2,134 +2,59 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import GAZETTEER, MODES, NEAR_FEATURES, NEAR_WORDS, REWRITES, SCL_DEGRADED, SCL_INVALID, SETTINGS, SIGNATURE_WEIGHTS
+from ..constants import GAZETTEER, MODES, MOVES, SCL_DEGRADED, SCL_INVALID, SIGNATURE_WEIGHTS
 from ..functions import indices as ix
 from ..operators import detect, interpret, neighbourhood, places, raster, report, scenes, signatures, study
 from ..sources import files
 from ..streaming.epochs import fold_events
 from . import pseudo
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-TODAY = dt.date(2026, 6, 30)
-KEYS = neighbourhood.KEYS
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _r(c, places_=6):
-    return F.round(c, places_)
-
-
-# ---- SQL text of the detection chain --------------------------------------------------------------------------------------------------------
-
-S = SETTINGS
-_ND = {"NDVI": ("nir", "red"), "NDBI": ("swir16", "nir"), "MNDWI": ("green", "swir16"), "NBR": ("nir", "swir16")}
-
-
-def _nd(name: str, suffix: str = "") -> str:
-    a, b = (x + suffix for x in _ND[name])
-    return f"(CASE WHEN abs({a} + {b}) > 1e-6 THEN greatest((-1)::DOUBLE, least(1::DOUBLE, ({a} - {b}) / ({a} + {b}))) ELSE 0::DOUBLE END)"
-
-
-_WET_B, _WET_A = (f"({_nd('MNDWI', s)} > 0.05)" for s in ("_b", "_a"))
-_GATES = {
-    "urban_expansion": f"{_nd('NDBI', '_a')} > (-0.08) AND {_nd('NDVI', '_a')} < 0.30 AND NOT {_WET_B} AND NOT {_WET_A}",
-    "vegetation_loss": f"{_WET_B} = {_WET_A}",
-    "vegetation_gain": f"{_WET_B} = {_WET_A}",
-    "water_gain": f"{_WET_A} AND NOT {_WET_B}",
-    "water_loss": f"{_WET_B} AND NOT {_WET_A}",
-    "burn_scar": f"{_nd('NDVI', '_b')} > 0.20 AND NOT {_WET_B} AND NOT {_WET_A}",
-}
-
-
-def _scored(mode: str) -> str:
-    name, up = MODES[mode][1], MODES[mode][2] == "increase"
-    hit = f"z >= {S.z_threshold} AND delta >= {S.min_delta}" if up else f"z <= -{S.z_threshold} AND delta <= -{S.min_delta}"
-    bands = ", ".join(f"{t}.{b} AS {b}_{s}" for t, s in (("x", "b"), ("y", "a")) for b in ("nir", "red", "swir16", "green"))
-    return f"""{pseudo.SQL},
-ends AS (SELECT min(k) AS k0, max(k) AS k1 FROM px),
-both_ AS (SELECT x.r, x.c, x.valid AND y.valid AS valid, {bands} FROM px x JOIN px y ON x.r = y.r AND x.c = y.c, ends WHERE x.k = k0 AND y.k = k1),
-core AS (SELECT m.r, m.c FROM both_ m JOIN both_ n ON abs(m.r - n.r) <= 1 AND abs(m.c - n.c) <= 1 AND n.valid GROUP BY ALL HAVING count(*) = 9),
-raw AS (SELECT both_.*, {_nd(name, "_a")} - {_nd(name, "_b")} AS raw FROM both_ JOIN core USING (r, c)),
-mv AS (SELECT raw.*, raw - s AS delta, s AS shift FROM raw, (SELECT median(raw) AS s FROM raw)),
-sc AS (SELECT mv.*, delta / sigma AS z FROM mv, (SELECT greatest(1e-4::DOUBLE, 1.4826::DOUBLE * median(abs(delta - m))) AS sigma FROM mv, (SELECT median(delta) AS m FROM mv))),
-cd AS (SELECT *, {hit} AS raw_hit, {_GATES[mode]} AS allowed FROM sc)"""
-
-
-def _labelled(mode: str) -> str:
-    return f"""{_scored(mode)},
-hits AS (SELECT r, c FROM cd WHERE raw_hit AND allowed),
-nb AS (SELECT m.r, m.c FROM hits m JOIN hits n ON abs(m.r - n.r) <= 1 AND abs(m.c - n.c) <= 1 AND (m.r <> n.r OR m.c <> n.c) GROUP BY ALL HAVING count(*) >= 2),
-off AS (SELECT i.i, j.j FROM (VALUES (-1), (0), (1)) i(i), (VALUES (-1), (0), (1)) j(j)),
-dil AS (SELECT DISTINCT r + i AS r, c + j AS c FROM nb, off, hh WHERE r + i >= 0 AND c + j >= 0 AND r + i < h AND c + j < h),
-clo AS (SELECT m.r, m.c FROM dil m JOIN dil n ON abs(m.r - n.r) <= 1 AND abs(m.c - n.c) <= 1 GROUP BY ALL HAVING count(*) = 9),
-cl AS (SELECT clo.r, clo.c, (clo.r * h + clo.c)::BIGINT AS id FROM clo JOIN cd USING (r, c), hh WHERE allowed),
-adj AS (SELECT a.id AS a, b.id AS b FROM cl a JOIN cl b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
-walk AS (SELECT id AS a, id AS b FROM cl UNION SELECT walk.a, adj.b FROM walk JOIN adj ON adj.a = walk.b),
-roots AS (SELECT a AS id, min(b) AS label FROM walk GROUP BY a),
-lab AS (SELECT r, c, label FROM cl JOIN roots USING (id) WHERE label IN (SELECT label FROM roots GROUP BY label HAVING count(*) >= {S.min_unit}))"""
-
-
-def _with(ctes: str, select: str) -> str:
-    return f"WITH RECURSIVE {ctes} {select}"
-
+from .registry import BANDS_OF, CLUSTERS_SQL, KEYS, ORACLES, PERSIST_SQL, QUERIES, TODAY, WET_A, WET_B, S, labelled_sql, nd_sql, query, rounded, scored_sql, with_sql
 
 # ---- pixels ----------------------------------------------------------------------------------------------------------------------------------
 
 
-@query(_with(pseudo.SQL, "SELECT k, year, r, c, round(nir, 6) AS nir, round(red, 6) AS red, round(swir16, 6) AS swir16, round(green, 6) AS green, scl, valid FROM px"))
+@query(with_sql(pseudo.SQL, "SELECT k, year, r, c, round(nir, 6) AS nir, round(red, 6) AS red, round(swir16, 6) AS swir16, round(green, 6) AS green, scl, valid FROM px"))
 def q_pixel_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pseudo.pixels(spark, sf_dir)
-    return px.select("k", "year", "r", "c", *(_r(F.col(b)).alias(b) for b in ("nir", "red", "swir16", "green")), "scl", "valid")
+    return px.select("k", "year", "r", "c", *(rounded(F.col(b)).alias(b) for b in ("nir", "red", "swir16", "green")), "scl", "valid")
 
 
-@query(_with(pseudo.SQL, "SELECT k, r, c, " + ", ".join(f"round({_nd(n)}, 6) AS {n.lower()}" for n in _ND) + " FROM px"))
+@query(with_sql(pseudo.SQL, "SELECT k, r, c, " + ", ".join(f"round({nd_sql(n)}, 6) AS {n.lower()}" for n in BANDS_OF) + " FROM px"))
 def q_indices(spark, sf_dir):
-    return pseudo.pixels(spark, sf_dir).select("k", "r", "c", *(_r(ix.index(n)).alias(n.lower()) for n in _ND))
+    return pseudo.pixels(spark, sf_dir).select("k", "r", "c", *(rounded(ix.index(n)).alias(n.lower()) for n in BANDS_OF))
 
 
-@query(_with(pseudo.SQL, f"SELECT k, round(avg((scl NOT IN {SCL_INVALID} AND nir + red + swir16 + green <> 0)::INT), 6) AS valid_fraction, round(avg((scl IN {SCL_DEGRADED})::INT), 6) AS degraded_fraction, count(*) AS n FROM px GROUP BY k"))
+@query(with_sql(pseudo.SQL, f"SELECT k, round(avg((scl NOT IN {SCL_INVALID} AND nir + red + swir16 + green <> 0)::INT), 6) AS valid_fraction, round(avg((scl IN {SCL_DEGRADED})::INT), 6) AS degraded_fraction, count(*) AS n FROM px GROUP BY k"))
 def q_scl_masks(spark, sf_dir):
     px = pseudo.pixels(spark, sf_dir)
-    empty = (F.col("nir") == 0) & (F.col("red") == 0) & (F.col("swir16") == 0) & (F.col("green") == 0)
-    good = (~ix.invalid_class() & ~empty).cast("int")
-    return px.groupBy("k").agg(_r(F.avg(good)).alias("valid_fraction"), _r(F.avg(ix.degraded_class().cast("int"))).alias("degraded_fraction"), F.count("*").alias("n"))
+    good = ix.usable_pixel(("nir", "red", "swir16", "green")).cast("int")
+    return px.groupBy("k").agg(rounded(F.avg(good)).alias("valid_fraction"), rounded(F.avg(ix.degraded_class().cast("int"))).alias("degraded_fraction"), F.count("*").alias("n"))
 
 
-@query(_with(pseudo.SQL, """, dn AS (SELECT k, r, c, round(swir16 * 10000) + CASE WHEN k = 3 THEN 1000 ELSE 0 END AS dn FROM px),
+@query(with_sql(pseudo.SQL, """, dn AS (SELECT k, r, c, CASE WHEN k = 2 AND r * 7 + c > 60 THEN 0 ELSE round(swir16 * 10000) + CASE WHEN k = 3 THEN 1000 ELSE 0 END END AS dn FROM px),
 p AS (SELECT k, quantile_cont(dn, 0.01::DOUBLE) FILTER (dn > 0) AS p01, count(*) FILTER (dn > 0) AS n FROM dn GROUP BY k),
-o AS (SELECT k, p01, CASE WHEN n > 64 AND p01 >= 700 THEN 1000 ELSE 0 END AS pedestal FROM p)
-SELECT k, round(any_value(p01), 6) AS p01, any_value(pedestal) AS pedestal, round(avg(greatest(0::DOUBLE, least(1.6::DOUBLE, (dn - pedestal) * 0.0001::DOUBLE))), 6) AS reflectance FROM dn JOIN o USING (k) GROUP BY k"""))
+o AS (SELECT k, CASE WHEN n > 64 THEN p01 ELSE 0 END AS p01 FROM p)
+SELECT k, round(any_value(p01), 6) AS p01, any_value(CASE WHEN p01 >= 700 THEN 1000 ELSE 0 END) AS pedestal, round(avg(greatest(0::DOUBLE, least(1.6::DOUBLE, (dn - CASE WHEN p01 >= 700 THEN 1000 ELSE 0 END) * 0.0001::DOUBLE))), 6) AS reflectance FROM dn JOIN o USING (k) GROUP BY k"""))
 def q_reflectance_pedestal(spark, sf_dir):
-    dn = pseudo.pixels(spark, sf_dir).select("k", (F.round(F.col("swir16") * 10000) + F.when(F.col("k") == 3, 1000).otherwise(0)).alias("dn"))
-    p = dn.where("dn > 0").groupBy("k").agg(F.percentile("dn", 0.01).alias("p01"), F.count("*").alias("n"))
-    p = p.withColumn("pedestal", F.when((F.col("n") > 64) & (F.col("p01") >= 700), 1000).otherwise(0))
-    out = dn.join(p, "k").groupBy("k").agg(F.first("p01").alias("p01"), F.first("pedestal").alias("pedestal"), F.avg(ix.reflectance(F.col("dn"), F.col("pedestal"))).alias("reflectance"))
-    return out.select("k", _r("p01").alias("p01"), "pedestal", _r("reflectance").alias("reflectance"))
+    """One epoch carries the offset, one has too few bright pixels to tell."""
+    dn = F.when((F.col("k") == 2) & (F.col("r") * 7 + F.col("c") > 60), 0).otherwise(F.round(F.col("swir16") * 10000) + F.when(F.col("k") == 3, 1000).otherwise(0))
+    raw = pseudo.pixels(spark, sf_dir).select("k", dn.alias("swir16"))
+    rows = raw.join(ix.pedestals(raw, ["k"]), "k")
+    out = rows.groupBy("k").agg(F.first("dark").alias("p01"), F.first("pedestal").alias("pedestal"), F.avg(ix.reflectance(F.col("swir16"), F.col("pedestal"))).alias("reflectance"))
+    return out.select("k", rounded("p01").alias("p01"), "pedestal", rounded("reflectance").alias("reflectance"))
 
 
-@query(_with(_scored("urban_expansion"), "SELECT r, c FROM core"))
+@query(with_sql(scored_sql("urban_expansion"), "SELECT r, c FROM core"))
 def q_core_valid_erosion(spark, sf_dir):
     return detect.core(detect.pair(pseudo.pixels(spark, sf_dir))).select("r", "c")
 
 
-@query(_with(_scored("urban_expansion"), "SELECT r, c, round(delta, 6) AS delta, round(z, 4) AS z FROM sc"))
+@query(with_sql(scored_sql("urban_expansion"), "SELECT r, c, round(delta, 6) AS delta, round(z, 4) AS z FROM sc"))
 def q_robust_z(spark, sf_dir):
-    return detect.scored(detect.pair(pseudo.pixels(spark, sf_dir)), "urban_expansion").select("r", "c", _r("delta").alias("delta"), _r("z", 4).alias("z"))
+    return detect.scored(detect.pair(pseudo.pixels(spark, sf_dir)), "urban_expansion").select("r", "c", rounded("delta").alias("delta"), rounded("z", 4).alias("z"))
 
 
 def _gate_query(mode: str):
@@ -138,7 +63,7 @@ def _gate_query(mode: str):
         return rows.select("r", "c", "allowed")
 
     run.__name__ = f"q_gate_{mode}"
-    return query(_with(_scored(mode), "SELECT r, c, allowed FROM cd WHERE raw_hit"))(run)
+    return query(with_sql(scored_sql(mode), "SELECT r, c, allowed FROM cd WHERE raw_hit"))(run)
 
 
 def _component_query(mode: str):
@@ -147,22 +72,22 @@ def _component_query(mode: str):
         return detect.labelled(marked, pseudo.frame(spark, sf_dir)).select("r", "c", "label")
 
     run.__name__ = f"q_components_{mode}"
-    return query(_with(_labelled(mode), "SELECT r, c, label FROM lab"))(run)
+    return query(with_sql(labelled_sql(mode), "SELECT r, c, label FROM lab"))(run)
 
 
 for _mode in MODES:
     _gate_query(_mode)
-for _mode in ("urban_expansion", "vegetation_loss", "water_gain", "burn_scar"):
+for _mode in MODES:
     _component_query(_mode)
 
 
-@query(_with(_labelled("urban_expansion"), "SELECT r, c FROM nb"))
+@query(with_sql(labelled_sql("urban_expansion"), "SELECT r, c FROM nb"))
 def q_neighbour_filter(spark, sf_dir):
     marked = detect.candidates(pseudo.pixels(spark, sf_dir), "urban_expansion")
     return neighbourhood.neighbour_filter(marked.where("raw_hit AND allowed").select(*KEYS)).select("r", "c")
 
 
-@query(_with(_scored("urban_expansion"), """, m AS (SELECT r, c FROM core WHERE (r * 7 + c * 13) % 3 <> 0),
+@query(with_sql(scored_sql("urban_expansion"), """, m AS (SELECT r, c FROM core WHERE (r * 7 + c * 13) % 3 <> 0),
 off AS (SELECT i.i, j.j FROM (VALUES (-1), (0), (1)) i(i), (VALUES (-1), (0), (1)) j(j)),
 dil AS (SELECT DISTINCT r + i AS r, c + j AS c FROM m, off, hh WHERE r + i >= 0 AND c + j >= 0 AND r + i < h AND c + j < h)
 SELECT a.r, a.c FROM dil a JOIN dil b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY ALL HAVING count(*) = 9"""))
@@ -172,42 +97,64 @@ def q_closing(spark, sf_dir):
     return neighbourhood.close(mask, frame.height, frame.width).select("r", "c")
 
 
-_UP = _nd("NDBI")
-_PERSIST = f""", v AS (SELECT k, year, r, c, valid, {_UP} AS value FROM px),
-base AS (SELECT r, c, delta, shift, {_nd("NDBI", "_b")} AS base, {_nd("NDBI", "_a")} AS last FROM cd),
-pe AS (SELECT base.r, base.c, avg((value - base - shift * v.k / k1 >= greatest(abs(delta) * 0.5::DOUBLE, 0.05::DOUBLE))::INT) AS p FROM v JOIN base USING (r, c), ends WHERE v.k > 0 AND v.valid GROUP BY ALL)"""
-
-
-@query(_with(_labelled("urban_expansion"), f"""{_PERSIST}, cv AS (SELECT r, c, max((NOT valid)::INT) AS cloudy FROM px GROUP BY ALL),
-t AS (SELECT label, count(*) AS n, avg(delta) AS md, max(delta) AS pd, avg(coalesce(p, 0)) AS ps, avg(lab.r) AS cr, avg(lab.c) AS cc, min(lab.r) AS r0, max(lab.r) + 1 AS r1, min(lab.c) AS c0, max(lab.c) + 1 AS c1, avg(cloudy) AS cl
-  FROM lab JOIN cd USING (r, c) LEFT JOIN pe USING (r, c) JOIN cv USING (r, c) GROUP BY label),
-em AS (SELECT label, k, year, avg(value) AS m FROM v JOIN lab USING (r, c) GROUP BY ALL),
-ee AS (SELECT label, arg_min(m, k) AS m0, arg_max(m, k) AS m1 FROM em GROUP BY label),
-os AS (SELECT label, min(year) AS onset_year FROM em JOIN ee USING (label) WHERE k > 0 AND CASE WHEN m1 > m0 THEN m >= m0 + 0.5::DOUBLE * (m1 - m0) ELSE m <= m0 + 0.5::DOUBLE * (m1 - m0) END GROUP BY label)
-SELECT row_number() OVER (ORDER BY n DESC, label)::INT AS id, label, n AS pixel_count, round(md, 6) AS mean_delta, round(pd, 6) AS peak_delta, round(ps, 6) AS persistence, round(cr, 6) AS centre_r, round(cc, 6) AS centre_c, r0, r1, c0, c1, onset_year,
-  round(greatest(0.05::DOUBLE, least(0.98::DOUBLE, 0.50::DOUBLE + 0.20::DOUBLE * least(abs(md) / 0.30::DOUBLE, 1) + 0.18::DOUBLE * ps + 0.08::DOUBLE * least(n / 400.0::DOUBLE, 1) - CASE WHEN cl > 0.10 THEN 0.12::DOUBLE * cl ELSE 0 END)), 6) AS confidence
-FROM t LEFT JOIN os USING (label)"""))
+@query(with_sql(labelled_sql("urban_expansion"), f"""{CLUSTERS_SQL}
+SELECT id, label, n AS pixel_count, round(md, 6) AS mean_delta, round(pd, 6) AS peak_delta, round(ps, 6) AS persistence, round(cr, 6) AS centre_r, round(cc, 6) AS centre_c, r0, r1, c0, c1, onset_year, round(confidence, 6) AS confidence,
+  round(ha, 6) AS area_ha, CASE WHEN confidence >= 0.90 THEN 'high' WHEN confidence >= 0.70 THEN 'moderate' ELSE 'low' END AS band, 'New built-up surface' || CASE WHEN ps < 0.4 THEN ' (transient)' ELSE '' END AS name,
+  round(cc + 0.5, 6) AS centre_lon, round(-(cr + 0.5), 6) AS centre_lat, round(c0 + 0.5, 6) AS west, round(-(r0 + 0.5), 6) AS north, round(c1 - 0.5, 6) AS east, round(-(r1 - 0.5), 6) AS south FROM t2"""))
 def q_cluster_attrs(spark, sf_dir):
     out = detect.clusters(pseudo.pixels(spark, sf_dir), "urban_expansion", pseudo.frame(spark, sf_dir))
-    rounded = ("mean_delta", "peak_delta", "persistence", "centre_r", "centre_c", "confidence")
-    return out.select("id", "label", "pixel_count", "r0", "r1", "c0", "c1", "onset_year", *(_r(c).alias(c) for c in rounded))
+    numbers = ("mean_delta", "peak_delta", "persistence", "centre_r", "centre_c", "confidence", "area_ha", "centre_lon", "centre_lat", "west", "south", "east", "north")
+    return out.select("id", "label", "name", "band", "pixel_count", "r0", "r1", "c0", "c1", "onset_year", *(rounded(c).alias(c) for c in numbers))
 
 
-@query(_with(_labelled("urban_expansion"), f"""{_PERSIST}, hot AS (SELECT base.*, lab.label IS NOT NULL OR (SELECT count(*) FROM lab) = 0 AS hot FROM base LEFT JOIN lab USING (r, c)),
+_TIMELINE = f"""{PERSIST_SQL}, hot AS (SELECT base.*, lab.label IS NOT NULL OR (SELECT count(*) FROM lab) = 0 AS hot FROM base LEFT JOIN lab USING (r, c)),
 sp AS (SELECT avg(base) AS h0, avg(last) AS h1 FROM hot WHERE hot),
-t AS (SELECT v.k, year, avg(value) AS im, avg(value) FILTER (hot) AS hm, avg((value - base - shift * v.k / k1 >= 0.10::DOUBLE)::INT) AS cf FROM v JOIN hot USING (r, c), ends WHERE valid GROUP BY ALL),
-u AS (SELECT t.*, CASE WHEN abs(h1 - h0) > 1e-6 AND hm IS NOT NULL THEN greatest(0, least(1, (hm - h0) / (h1 - h0))) ELSE 0 END AS p FROM t, sp)
-SELECT k, year, round(im, 6) AS index_mean, round(hm, 6) AS hotspot_mean, round(cf, 6) AS changed_fraction, CASE WHEN k = 0 THEN 'stable' WHEN p >= 0.75 THEN 'changed' WHEN p >= 0.30 THEN 'emerging' ELSE 'stable' END AS status FROM u"""))
+ev AS (SELECT k, year, count(*) FILTER (valid)::DOUBLE / (SELECT h * h FROM hh) AS vf FROM px GROUP BY ALL),
+t AS (SELECT v.k, avg(value) AS im, avg(value) FILTER (hot) AS hm, avg((value - base - shift * v.k / k1 >= 0.10::DOUBLE)::INT) AS cf FROM v JOIN hot USING (r, c), ends WHERE valid GROUP BY ALL),
+u AS (SELECT ev.*, im, hm, coalesce(cf, 0) AS cf, CASE WHEN abs(h1 - h0) > 1e-6 AND hm IS NOT NULL THEN greatest(0, least(1, (hm - h0) / (h1 - h0))) ELSE 0 END AS p FROM ev LEFT JOIN t USING (k), sp)
+SELECT k, year, round(vf, 6) AS valid_fraction, round(im, 6) AS index_mean, round(hm, 6) AS hotspot_mean, round(cf, 6) AS changed_fraction, CASE WHEN k = 0 THEN 'stable' WHEN p >= 0.75 THEN 'changed' WHEN p >= 0.30 THEN 'emerging' ELSE 'stable' END AS status FROM u"""
+
+
+def _timeline(px: DataFrame, frame) -> DataFrame:
+    out = detect.timeline(px, "urban_expansion", frame)
+    return out.select("k", "year", "status", *(rounded(c).alias(c) for c in ("valid_fraction", "index_mean", "hotspot_mean", "changed_fraction")))
+
+
+@query(with_sql(labelled_sql("urban_expansion"), _TIMELINE))
 def q_timeline(spark, sf_dir):
-    out = detect.timeline(pseudo.pixels(spark, sf_dir), "urban_expansion", pseudo.frame(spark, sf_dir))
-    return out.select("k", "year", "status", *(_r(c).alias(c) for c in ("index_mean", "hotspot_mean", "changed_fraction")))
+    return _timeline(pseudo.pixels(spark, sf_dir), pseudo.frame(spark, sf_dir))
+
+
+_CLOUDED = pseudo.SQL.replace("px AS (", "px0 AS (") + ", px AS (SELECT * REPLACE (valid AND k <> 4 AND (k <> 2 OR r % 2 = 0) AS valid) FROM px0)"
+
+
+@query(with_sql(labelled_sql("urban_expansion", _CLOUDED), _TIMELINE))
+def q_timeline_clouded(spark, sf_dir):
+    """The same with one epoch wholly, one half under cloud: the clouded ones keep their rows."""
+    clear = F.col("valid") & (F.col("k") != 4) & ((F.col("k") != 2) | (F.col("r") % 2 == 0))
+    return _timeline(pseudo.pixels(spark, sf_dir).withColumn("valid", clear), pseudo.frame(spark, sf_dir))
+
+
+def _quality(mode: str) -> str:
+    return f"""{labelled_sql(mode)}, cv AS (SELECT r, c, count(*) FILTER (valid) < (SELECT count(DISTINCT k) FROM px) AS cloudy FROM px GROUP BY ALL),
+n AS (SELECT (SELECT count(*) FROM cd) AS core, (SELECT count(*) FROM cd WHERE raw_hit) AS raw_hits, (SELECT count(*) FROM hits) AS gated, (SELECT count(*) FROM lab) AS cleaned, (SELECT h * h FROM hh)::BIGINT AS cells,
+  (SELECT count(*) FROM cv WHERE NOT cloudy) AS clear, (SELECT count(*) FROM cv JOIN cd USING (r, c) WHERE cloudy) AS cloudy_core, (SELECT any_value(shift) FROM cd) AS shift, (SELECT any_value(delta / z) FROM cd WHERE z <> 0) AS sigma,
+  (SELECT count(*) FROM both_ WHERE {WET_B} AND {nd_sql("NDBI", "_a")} > (-0.08)) AS dried, (SELECT count(*) FROM both_ WHERE {WET_B} <> {WET_A}) AS crossed)"""
+
+
+def _quality_query(mode: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = detect.quality_counts(pseudo.pixels(spark, sf_dir), mode, pseudo.frame(spark, sf_dir))
+        numbers = {"valid_fraction": 6, "noise_rejection": 6, "index_shift": 6, "sigma": 6}
+        return out.select("core", "raw_hits", "gate_rejected", "gated", "cleaned", "cloud_masked", "cloud_suppressed", "dried", "crossed", *(rounded(c, d).alias(c) for c, d in numbers.items()))
+
+    run.__name__ = "q_quality_counts" if mode == "vegetation_loss" else f"q_quality_counts_{mode}"
+    return query(with_sql(_quality(mode), """SELECT core, raw_hits, raw_hits - gated AS gate_rejected, gated, cleaned, cells - core AS cloud_masked, cells - clear - cloudy_core AS cloud_suppressed, dried, crossed,
+  round(core::DOUBLE / cells, 6) AS valid_fraction, round((gated - cleaned)::DOUBLE / nullif(gated, 0), 6) AS noise_rejection, round(shift, 6) AS index_shift, round(sigma, 6) AS sigma FROM n"""))(run)
 
 
-@query(_with(_labelled("vegetation_loss"), """SELECT (SELECT count(*) FROM cd) AS core, (SELECT count(*) FROM cd WHERE raw_hit) AS raw_hits, (SELECT count(*) FROM hits) AS gated, (SELECT count(*) FROM lab) AS cleaned,
-  round(((SELECT count(*) FROM hits) - (SELECT count(*) FROM lab))::DOUBLE / (SELECT count(*) FROM hits), 6) AS noise_rejection"""))
-def q_quality_counts(spark, sf_dir):
-    out = detect.quality_counts(pseudo.pixels(spark, sf_dir), "vegetation_loss", pseudo.frame(spark, sf_dir))
-    return out.select("core", "raw_hits", "gated", "cleaned", _r("noise_rejection").alias("noise_rejection"))
+for _mode in ("vegetation_loss", "urban_expansion", "water_loss"):
+    _quality_query(_mode)
 
 
 _EPOCHS = """, e AS (SELECT k, avg((valid AND r % 3 <= k % 3 AND k <> 2)::INT) AS valid_fraction FROM px GROUP BY k)"""
@@ -218,83 +165,86 @@ def _epochs(spark, sf_dir):
     return pseudo.pixels(spark, sf_dir).groupBy("aoi", "k").agg(F.avg(good.cast("int")).alias("valid_fraction"))
 
 
-@query(_with(pseudo.SQL + _EPOCHS, "SELECT k, round(valid_fraction, 6) AS valid_fraction FROM e WHERE CASE WHEN (SELECT count(*) FROM e WHERE valid_fraction >= 0.25) >= 2 THEN valid_fraction >= 0.25 ELSE k IN (SELECT k FROM e ORDER BY valid_fraction DESC, k LIMIT 2) END"))
+@query(with_sql(pseudo.SQL + _EPOCHS, "SELECT k, round(valid_fraction, 6) AS valid_fraction FROM e WHERE CASE WHEN (SELECT count(*) FROM e WHERE valid_fraction >= 0.25) >= 2 THEN valid_fraction >= 0.25 ELSE k IN (SELECT k FROM e ORDER BY valid_fraction DESC, k LIMIT 2) END"))
 def q_usable_epochs(spark, sf_dir):
-    return detect.usable_epochs(_epochs(spark, sf_dir)).select("k", _r("valid_fraction").alias("valid_fraction"))
+    return detect.usable_epochs(_epochs(spark, sf_dir)).select("k", rounded("valid_fraction").alias("valid_fraction"))
 
 
-@query(_with(pseudo.SQL, "SELECT DISTINCT k FROM px WHERE k < 3 OR k = (SELECT max(k) FROM px)"))
+@query(with_sql(pseudo.SQL, "SELECT DISTINCT k FROM px WHERE k < 3 OR k = (SELECT max(k) FROM px)"))
 def q_epoch_cap(spark, sf_dir):
     return detect.cap_epochs(pseudo.pixels(spark, sf_dir).select("aoi", "k").distinct(), 4).select("k")
 
 
-@query(_with(pseudo.SQL, """, src AS (SELECT k, r, c, ord, CASE WHEN (r + c + ord) % 3 = 0 THEN 0 ELSE nir + ord END AS nir, CASE WHEN (r + c + ord) % 3 = 0 THEN 0 ELSE swir16 + ord END AS swir16 FROM px, (VALUES (0), (1), (2)) t(ord))
+@query(with_sql(pseudo.SQL, """, src AS (SELECT k, r, c, ord, CASE WHEN (r + c + ord) % 3 = 0 THEN 0 ELSE nir + ord END AS nir, CASE WHEN (r + c + ord) % 3 = 0 THEN 0 ELSE swir16 + ord END AS swir16 FROM px, (VALUES (0), (1), (2)) t(ord))
 SELECT k, r, c, round(coalesce(arg_min(nir, ord) FILTER (swir16 > 0), arg_min(nir, ord)), 6) AS nir, round(coalesce(arg_min(swir16, ord) FILTER (swir16 > 0), arg_min(swir16, ord)), 6) AS swir16 FROM src GROUP BY k, r, c"""))
 def q_mosaic_fill(spark, sf_dir):
     px = pseudo.pixels(spark, sf_dir).withColumn("ord", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     gap = (F.col("r") + F.col("c") + F.col("ord")) % 3 == 0
     rows = px.select("aoi", "k", "r", "c", "ord", *(F.when(gap, 0.0).otherwise(F.col(b) + F.col("ord")).alias(b) for b in ("nir", "swir16")))
-    return detect.mosaic(rows, ("nir", "swir16")).select("k", "r", "c", _r("nir").alias("nir"), _r("swir16").alias("swir16"))
+    return detect.mosaic(rows, ("nir", "swir16")).select("k", "r", "c", rounded("nir").alias("nir"), rounded("swir16").alias("swir16"))
 
 
-@query(_with(pseudo.SQL, """, q AS (SELECT k, quantile_cont(red, 0.02::DOUBLE) AS lo, quantile_cont(red, 0.96::DOUBLE) AS hi FROM px WHERE valid GROUP BY k)
+@query(with_sql(pseudo.SQL, """, q AS (SELECT k, quantile_cont(red, 0.02::DOUBLE) AS lo, quantile_cont(red, 0.96::DOUBLE) AS hi FROM px WHERE valid GROUP BY k)
 SELECT k, r, c, CASE WHEN valid THEN floor(255 * pow(greatest(0::DOUBLE, least(1::DOUBLE, (red - lo) / greatest(hi - lo, 1e-6::DOUBLE))), 1 / 1.05::DOUBLE) + 1e-9)::INT ELSE 28 END AS shade FROM px JOIN q USING (k)"""))
 def q_percentile_stretch(spark, sf_dir):
-    px = pseudo.pixels(spark, sf_dir)
-    q = px.where("valid").groupBy("k").agg(F.percentile("red", F.array(F.lit(0.02), F.lit(0.96))).alias("q"))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("red") - F.col("q")[0]) / F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(1e-6))))
-    return px.join(q, "k").select("k", "r", "c", F.when(F.col("valid"), F.floor(255 * F.pow(t, F.lit(1 / 1.05)) + 1e-9).cast("int")).otherwise(28).alias("shade"))
+    return raster.stretched(pseudo.pixels(spark, sf_dir), ("red",), ("k",)).select("k", "r", "c", F.col("red").alias("shade"))
 
 
-@query()
-def q_phase_shift(spark, sf_dir):
-    px = pseudo.pixels(spark, sf_dir)
-    frame = pseudo.frame(spark, sf_dir)
-    return neighbourhood.shifts(px.where("k IN (0, 6)"), "red", frame.height, frame.width)
+_TAU = "(2 * pi())"
 
 
-@query()
-def q_mask_png(spark, sf_dir):
-    frame = pseudo.frame(spark, sf_dir)
+@query(with_sql(scored_sql("urban_expansion"), f""", im AS (SELECT r, c, {nd_sql("NDBI", "_b")} AS a, {nd_sql("NDBI", "_a")} AS b FROM cd),
+n AS (SELECT h::DOUBLE AS n, (SELECT sum(a) FROM im) / (h * h) AS ma, (SELECT sum(b) FROM im) / (h * h) AS mb FROM hh),
+ax AS (SELECT i::INT AS i FROM hh, range(h) t(i)),
+im2 AS (SELECT y.i AS r, x.i AS c, (coalesce(a, 0) - ma) * (0.5::DOUBLE - 0.5::DOUBLE * cos({_TAU} * y.i / (n - 1))) * (0.5::DOUBLE - 0.5::DOUBLE * cos({_TAU} * x.i / (n - 1))) AS a, (coalesce(b, 0) - mb) * (0.5::DOUBLE - 0.5::DOUBLE * cos({_TAU} * y.i / (n - 1))) * (0.5::DOUBLE - 0.5::DOUBLE * cos({_TAU} * x.i / (n - 1))) AS b FROM ax y CROSS JOIN ax x CROSS JOIN n LEFT JOIN im ON im.r = y.i AND im.c = x.i),
+f1 AS (SELECT r, v.i AS v, sum(a * cos({_TAU} * v.i * c / n)) AS ar, -sum(a * sin({_TAU} * v.i * c / n)) AS ai, sum(b * cos({_TAU} * v.i * c / n)) AS br, -sum(b * sin({_TAU} * v.i * c / n)) AS bi FROM im2, ax v, n GROUP BY ALL),
+f2 AS (SELECT u.i AS u, v, sum(ar * cos({_TAU} * u.i * r / n) + ai * sin({_TAU} * u.i * r / n)) AS ar, sum(ai * cos({_TAU} * u.i * r / n) - ar * sin({_TAU} * u.i * r / n)) AS ai, sum(br * cos({_TAU} * u.i * r / n) + bi * sin({_TAU} * u.i * r / n)) AS br, sum(bi * cos({_TAU} * u.i * r / n) - br * sin({_TAU} * u.i * r / n)) AS bi FROM f1, ax u, n GROUP BY ALL),
+cr AS (SELECT u, v, (ar * br + ai * bi) / greatest(m, 1e-12::DOUBLE) AS x, (ai * br - ar * bi) / greatest(m, 1e-12::DOUBLE) AS y FROM (SELECT *, sqrt(pow(ar * br + ai * bi, 2) + pow(ai * br - ar * bi, 2)) AS m FROM f2)),
+i1 AS (SELECT u, c.i AS c, sum(x * cos({_TAU} * v * c.i / n) - y * sin({_TAU} * v * c.i / n)) AS x, sum(x * sin({_TAU} * v * c.i / n) + y * cos({_TAU} * v * c.i / n)) AS y FROM cr, ax c, n GROUP BY ALL),
+i2 AS (SELECT r.i AS r, c, sum(x * cos({_TAU} * u * r.i / n) - y * sin({_TAU} * u * r.i / n)) / any_value(n * n) AS p FROM i1, ax r, n GROUP BY ALL),
+pk AS (SELECT arg_max(r, p) AS r, arg_max(c, p) AS c, max(p) / (stddev_pop(p) + 1e-12::DOUBLE) AS sharp FROM i2)
+SELECT round(sqrt(pow(CASE WHEN r > h // 2 THEN r - h ELSE r END, 2) + pow(CASE WHEN c > h // 2 THEN c - h ELSE c END, 2)), 6) AS shift_px, round(sharp, 3) AS sharpness FROM pk, hh"""))
+def q_phase_shift(spark, sf_dir):
+    """The registration shift of an analysis; its twin sums the transform term by term."""
     marked = detect.candidates(pseudo.pixels(spark, sf_dir), "urban_expansion")
-    return neighbourhood.masks_png(detect.labelled(marked, frame), frame.height, frame.width)
+    return detect.registration(marked, "urban_expansion", pseudo.frame(spark, sf_dir)).select(rounded("shift_px").alias("shift_px"), rounded("sharpness", 3).alias("sharpness"))
 
 
-@query(_with(_scored("urban_expansion"), f"""{_PERSIST} SELECT base.r, base.c, round(coalesce(p, 0), 6) AS persistence FROM base LEFT JOIN pe USING (r, c)"""))
+@query(with_sql(scored_sql("urban_expansion"), f"""{PERSIST_SQL} SELECT base.r, base.c, round(coalesce(p, 0), 6) AS persistence FROM base LEFT JOIN pe USING (r, c)"""))
 def q_persistence(spark, sf_dir):
     px = detect.kept(pseudo.pixels(spark, sf_dir))
-    return detect.persistence(px, detect.candidates(px, "urban_expansion"), "urban_expansion").select("r", "c", _r("persistence").alias("persistence"))
+    return detect.persistence(px, detect.candidates(px, "urban_expansion"), "urban_expansion").select("r", "c", rounded("persistence").alias("persistence"))
 
 
 _SIGNATURE = f"""SELECT unnest([round(vb, 6), round(va, 6), round(va - vb, 6), round(bb, 6), round(ba, 6), round(ba - bb, 6), round(wb, 6), round(wa, 6), round(wa - wb, 6), round(ch / n, 6), round(least(1, ncl / (n * 0.01::DOUBLE / 100) / 10), 6),
   round(CASE WHEN ch > 0 THEN least(1, ncl / ch * 50) ELSE 0 END, 6), round(CASE WHEN ncl > 0 THEN least(1, ch * 0.01::DOUBLE / ncl / 50) ELSE 0 END, 6)]) AS value, unnest(range(13))::INT AS dim
-FROM (SELECT count(*)::DOUBLE AS n, {", ".join(f"avg(({_nd(i, e)} > {t}::DOUBLE)::INT) AS {x}{e[1]}" for x, i, t in (("v", "NDVI", 0.30), ("b", "NDBI", 0.0), ("w", "MNDWI", 0.05)) for e in ("_b", "_a"))} FROM both_ WHERE valid),
+FROM (SELECT count(*)::DOUBLE AS n, {", ".join(f"avg(({nd_sql(i, e)} > {t}::DOUBLE)::INT) AS {x}{e[1]}" for x, i, t in (("v", "NDVI", 0.30), ("b", "NDBI", 0.0), ("w", "MNDWI", 0.05)) for e in ("_b", "_a"))} FROM both_ WHERE valid),
 (SELECT count(*)::DOUBLE AS ch, least(count(DISTINCT label), 40)::DOUBLE AS ncl FROM lab)"""
 
 
-@query(_with(_labelled("urban_expansion"), _SIGNATURE))
+@query(with_sql(labelled_sql("urban_expansion"), _SIGNATURE))
 def q_signature(spark, sf_dir):
     px, frame = detect.kept(pseudo.pixels(spark, sf_dir)), pseudo.frame(spark, sf_dir)
     labels = detect.labelled(detect.candidates(px, "urban_expansion"), frame)
     rows = signatures.describe(detect.pair(px), labels, frame.pixel_ha)
-    return rows.select(F.posexplode("vector").alias("dim", "x")).select("dim", _r("x").alias("value"))
+    return rows.select(F.posexplode("vector").alias("dim", "x")).select("dim", rounded("x").alias("value"))
 
 
-@query(_with(pseudo.SQL, """, t AS (SELECT k, h, (h * 3) // 2 AS m, tr::INT AS tr, tc::INT AS tc FROM (SELECT DISTINCT k FROM px), hh, range((h * 3) // 2) a(tr), range((h * 3) // 2) b(tc))
+@query(with_sql(pseudo.SQL, """, t AS (SELECT k, h, (h * 3) // 2 AS m, tr::INT AS tr, tc::INT AS tc FROM (SELECT DISTINCT k FROM px), hh, range((h * 3) // 2) a(tr), range((h * 3) // 2) b(tc))
 SELECT t.k, tr AS r, tc AS c, round(coalesce(nir, 0), 6) AS nir, coalesce(scl, 0) AS scl FROM t LEFT JOIN px ON px.k = t.k AND px.r = floor((tr + 0.5::DOUBLE) * h / m) AND px.c = floor((tc + 0.5::DOUBLE) * h / m)"""))
 def q_resample_nearest(spark, sf_dir):
     h = pseudo.side(spark, sf_dir)
     out = raster.resample_nearest(pseudo.pixels(spark, sf_dir), ["nir", "scl"], ["k"], (h, h), (h * 3 // 2, h * 3 // 2))
-    return out.select("k", "r", "c", _r(F.coalesce("nir", F.lit(0.0))).alias("nir"), F.coalesce("scl", F.lit(0)).alias("scl"))
+    return out.select("k", "r", "c", rounded(F.coalesce("nir", F.lit(0.0))).alias("nir"), F.coalesce("scl", F.lit(0)).alias("scl"))
 
 
-@query(_with(pseudo.SQL, """, t AS (SELECT k, tr::INT AS tr, tc::INT AS tc, (tr + 0.5::DOUBLE) * h / ((h * 2) // 3) - 0.5::DOUBLE AS y, (tc + 0.5::DOUBLE) * h / ((h * 2) // 3) - 0.5::DOUBLE AS x FROM (SELECT DISTINCT k FROM px), hh, range((h * 2) // 3) a(tr), range((h * 2) // 3) b(tc)),
+@query(with_sql(pseudo.SQL, """, t AS (SELECT k, tr::INT AS tr, tc::INT AS tc, (tr + 0.5::DOUBLE) * h / ((h * 2) // 3) - 0.5::DOUBLE AS y, (tc + 0.5::DOUBLE) * h / ((h * 2) // 3) - 0.5::DOUBLE AS x FROM (SELECT DISTINCT k FROM px), hh, range((h * 2) // 3) a(tr), range((h * 2) // 3) b(tc)),
 w AS (SELECT t.*, px.nir, px.red, (1 - abs(y - px.r)) * (1 - abs(x - px.c)) AS w FROM t LEFT JOIN px ON px.k = t.k AND abs(y - px.r) < 1 AND abs(x - px.c) < 1)
 SELECT k, tr AS r, tc AS c, round(sum(w * nir) / sum(w), 10) AS nir, round(sum(w * red) / sum(w), 10) AS red FROM w GROUP BY ALL"""))
 def q_resample_bilinear(spark, sf_dir):
     h = pseudo.side(spark, sf_dir)
     out = raster.resample_bilinear(pseudo.pixels(spark, sf_dir), ["nir", "red"], ["k"], (h, h), (h * 2 // 3, h * 2 // 3))
-    return out.select("k", "r", "c", _r("nir", 10).alias("nir"), _r("red", 10).alias("red"))
+    return out.select("k", "r", "c", rounded("nir", 10).alias("nir"), rounded("red", 10).alias("red"))
 
 
 @query("""WITH s AS (SELECT p_partkey, p_size * 137.0::DOUBLE AS w, p_retailprice * 3::DOUBLE AS h, CASE p_partkey % 3 WHEN 0 THEN [1, 2, 4, 8, 16] WHEN 1 THEN [1, 3, 9] ELSE [1] END AS levels FROM part),
@@ -307,30 +257,6 @@ def q_overview_level(spark, sf_dir):
     return pseudo.table(spark, sf_dir, "part").select("p_partkey", level.alias("level"))
 
 
-@query(_with(_scored("vegetation_loss"), """, q AS (SELECT quantile_cont(-delta, 0.02::DOUBLE) AS lo, quantile_cont(-delta, 0.99::DOUBLE) AS hi FROM sc)
-SELECT heat, count(*) AS n FROM (SELECT floor(255 * greatest(0::DOUBLE, least(1::DOUBLE, (-delta - lo) / greatest(hi - lo, 1e-6::DOUBLE))))::INT AS heat FROM sc, q) GROUP BY heat"""))
-def q_heat_bins(spark, sf_dir):
-    rows = detect.scored(detect.pair(pseudo.pixels(spark, sf_dir)), "vegetation_loss")
-    return raster.heat_index(rows, "delta", "decrease").groupBy("heat").agg(F.count("*").alias("n"))
-
-
-@query()
-def q_heat_png(spark, sf_dir):
-    frame = pseudo.frame(spark, sf_dir)
-    rows = raster.heat_index(detect.scored(detect.pair(pseudo.pixels(spark, sf_dir)), "vegetation_loss"), "delta", "decrease")
-    return raster.heat_png(rows, frame.height, frame.width).select("aoi", raster.data_uri(F.col("png")).alias("image"))
-
-
-@query()
-def q_overlay_png(spark, sf_dir):
-    px, frame = detect.kept(pseudo.pixels(spark, sf_dir)), pseudo.frame(spark, sf_dir)
-    labels = detect.labelled(detect.candidates(px, "urban_expansion"), frame)
-    last = px.join(px.groupBy("aoi").agg(F.max("k").alias("k")), ["aoi", "k"])
-    shade = lambda b: F.floor(255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(b) * 2))).cast("int")
-    colours = raster.overlay(last.select(*KEYS, shade("red").alias("red"), shade("green").alias("green"), shade("green").alias("blue")), labels, "increase")
-    return raster.rgb_png(colours, frame.height, frame.width).select("aoi", raster.data_uri(F.col("png")).alias("image"))
-
-
 # ---- scenes ----------------------------------------------------------------------------------------------------------------------------------
 
 _ANCHOR = f"""{pseudo.SCENES_SQL},
@@ -339,12 +265,12 @@ ag AS (SELECT a, count(*) AS covered, list_sort(list(cloud))[count(*) // 2 + 1]
 anchor AS (SELECT a::INT AS anchor, covered, med FROM ag ORDER BY covered DESC, med, a LIMIT 1)"""
 
 
-@query(_with(_ANCHOR, "SELECT anchor, covered, round(med, 6) AS med FROM anchor"))
+@query(with_sql(_ANCHOR, "SELECT anchor, covered, round(med, 6) AS med FROM anchor"))
 def q_season_anchor(spark, sf_dir):
-    return scenes.season_anchor(pseudo.scenes(spark, sf_dir)).select("anchor", "covered", _r("med").alias("med"))
+    return scenes.season_anchor(pseudo.scenes(spark, sf_dir)).select("anchor", "covered", rounded("med").alias("med"))
 
 
-@query(_with(pseudo.SCENES_SQL, "SELECT mgrs, count(*) AS n, count(DISTINCT year) AS years FROM s GROUP BY mgrs"))
+@query(with_sql(pseudo.SCENES_SQL, "SELECT mgrs, count(*) AS n, count(DISTINCT year) AS years FROM s GROUP BY mgrs"))
 def q_tile_coverage(spark, sf_dir):
     return scenes.tile_coverage(pseudo.scenes(spark, sf_dir))
 
@@ -355,13 +281,13 @@ f AS (SELECT *, (days > 45)::INT AS tier, (mgrs IN (SELECT mgrs FROM tile))::INT
 b AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY tier, own DESC, round_even(cloud, 1), days, id) AS nth FROM f)"""
 
 
-@query(_with(_BEST, "SELECT year, id, date, mgrs, round(cloud, 6) AS cloud, tier = 1 AS relaxed FROM b WHERE nth = 1"))
+@query(with_sql(_BEST, "SELECT year, id, date, mgrs, round(cloud, 6) AS cloud, tier = 1 AS relaxed FROM b WHERE nth = 1"))
 def q_best_scene_per_year(spark, sf_dir):
-    return scenes.best_per_year(pseudo.scenes(spark, sf_dir)).select("year", "id", "date", "mgrs", _r("cloud").alias("cloud"), "relaxed")
+    return scenes.best_per_year(pseudo.scenes(spark, sf_dir)).select("year", "id", "date", "mgrs", rounded("cloud").alias("cloud"), "relaxed")
 
 
-@query(_with(_BEST, """, p AS (SELECT b.id AS chosen_id, s.id AS companion_id, s.mgrs, row_number() OVER (PARTITION BY b.id, s.mgrs ORDER BY s.cloud, s.id) AS j FROM b JOIN s ON s.date = b.date AND s.mgrs <> b.mgrs AND s.id <> b.id WHERE nth = 1)
-SELECT chosen_id, companion_id, mgrs FROM p WHERE j = 1"""))
+@query(with_sql(_BEST, """, p AS (SELECT b.id AS chosen_id, s.id AS companion_id, s.mgrs, s.cloud, row_number() OVER (PARTITION BY b.id, s.mgrs ORDER BY s.cloud, s.id) AS j FROM b JOIN s ON s.date = b.date AND s.mgrs <> b.mgrs AND s.id <> b.id WHERE nth = 1)
+SELECT chosen_id, companion_id, mgrs, row_number() OVER (PARTITION BY chosen_id ORDER BY cloud, companion_id)::INT AS ord FROM p WHERE j = 1"""))
 def q_companions(spark, sf_dir):
     s = pseudo.scenes(spark, sf_dir)
     return scenes.companions(s, scenes.best_per_year(s))
@@ -413,7 +339,7 @@ z AS (SELECT c_custkey, round(x - dx, 6) AS w, round(y - dy, 6) AS s, round(x +
 @query(f"WITH {_CLAMP} SELECT c_custkey, round(w, 5) AS w, round(s, 5) AS s, round(e, 5) AS e, round(n, 5) AS n FROM z")
 def q_bbox_clamp(spark, sf_dir):
     out = _boxes(spark, sf_dir).select("c_custkey", places.clamp_box(*(F.col(c) for c in "wsen")).alias("b"))
-    return out.select("c_custkey", *(_r(f"b.{c}", 5).alias(c) for c in "wsen"))
+    return out.select("c_custkey", *(rounded(f"b.{c}", 5).alias(c) for c in "wsen"))
 
 
 @query(f"""WITH {_CLAMP}, y AS (SELECT *, abs(e - w) AS dx, abs(n - s) AS dy FROM z),
@@ -423,7 +349,7 @@ def q_grid_pixel_area(spark, sf_dir):
     box = _boxes(spark, sf_dir).select("c_custkey", places.clamp_box(*(F.col(c) for c in "wsen")).alias("b")).select("c_custkey", "b.*")
     sides = [F.col(c) for c in "wsen"]
     out = box.withColumn("size", places.grid_size(*sides))
-    return out.select("c_custkey", "size.width", "size.height", _r(places.pixel_ha(*sides, F.col("size.width"), F.col("size.height")), 8).alias("pixel_ha"))
+    return out.select("c_custkey", "size.width", "size.height", rounded(places.pixel_ha(*sides, F.col("size.width"), F.col("size.height")), 8).alias("pixel_ha"))
 
 
 _RING = ((10.0, -10.0), (80.0, 0.0), (60.0, 60.0), (30.0, 20.0), (-40.0, 70.0), (-70.0, -20.0))
@@ -455,7 +381,7 @@ def _parity(points: str) -> str:
 pts AS (SELECT i, lon AS x, lat AS y FROM cells), c AS (SELECT q.i, q.x, q.y, elevation FROM ({_parity("pts")}) q JOIN h USING (i) WHERE inside),
 best AS (SELECT x AS bx, y AS by_, elevation FROM c ORDER BY (elevation >= 5) DESC, elevation, i LIMIT 1),
 held AS (SELECT greatest(-69.75::DOUBLE, least(79.75::DOUBLE, bx)) AS bx, greatest(-19.75::DOUBLE, least(69.75::DOUBLE, by_)) AS by_, elevation FROM best),
-mv AS (SELECT 0 AS o, 0::DOUBLE AS dx, 0::DOUBLE AS dy UNION ALL SELECT 1 + si * 8 + mi, mx * 0.5::DOUBLE * st, my * 0.5::DOUBLE * st FROM (VALUES (0, 0.25::DOUBLE), (1, 0.5::DOUBLE), (2, 0.75::DOUBLE), (3, 1::DOUBLE)) s(si, st), (VALUES {", ".join(f"({i}, ({a}), ({b}))" for i, (a, b) in enumerate(study.MOVES))}) m(mi, mx, my)),
+mv AS (SELECT 0 AS o, 0::DOUBLE AS dx, 0::DOUBLE AS dy UNION ALL SELECT 1 + si * 8 + mi, mx * 0.5::DOUBLE * st, my * 0.5::DOUBLE * st FROM (VALUES (0, 0.25::DOUBLE), (1, 0.5::DOUBLE), (2, 0.75::DOUBLE), (3, 1::DOUBLE)) s(si, st), (VALUES {", ".join(f"({i}, ({a}), ({b}))" for i, (a, b) in enumerate(MOVES))}) m(mi, mx, my)),
 tr AS (SELECT o, bx + dx AS cx, by_ + dy AS cy, elevation FROM held, mv WHERE o = 0 OR (bx + dx BETWEEN (-69.75)::DOUBLE AND 79.75::DOUBLE AND by_ + dy BETWEEN (-19.75)::DOUBLE AND 69.75::DOUBLE)),
 pr AS (SELECT tr.*, cx + a.v * 0.25::DOUBLE AS x, cy + b.v * 0.25::DOUBLE AS y FROM tr, (VALUES (-0.9::DOUBLE), (-0.45::DOUBLE), (0::DOUBLE), (0.45::DOUBLE), (0.9::DOUBLE)) a(v), (VALUES (-0.9::DOUBLE), (-0.45::DOUBLE), (0::DOUBLE), (0.45::DOUBLE), (0.9::DOUBLE)) b(v)),
 sh AS (SELECT o, cx, cy, elevation, avg(inside::INT) AS coverage FROM ({_parity("pr")}) GROUP BY ALL ORDER BY coverage DESC, o LIMIT 1)
@@ -467,7 +393,7 @@ def q_study_window(spark, sf_dir):
     regions = spark.createDataFrame([_REGION], "name string, w double, s double, e double, n double")
     edges = spark.createDataFrame([(_REGION[0], *x) for x in _EDGES], "name string, x0 double, y0 double, x1 double, y1 double")
     out = study.study_windows(regions, edges, cells.join(heights, "i").select("lon", "lat", "elevation"))
-    return out.select("name", *(_r(c).alias(c) for c in ("lon", "lat", "elevation", "coverage")))
+    return out.select("name", *(rounded(c).alias(c) for c in ("lon", "lat", "elevation", "coverage")))
 
 
 @query("""WITH a AS (SELECT p_partkey, sqrt(p_partkey + 0.5::DOUBLE) * p_size * p_size / 100 AS ha FROM part)
@@ -489,7 +415,7 @@ def q_spatial_bias(spark, sf_dir):
 def q_overall_confidence(spark, sf_dir):
     k = F.col("p_partkey")
     rows = pseudo.table(spark, sf_dir, "part").select(k, (F.col("p_size") / 50).alias("valid_fraction"), (k % 7).alias("epoch_count"), (k % 4).alias("cluster_count"), (k % 11 / 11).alias("mean_persistence"), (F.col("p_retailprice") % 20).alias("mean_cloud"))
-    return rows.select("p_partkey", _r(report.overall_confidence()).alias("confidence"))
+    return rows.select("p_partkey", rounded(report.overall_confidence()).alias("confidence"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value FROM events WHERE event_id % 9 <> 0""")
@@ -501,81 +427,6 @@ def q_frames_round_trip(spark, sf_dir):
     return files.parse_frames(cut, "event_id long, value double")
 
 
-@query()
-def q_report_lines(spark, sf_dir):
-    """The Markdown report of a question over the whole pseudo-raster."""
-    from ..engine import Engine
-
-    engine = Engine(spark, pseudo.pixels(spark, sf_dir), pseudo.frame(spark, sf_dir), today=TODAY)
-    for _ in engine.analyze("Show urban expansion in Ringland between 2016 and 2022"):
-        pass
-    return engine.report()
-
-
-# ---- questions and text ------------------------------------------------------------------------------------------------------------------------
-
-_ASKS = (
-    "Show me urban expansion near lakes in Hyderabad between 2018 and 2024",
-    "Which water bodies have significantly reduced over the last 5 years?",
-    "forest cover loss in wayanad since 2019",
-    "Did vegetation increase along the river after the 2021 flood",
-    "Burned area around farms, past decade",
-    "where did new construction appear 2017-2023 close to the national park",
-    "find more places like this",
-    "flooding in 2015 and 2030, illegal encroachment definitely proves a crime",
-)
-_ASK_SQL = "[" + ", ".join(f"'{a}'" for a in _ASKS) + "][(conv_id * 31 + turn) % 8 + 1]"
-_Q_SQL = f"q AS (SELECT conv_id, turn, lower({_ASK_SQL}) AS q FROM conversations)"
-
-
-def _asked(spark, sf_dir):
-    asks = F.array(*(F.lit(a) for a in _ASKS))
-    return pseudo.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.element_at(asks, ((F.col("conv_id") * 31 + F.col("turn")) % 8 + 1).cast("int")).alias("text"))
-
-
-@query()
-def q_interpret(spark, sf_dir):
-    out = interpret.interpret(_asked(spark, sf_dir), TODAY)
-    return out.withColumn("matched", F.concat_ws("|", "matched")).drop("text")
-
-
-@query(f"""WITH {_Q_SQL}, m AS (SELECT *, regexp_extract(q, '((?:19|20)\\d{{2}})\\s*(?:-|to|and|until|till|through|vs\\.?|versus)\\s*((?:19|20)\\d{{2}})', 1) AS a, regexp_extract(q, '((?:19|20)\\d{{2}})\\s*(?:-|to|and|until|till|through|vs\\.?|versus)\\s*((?:19|20)\\d{{2}})', 2) AS b,
-  regexp_extract(q, '(?:last|past|previous|recent)\\s+(\\d{{1,2}})\\s*(?:year|yr)', 1) AS n, regexp_extract(q, 'since\\s+((?:19|20)\\d{{2}})', 1) AS s, list_filter(list_transform(regexp_extract_all(q, '\\b((?:19|20)\\d{{2}})\\b', 1), lambda x: x::INT), lambda x: x BETWEEN 2015 AND 2027) AS l FROM q),
-w AS (SELECT conv_id, turn, CASE WHEN a <> '' THEN least(a::INT, b::INT) WHEN n <> '' THEN 2026 - greatest(1, n::INT) WHEN regexp_matches(q, '(?:last|past)\\s+decade') THEN 2016 WHEN regexp_matches(q, '(?:last|past)\\s+(?:year|12\\s*months)') THEN 2025 WHEN s <> '' THEN s::INT
-  WHEN len(l) >= 2 THEN list_min(l) WHEN len(l) = 1 AND l[1] >= 2026 THEN greatest(2016, l[1] - 2) WHEN len(l) = 1 THEN l[1] ELSE 2022 END AS st, CASE WHEN a <> '' THEN greatest(a::INT, b::INT) WHEN n <> '' OR regexp_matches(q, '(?:last|past)\\s+(?:decade|year|12\\s*months)') OR s <> '' THEN 2026 WHEN len(l) >= 2 THEN list_max(l) ELSE 2026 END AS en FROM m),
-c AS (SELECT conv_id, turn, greatest(2016, st) AS st, least(2026, en) AS en FROM w)
-SELECT conv_id, turn, st AS start_year, CASE WHEN en <= st THEN least(2026, st + 1) ELSE en END AS end_year FROM c""".replace("\\\\", "\\"))
-def q_interpret_years(spark, sf_dir):
-    rows = _asked(spark, sf_dir).withColumn("w", interpret.years(F.lower("text"), TODAY))
-    return rows.select("conv_id", "turn", F.col("w.start").alias("start_year"), F.col("w.end").alias("end_year"))
-
-
-@query()
-def q_interpret_place(spark, sf_dir):
-    return _asked(spark, sf_dir).select("conv_id", "turn", interpret.place(interpret.normalise(F.col("text"))).alias("place"))
-
-
-_NEAR_SQL = " ".join(f"WHEN regexp_matches(q, '\\b(?:{'|'.join(v)})\\b') THEN '{k}'" for k, v in NEAR_FEATURES.items())
-
-
-@query(f"WITH {_Q_SQL} SELECT conv_id, turn, CASE WHEN NOT regexp_matches(q, '\\b(?:{'|'.join(NEAR_WORDS)})\\b') THEN NULL {_NEAR_SQL} END AS proximity FROM q")
-def q_proximity(spark, sf_dir):
-    return _asked(spark, sf_dir).select("conv_id", "turn", interpret.proximity(F.lower("text")).alias("proximity"))
-
-
-def _sanitise_sql(text: str) -> str:
-    for pattern, put in REWRITES:
-        text = f"regexp_replace({text}, '{pattern}', '{put}', 'gi')"
-    return text
-
-
-@query(f"SELECT conv_id, turn, {_sanitise_sql(f'{_ASK_SQL} || {chr(39)} {chr(39)} || role || {chr(39)} PROOF of guarantees{chr(39)}')} AS clean FROM conversations")
-def q_sanitise(spark, sf_dir):
-    roles = pseudo.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    rows = _asked(spark, sf_dir).join(roles, ["conv_id", "turn"])
-    return rows.select("conv_id", "turn", interpret.sanitise(F.concat_ws(" ", "text", "role", F.lit("PROOF of guarantees"))).alias("clean"))
-
-
 # ---- signatures, events, display ---------------------------------------------------------------------------------------------------------------
 
 _W_SQL = "[" + ", ".join(f"{w}::DOUBLE" for w in SIGNATURE_WEIGHTS) + "]"
@@ -593,7 +444,7 @@ SELECT query_key, key, rank::INT AS rank, round(distance, 6) AS distance, round(
 def q_similarity_topk(spark, sf_dir):
     s = _signatures(spark, sf_dir)
     out = signatures.most_similar(s.where("seq % 20 = 0"), s)
-    return out.select("query_key", "key", "rank", _r("distance").alias("distance"), _r("similarity").alias("similarity"))
+    return out.select("query_key", "key", "rank", rounded("distance").alias("distance"), rounded("similarity").alias("similarity"))
 
 
 @query("""WITH o AS (SELECT lpad(vec_id::VARCHAR, 6, '0') AS key, vec_id AS seq FROM embeddings), n AS (SELECT lpad(vec_id::VARCHAR, 6, '0') AS key, vec_id + 1000000 AS seq FROM embeddings WHERE label = 0)
@@ -630,3 +481,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = interpret.interpret(question, TODAY).first()
     px = pseudo.pixels(spark, sf_dir).where(F.col("year").between(plan["start_year"], plan["end_year"]))
     return detect.clusters(px, plan["mode"], pseudo.frame(spark, sf_dir)).orderBy("id")
+
+
+from . import analysis, imagery, questions, selection  # noqa: E402, F401  (they register their queries)

@@ -73,3 +73,24 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCENES_SQL = """s AS (SELECT o_orderkey::VARCHAR AS id, o_orderdate::DATE AS date, o_totalprice % 20 AS cloud, 'T' || (o_custkey % 5) AS mgrs, year(o_orderdate)::INT AS year, dayofyear(o_orderdate)::INT AS doy FROM orders)"""
+
+
+#: Where the pseudo-raster lies for a whole analysis, and the place that names it.
+BOX, PLACE = (10.0, 49.9, 10.1, 50.0), "Ringland"
+
+
+def archive(spark: SparkSession, sf_dir: str):
+    """The pseudo-raster as an archive: a scene a year, raw numbers as its images, a place, no boundaries and no heights."""
+    from ..sources import archive as archives
+    from ..sources import files
+
+    px, h = pixels(spark, sf_dir), side(spark, sf_dir)
+    years = px.select("k", "year").distinct()
+    assets = ",".join(f'"{b}":{{"href":"x"}}' for b in ("red", "green", "blue", "nir", "swir16", "scl"))
+    feature = F.format_string(f'{{"id":"S%d","bbox":{list(BOX)},"properties":{{"datetime":"%d-05-01T10:00:00Z","eo:cloud_cover":%d,"grid:code":"T1"}},"assets":{{{assets}}}}}', "year", "year", F.col("k") % 5 * 4)
+    number = lambda b: F.when(F.col("scl") == 0, 0).otherwise(F.greatest(F.lit(1), F.round(F.col(b) * 10000))).cast("int")
+    images = px.select(F.format_string("S%d", "year").alias("scene_id"), F.lit(1).alias("level"), "r", "c", number("red").alias("red"), number("green").alias("green"), number("green").alias("blue"), number("nir").alias("nir"), number("swir16").alias("swir16"), "scl")
+    size = (BOX[2] - BOX[0]) / h
+    prints = years.select(F.format_string("S%d", "year").alias("scene_id"), F.lit(1).alias("level"), F.lit(4326).alias("epsg"), F.lit(BOX[0]).alias("x0"), F.lit(BOX[3]).alias("y0"), F.lit(size).alias("dx"), F.lit((BOX[3] - BOX[1]) / h).alias("dy"), F.lit(h).alias("rows"), F.lit(h).alias("cols"))
+    answers = spark.createDataFrame([(PLACE.lower(), "49.95", "10.05", [str(BOX[1]), str(BOX[3]), str(BOX[0]), str(BOX[2])], f"{PLACE}, Testland")], files.GEOCODER)
+    return archives.Archive(years.select(feature.alias("feature"), "year"), prints, images, answers, spark.createDataFrame([], files.BOUNDARY), spark.createDataFrame([], archives.DEM))

@@ -21,14 +21,24 @@ POINT_BOX = 0.08
 # ---- scenes ------------------------------------------------------------------------------------------------------------------------------------
 
 
-def search_scenes(spark: SparkSession, folder: str, start: int, end: int, settings: Settings = SETTINGS) -> DataFrame:
-    """Scenes of the features under `folder`/year=YYYY (one JSON text a line), of the years asked for and below the cloud limit.
+def search_scenes(spark: SparkSession, folder: str, start: int, end: int, settings: Settings = SETTINGS, max_cloud: float | None = None, box: tuple | None = None) -> DataFrame:
+    """`found_scenes` of the features under `folder`/year=YYYY (one JSON text a line).  Years are partitions, so others are never listed."""
+    lines = spark.read.schema("value string, year int").text(folder)
+    return found_scenes(lines.select(F.col("value").alias("feature"), "year"), start, end, settings, max_cloud, box)
 
-    Years are partitions, so others are never listed.  If no scene passes, the relaxed limit is tried.
+
+def found_scenes(features: DataFrame, start: int, end: int, settings: Settings = SETTINGS, max_cloud: float | None = None, box: tuple | None = None) -> DataFrame:
+    """Scenes of (feature, year) of the years asked for, that meet `box` (w, s, e, n; those that state no bounds do) and are below the cloud limit.
+
+    The limit is the settings' if null or 0; if no scene passes, the relaxed one holds.  Of a year's scenes the YEAR_CAP least clouded count.
     """
-    lines = spark.read.schema("value string, year int").text(folder).where(F.col("year").between(start, end))
-    found = with_days(project(lines.select(F.col("value").alias("feature"))))
-    strict = _least_cloud(found.where(F.col("cloud") < settings.max_cloud))
+    found = with_days(project(features.where(F.col("year").between(start, end)).select("feature"))).where(F.col("year").between(start, end))
+    if box:
+        w, s, e, n = (F.lit(float(x)) for x in box)
+        at = lambda i: F.get("bbox", F.lit(i))
+        found = found.where(F.col("bbox").isNull() | ((at(0) <= e) & (at(2) >= w) & (at(1) <= n) & (at(3) >= s)))
+    found = found.drop("bbox")
+    strict = _least_cloud(found.where(F.col("cloud") < (max_cloud or settings.max_cloud)))
     return strict if strict.take(1) else _least_cloud(found.where(F.col("cloud") < settings.relaxed_cloud))
 
 
@@ -112,7 +122,9 @@ def read_pyramid(spark: SparkSession, path: str, level: int) -> DataFrame:
 
 # ---- signature store ---------------------------------------------------------------------------------------------------------------------------
 
-STORE = "key string, seq long, mode string, vector array<double>"
+STORE = "key string, seq long, label string, lon double, lat double, period string, mode string, vector array<double>, headline string, area_ha double"
+#: Versions of the store that stay beside a new one, for readers under way.
+OLD_VERSIONS = 1
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
@@ -130,9 +142,13 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_store(store: DataFrame, path: str) -> None:
-    """Writes the next version beside the present one, so a reader, or a write that fails half-way, never meets half a store."""
-    versions = _versions(store.sparkSession, path)
-    store.select("key", "seq", "mode", "vector").write.mode("overwrite").parquet(f"{path}/v{(versions[-1] if versions else 0) + 1}")
+    """Writes the next version beside the present one, so a reader, or a write that fails half-way, never meets half a store; older versions go."""
+    spark = store.sparkSession
+    versions = _versions(spark, path)
+    store.select(*(f.name for f in T._parse_datatype_string(STORE).fields)).write.mode("overwrite").parquet(f"{path}/v{(versions[-1] if versions else 0) + 1}")
+    for old in versions[: len(versions) - OLD_VERSIONS]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{old}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 # ---- frames ------------------------------------------------------------------------------------------------------------------------------------

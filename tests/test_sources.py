@@ -4,11 +4,8 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from orbitlens.engine import Engine, StageError
 from orbitlens.operators import detect, interpret, raster, signatures, study
-from orbitlens.plans import catalog, pseudo
 from orbitlens.sources import files
-from tests.conftest import SF
 
 SQUARE = [[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]]
 
@@ -20,7 +17,7 @@ def feature(i, year, cloud, assets=("red", "green", "blue", "nir", "swir16", "sc
 def test_search_scenes(spark, tmp_path):
     for year, rows in {2019: [feature(1, 2019, 5.0), feature(2, 2019, 30.0), feature(3, 2019, 1.0, ("red",)), "broken"], 2021: [feature(4, 2021, 19.0)]}.items():
         (tmp_path / f"year={year}").mkdir()
-        (tmp_path / f"year={year}" / "a.json").write_text("\n".join(r for r in rows if r != "broken"))
+        (tmp_path / f"year={year}" / "a.json").write_text("\n".join(rows))
     ids = lambda a, b: sorted(r.id for r in files.search_scenes(spark, str(tmp_path), a, b).collect())
     assert ids(2019, 2021) == ["s1", "s4"]
     assert ids(2021, 2021) == ["s4"]
@@ -74,9 +71,12 @@ def test_store(spark, tmp_path):
     path = str(tmp_path / "store")
     assert files.read_store(spark, path).count() == 0
     for seq in (1, 2):
-        new = spark.createDataFrame([("a", seq, "m", [float(seq)])], files.STORE)
+        new = spark.createDataFrame([("a", seq, "A", 1.0, 2.0, "2016-2022", "m", [float(seq)], "-", 3.0)], files.STORE)
         files.write_store(signatures.upsert(files.read_store(spark, path), new), path)
     assert [(r.key, r.seq) for r in files.read_store(spark, path).collect()] == [("a", 2)]
+    for _ in range(3):
+        files.write_store(files.read_store(spark, path), path)
+    assert len([x for x in (tmp_path / "store").iterdir()]) == files.OLD_VERSIONS + 1
 
 
 def test_frames(spark, tmp_path):
@@ -103,38 +103,39 @@ def test_place(spark, text, want):
     assert got == want
 
 
-def test_heat_colours():
-    colours = raster.heat_colours()
-    assert colours[0].tolist() == [10, 16, 34] and colours[255].tolist() == [240, 52, 72] and len(np.unique(colours, axis=0)) > 100
+def lanczos_by_definition(image, height, width):
+    """Both passes of the filter, one output value at a time."""
+
+    def one_pass(image, size):
+        n, out = image.shape[0], np.empty((size, *image.shape[1:]))
+        scale = n / size
+        wide = max(scale, 1)
+        for i in range(size):
+            at = (i + 0.5) * scale
+            weights = [(j, (lambda t: 1.0 if t == 0 else 0.0 if abs(t) >= 3 else 3 * math.sin(math.pi * t) * math.sin(math.pi * t / 3) / (math.pi * t) ** 2)((j + 0.5 - at) / wide)) for j in range(max(0, int(at - 3 * wide + 0.5)), min(n, int(at + 3 * wide + 0.5)))]
+            out[i] = sum(w * image[j].astype(float) for j, w in weights) / sum(w for _, w in weights)
+        return np.floor(out.clip(0, 255) + 0.5)
+
+    across = one_pass(image.swapaxes(0, 1), width).swapaxes(0, 1) if width != image.shape[1] else image
+    return one_pass(across, height) if height != image.shape[0] else across
+
+
+@pytest.mark.parametrize("size", [(32, 48), (7, 5), (10, 12), (20, 12)])
+def test_lanczos(size):
+    image = np.random.default_rng(2).integers(0, 256, (10, 12, 3)).astype(np.uint8)
+    assert np.abs(raster.lanczos(image, *size).astype(int) - lanczos_by_definition(image, *size)).max() <= 1
+
+
+def test_enlarge():
     assert raster.enlarge(np.zeros((10, 20, 3), np.uint8)).shape == (320, 640, 3)
+    mask = np.eye(5, dtype=np.uint8)[:, :, None]
+    assert (raster.enlarge(mask, 15, False) == np.kron(mask[:, :, 0], np.ones((3, 3), np.uint8))[:, :, None]).all()
+    assert raster.enlarge(mask, 3) is mask
 
 
-def test_engine(spark, tmp_path):
-    engine = Engine(spark, pseudo.pixels(spark, SF), pseudo.frame(spark, SF), store=str(tmp_path / "store"), today=catalog.TODAY)
-    with pytest.raises(StageError):
-        engine.report()
-    events = list(engine.analyze("Show urban expansion in Ringland between 2016 and 2022"))
-    assert [(e["step"], e["status"]) for e in events][-2:] == [("explain", "done"), ("complete", "done")], events[-1]
-    assert events[1]["plan"]["place"] == "Ringland" and events[-1]["stats"][0]["cluster_count"] == 1
-    text = engine.report().first().report
-    assert "Ringland" in text and "| 1 | Urban / built-up expansion" in text
-    assert engine.similar("aoi-1-urban_expansion").count() == 4
-    assert list(engine.analyze("urban growth", start=2016, end=2016))[-1]["status"] == "error"
-
-
-def test_engine_lowers_confidence_by_shift_and_cloud(spark, monkeypatch):
-    pixels, frame = pseudo.pixels(spark, SF), pseudo.frame(spark, SF)
-    question = "Show urban expansion in Ringland between 2016 and 2022"
-    shift = detect.registration(detect.candidates(pixels, "urban_expansion"), "urban_expansion", frame).first().shift_px
-
-    def confidence(pixels, moved):
-        monkeypatch.setattr(detect, "registration", lambda marked, *_: marked.select("aoi").distinct().withColumn("shift_px", F.lit(moved)))
-        engine = Engine(spark, pixels, frame, today=catalog.TODAY)
-        stats = list(engine.analyze(question))[-1]["stats"][0]
-        return stats["confidence"], engine.last["clusters"].first().confidence
-
-    still, offset = confidence(pixels, 0.0), confidence(pixels.withColumn("cloud", F.lit(30.0)), 3.0)
-    assert shift >= 0 and offset[1] == pytest.approx(still[1] - 0.10) and offset[0] < still[0] - 0.05
+def test_frames_are_bounded():
+    with pytest.raises(ValueError):
+        detect.Frame(detect.MAX_SIDE + 1, 10)
 
 
 def test_registration_finds_a_moved_scene(spark):
