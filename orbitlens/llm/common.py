@@ -1,62 +1,13 @@
-"""Shared-folder tables and small helpers for the operators of this subpackage."""
+"""Small helpers for the operators of this subpackage."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-#: Drops the shuffle files of a finished execution, which nothing reads again once its table is written.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="orbitlens-"))
-    return where.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended; the folder's owner cleans it
-        pass
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
+from ..scratch import discard, saved, scratch, scratch_path, shared_dir
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read back: cuts the lineage, survives lost executors.
-
-    The write's shuffle files go when it has ended, not when the driver next collects garbage.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a table of `saved` that nothing reads any more."""
-    _remove(df.sparkSession, df.scratch_path)
+__all__ = ["blocks_of", "discard", "partitions", "remainder", "saved", "scratch", "scratch_path", "shared_dir", "sliced", "table"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -73,7 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sliced(batches, text: str, limit: int = 4 << 20):
+def release() -> None:
+    """Gives a worker's free memory back to the system: its process outlives the task and shares the executor's memory with the next one's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def sliced(batches, text: str, limit: int = 1 << 20):
     """The same rows in record batches of about `limit` bytes of text (one longer text makes its own)."""
     import pyarrow.compute as pc
 
@@ -85,6 +49,7 @@ def sliced(batches, text: str, limit: int = 4 << 20):
             stop = max(int(sizes.searchsorted(before + limit, "right")), at + 1)
             yield batch.slice(at, stop - at)
             at = stop
+        release()
 
 
 def blocks_of(batches, columns: tuple[str, ...], text: str, limit: int):
@@ -108,5 +73,7 @@ def blocks_of(batches, columns: tuple[str, ...], text: str, limit: int):
             if at < rows:
                 yield kept
                 kept, size = [], 0
+                release()
     if kept:
         yield kept
+    release()

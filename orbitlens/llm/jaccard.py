@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import discard, saved, sliced, table
+from .common import discard, saved, scratch, sliced, table
 from .components import components
 
 #: Most columns that are sent to all tasks as frequent ones (16 bytes each).
 FREQUENT = 1 << 17
 #: Columns that a task counts at a time; beyond it those met once so far are forgotten, which touches their order only.
-COUNTED = 1 << 19
+COUNTED = 1 << 18
 #: Bits of the table that preselects texts for the product (by hash: a false hit costs time only).
 FILTER = 1 << 20
 #: Pairs to a block of the product.
@@ -237,8 +237,12 @@ def _inside_rows(batches, num: int, den: int):
 
 
 def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, node, key, component) for each row: key is the text's hash, node its set's, component its component's (null without shingles)."""
-    spark = docs.sparkSession
+    """(doc_id, n_shingles, node, key, component) for each row, written: key is the text's hash, node its set's, component its component's (null without shingles)."""
+    with scratch() as own:
+        return own.keep(saved(_label(docs, n, num, den), "labelled"))
+
+
+def _label(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     num, den = int(num), int(den)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     first = saved(texts.select("doc_id", "key", "text").mapInArrow(functools.partial(_set_rows, n=n), _SETS), "sets")
@@ -280,15 +284,15 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         nodes = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-nodes")
         used = nodes.join(cells.select("node", "key").distinct(), "node").select(F.pmod("key", F.lit(FILTER)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
         if not len(used):
-            return pairs.select("a", "b")
+            return pairs
         bits = np.zeros(FILTER, bool)
         bits[used] = True
         matrix = texts.select("key", "text").mapInArrow(functools.partial(_matrix_rows, n=n, bits=bits), _ROWS).join(nodes, "node", "left_semi")
         matrix = saved(matrix.dropDuplicates(["node"]), "matrix")
         rows = pairs.join(matrix.withColumnsRenamed({"node": "b", "row": "row_b"}), "b").join(matrix.withColumnsRenamed({"node": "a", "row": "row_a"}), "a")
         links = saved(rows.select("a", "b", "row_a", "row_b").mapInArrow(functools.partial(_link_rows, num=num, den=den), "a long, b long, overlap long"), "links")
-        discard(matrix)
-        return links.select("a", "b")
+        discard(matrix, pairs, nodes)
+        return links
 
     def pivots_of(columns: DataFrame) -> DataFrame:
         """The cells of each column's least rank."""
@@ -310,11 +314,15 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             links = links.join(names.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left").withColumn(end, F.coalesce(f"of_{end}", end)).drop(f"of_{end}")
         joined = components(links.select("a", "b"))
         old = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
-        return saved(old.unionByName(joined.join(found, "node", "left_anti").select("node", "component")).distinct(), "components")
+        out = saved(old.unionByName(joined.join(found, "node", "left_anti").select("node", "component")).distinct(), "components")
+        discard(joined)
+        return out
 
     same = F.col("x.shingle") == F.col("y.shingle")
     pairs = pivots_of(cells).alias("x").join(cells.alias("y"), same & (F.col("x.node") != F.col("y.node")) & bound("x", "y"))
-    found = components(multiplied(pairs.select(*ends("x", "y")).distinct()))
+    links = multiplied(pairs.select(*ends("x", "y")).distinct())
+    found = components(links.select("a", "b"))
+    discard(links)
     for last in (False, True):
         mixed = mixed_columns(found)
         if not last:
@@ -329,7 +337,11 @@ def _labelled(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             outside = mixed.join(home, "shingle").where("component <> home").alias("x")
             apart = same & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("x.home")) | (F.col("x.node") < F.col("y.node"))) & bound("x", "y")
             pairs = outside.join(mixed.alias("y"), apart)
-        found = widened(found, multiplied(pairs.select(*ends("x", "y")).distinct()))
+        links = multiplied(pairs.select(*ends("x", "y")).distinct())
+        found, before = widened(found, links.select("a", "b")), found
+        discard(links, mixed)
+        if found is not before:
+            discard(before)
 
     return sets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
@@ -345,21 +357,26 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
 
 def _named(labelled: DataFrame) -> DataFrame:
     """The rows of `_labelled` with component_id."""
-    least = labelled.where("node is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # written, so that Spark can split a large component's rows over tasks in the join
+    least = saved(labelled.where("node is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     out = labelled.join(least, "component", "left")
     return out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
 
 
 def _inside(labelled: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(a, b, overlap) of all linked classes a < b: every component's classes in blocks, every block times itself and the others."""
-    spark = docs.sparkSession
+    """(a, b, overlap) of all linked classes a < b, written: every component's classes in blocks, every block times itself and the others."""
+    with scratch() as own:
+        return own.keep(saved(_inside_links(labelled, docs, n, num, den), "inside"))
+
+
+def _inside_links(labelled: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     classes = labelled.where("node is not null").groupBy("component", "node").agg(F.min("key").alias("key"), F.first("n_shingles").alias("cells"))
     parts = F.greatest(F.ceil(F.count("*") / LINK_BLOCK), F.ceil(F.sum("cells") / LINK_CELLS)).cast("long")
     several = classes.groupBy("component").agg(parts.alias("parts"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
     classes = saved(classes.join(several, "component").drop("cells"), "classes")
     used = classes.select(F.pmod("key", F.lit(FILTER)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
     if not len(used):
-        return spark.createDataFrame([], "a long, b long, overlap long")
+        return docs.sparkSession.createDataFrame([], "a long, b long, overlap long")
     bits = np.zeros(FILTER, bool)
     bits[used] = True
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("key"), "text")
@@ -368,7 +385,7 @@ def _inside(labelled: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
     matrix = matrix.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     blocks = matrix.select("component", F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), "part", "node", "row")
     blocks = blocks.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
-    return saved(blocks.mapInArrow(functools.partial(_inside_rows, num=int(num), den=int(den)), "a long, b long, overlap long"), "inside")
+    return blocks.mapInArrow(functools.partial(_inside_rows, num=int(num), den=int(den)), "a long, b long, overlap long")
 
 
 def jaccard_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -376,13 +393,13 @@ def jaccard_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) ->
 
     A node is a class of rows with equal sets (null without shingles, which links with nothing); overlap is the number of common shingles.
     """
-    labelled = saved(_labelled(docs, n, num, den), "labelled")
+    labelled = _labelled(docs, n, num, den)
     return labelled.select("doc_id", "n_shingles", "node"), _inside(labelled, docs, n, num, den)
 
 
 def link_counts(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row of `docs`: as `ngram_jaccard_join`, with the number of other rows that it links with."""
-    labelled = saved(_labelled(docs, n, num, den), "labelled")
+    labelled = _labelled(docs, n, num, den)
     size = labelled.where("node is not null").groupBy("node").agg(F.count("*").alias("size"))
     links = _inside(labelled, docs, n, num, den)
     both = links.select(F.col("a").alias("end"), F.col("b").alias("node")).unionByName(links.select(F.col("b").alias("end"), F.col("a").alias("node")))
@@ -398,7 +415,7 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     Of rows with equal doc_id and text one stays, those without shingles included.
     """
     key, own = "__text_key", "__doc_key"
-    labelled = saved(_labelled(docs, n, num, den).select("component", F.coalesce("doc_id", F.lit(2**63 - 1)).alias(own), F.col("key").alias(key)), "labelled")
+    labelled = _labelled(docs, n, num, den).select("component", F.coalesce("doc_id", F.lit(2**63 - 1)).alias(own), F.col("key").alias(key))
     chosen = labelled.where("component is not null").groupBy("component").agg(F.min(F.struct(own, key)).alias("x")).select(f"x.{own}", f"x.{key}")
     chosen = chosen.unionByName(labelled.where("component is null").select(own, key)).distinct()
     rows = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn(key, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
