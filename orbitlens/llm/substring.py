@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import blocks_of, saved, table
+from .common import blocks_of, discard, saved, scratch, table
 
 WINDOW = 50
 #: Bytes of text to a block.
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 #: Stands for a null doc_id: never smaller than another.
 NO_ID = 2**63 - 1
 
@@ -157,10 +157,12 @@ def _paths(edges: DataFrame) -> DataFrame:
     state = saved(edges.select(F.col("b").alias("node"), F.col("a").alias("head"), F.col("gap").cast("long").alias("words_before")), "paths")
     while True:
         other = state.select(F.col("node").alias("head"), F.col("head").alias("farther"), F.col("words_before").alias("more"))
-        state = saved(state.join(other, "head", "left").select("node", F.coalesce("farther", "head").alias("head"), (F.col("words_before") + F.coalesce("more", F.lit(0))).alias("words_before"), F.col("farther").isNotNull().alias("moved")), "paths")
+        words = (F.col("words_before") + F.coalesce("more", F.lit(0))).alias("words_before")
+        jumped = saved(state.join(other, "head", "left").select("node", F.coalesce("farther", "head").alias("head"), words, F.col("farther").isNotNull().alias("moved")), "paths")
+        discard(state)
+        state = jumped
         if state.where("moved").limit(1).count() == 0:
             return state.drop("moved")
-        state = state.drop("moved")
 
 
 def _with_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -174,12 +176,21 @@ def _with_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _dedup(docs: DataFrame, window: int, finish, schema: str) -> DataFrame:
+    with scratch() as own:
+        texts, spans = _spans(docs, window, own)
+        spans = own.keep(saved(spans, "substring-spans"))
+    return _with_texts(texts, spans).groupBy("block").applyInArrow(finish, schema)
+
+
+def _spans(docs: DataFrame, window: int, own) -> tuple[DataFrame, DataFrame]:
+    """The packed texts, and (block, row, start, words) of the spans whose words go; what the spans are made from goes with the scope `own`."""
     k = kmer_size(window)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = saved(rows.mapInArrow(functools.partial(_pack, window=window), _PACKED), "substring-packed")
+    packed = own.keep(saved(rows.mapInArrow(functools.partial(_pack, window=window), _PACKED), "substring-packed"))
     texts = packed.where("texts is not null").select("block", "texts", "sizes", "ids", "known")
     anchors = packed.where("anchor is not null").select("block", "row", "doc_id", "nth", "pos", "anchor")
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").drop("most")
+    # aggregates are written before they are joined, so that Spark can split a hot key's rows over tasks
+    shared = saved(anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").drop("most"), "substring-shared")
     nodes = saved(anchors.join(shared, "anchor"), "substring-nodes")
     along = Window.partitionBy("block", "row").orderBy("nth")
     step = nodes.select("anchor", "n", "nth", "pos", *(F.lead(c).over(along).alias(f"next_{c}") for c in ("anchor", "n", "nth", "pos"))).where("next_nth = nth + 1")
@@ -192,10 +203,10 @@ def _dedup(docs: DataFrame, window: int, finish, schema: str) -> DataFrame:
     placed = saved(placed, "substring-placed")
     windows = _with_texts(texts, placed.select("block", "row", "pos", "path_start", "path_words")).groupBy("block")
     windows = saved(windows.applyInArrow(_open_windows(window), "block long, row int, start int, hash long, doc_id long"), "substring-windows")
-    least = windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").drop("most")
+    least = saved(windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").drop("most"), "substring-least")
     spans = windows.join(least, "hash").where("least < doc_id").select("block", "row", F.col("start").cast("long").alias("start"), F.lit(window).cast("long").alias("words"))
     whole = placed.where((F.col("path_start") == F.col("pos")) & (F.col("path_words") >= window) & (F.col("least") < F.col("doc_id"))).select("block", "row", F.col("path_start").cast("long").alias("start"), F.col("path_words").cast("long").alias("words"))
-    return _with_texts(texts, spans.unionByName(whole)).groupBy("block").applyInArrow(finish, schema)
+    return texts, spans.unionByName(whole)
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
