@@ -1,8 +1,9 @@
 """WARC archives as a PySpark data source, reader and writer.
 
-Files hold one gzip member a record, with the member's compressed length in the gzip header's extra field `sl`, so a reader goes from record to record without inflating
-what it skips.  Partitions are planned from the files that a finished write has listed.  Filters on record_type and the header columns are pushed down: the headers alone
-are inflated and parsed first, and only a record that passes has its payload decoded, if payloads are asked for at all.
+Files written here hold one gzip member a record, with the member's compressed length in the gzip header's extra field `sl`, so a reader goes from record to record without
+inflating what it skips.  Partitions are planned from the files that a finished write has listed; a folder without such a list is one of other makers' archives, and each of its
+.warc and .warc.gz files is a partition, read record by record whether it is plain, one member a record or one for all.  Filters on record_type and the header columns are pushed down:
+the headers are parsed first, and only a record that passes has its payload decoded, if payloads are asked for at all.
 
 Paths are Hadoop-style URIs that pyarrow opens (file, hdfs, s3, gs).
 """
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from .common import scratch_path, table
+from .common import saved, scratch, scratch_path, table
 
 #: Bytes after which a writer opens its next file.
 FILE_BYTES = 256 << 20
@@ -139,9 +140,68 @@ def read_records(stream, wanted, payloads: bool, chunk: int = 1 << 12):
             yield row
 
 
+class _Bytes:
+    """The bytes of an open file that is plain or gzip of any number of members."""
+
+    def __init__(self, stream, zipped: bool):
+        self.stream, self.inflate, self.held = stream, zlib.decompressobj(31) if zipped else None, b""
+
+    def _more(self) -> bool:
+        raw = self.stream.read(1 << 16)
+        if not raw:
+            return False
+        while raw and self.inflate is not None:
+            self.held += self.inflate.decompress(raw)
+            raw = self.inflate.unused_data
+            if self.inflate.eof:
+                self.inflate = zlib.decompressobj(31)
+        self.held += raw
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What comes before the mark, which is passed; None at the end of the file."""
+        while (at := self.held.find(mark)) < 0:
+            if not self._more():
+                return None
+        out, self.held = self.held[:at], self.held[at + len(mark) :]
+        return out
+
+    def take(self, size: int, keep: bool) -> bytes:
+        parts = []
+        while size > 0 and (self.held or self._more()):
+            piece, self.held = self.held[:size], self.held[size:]
+            size -= len(piece)
+            if keep:
+                parts.append(piece)
+        return b"".join(parts)
+
+
+def read_foreign(stream, zipped: bool, wanted, payloads: bool):
+    """As `read_records`, of a file without skip lengths: records are told apart by their Content-Length."""
+    source = _Bytes(stream, zipped)
+    while (top := source.until(b"\r\n\r\n")) is not None:
+        if not (top := top.lstrip(b"\r\n")):  # the end of the record before
+            continue
+        headers = parse_headers(top)
+        length = int(headers.get("content-length", 0))
+        row = _row(headers)
+        keep = wanted(row)
+        is_http = headers.get("content-type", "").startswith("application/http")
+        data = source.take(length, keep and (payloads or is_http))
+        if not keep:
+            continue
+        row["payload_bytes"], body = length, data
+        if is_http:
+            http, _, body = data.partition(b"\r\n\r\n")
+            revisit = row["record_type"] == "revisit"
+            row["payload_bytes"] = int(parse_headers(http).get("content-length", 0)) if revisit else len(body)
+        row["payload"] = body if payloads and row["record_type"] != "revisit" else None
+        yield row
+
+
 class WarcPartition(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, own: bool):
+        self.path, self.own = path, own
 
 
 class WarcReader(DataSourceReader):
@@ -149,32 +209,43 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payloads = options.get("payloads", "true").lower() == "true"
         self.tests: dict[str, set] = {}
+        self.present: set[str] = set()
 
     def pushFilters(self, filters):
+        """Equality, membership and presence of the header columns hold here; every other filter is left to Spark."""
         for f in filters:
             if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in _HEADERS:
                 values = set(f.value) if isinstance(f, In) else {f.value}
                 name = f.attribute[0]
                 self.tests[name] = self.tests[name] & values if name in self.tests else values
-            elif not (isinstance(f, IsNotNull) and f.attribute == ("record_type",)):
+            elif isinstance(f, IsNotNull) and len(f.attribute) == 1 and f.attribute[0] in _HEADERS:
+                self.present.add(f.attribute[0])
+            else:
                 yield f
 
     def partitions(self):
+        from pyarrow import fs
+
         files, base = _file_system(self.path)
-        with files.open_input_stream(f"{base}/{MANIFEST}") as f:
-            return [WarcPartition(x) for x in json.loads(f.read())] or [WarcPartition("")]
+        if files.get_file_info(f"{base}/{MANIFEST}").type == fs.FileType.File:
+            with files.open_input_stream(f"{base}/{MANIFEST}") as f:
+                return [WarcPartition(f"{base}/{x}", True) for x in json.loads(f.read())] or [WarcPartition("", True)]
+        found = files.get_file_info(fs.FileSelector(base, recursive=True))
+        names = sorted(x.path for x in found if x.type == fs.FileType.File and x.path.endswith((".warc", ".warc.gz")))
+        return [WarcPartition(x, False) for x in names] or [WarcPartition("", False)]
 
     def wanted(self, row: dict) -> bool:
-        return all(row[c] in values for c, values in self.tests.items())
+        return all(row[c] is not None for c in self.present) and all(row[c] in values for c, values in self.tests.items())
 
     def read(self, partition):
         if not partition.path:
             return
-        files, base = _file_system(self.path)
+        files, _ = _file_system(self.path)
         fields = SCHEMA.replace(",", "").split()[::2]
         rows, size = [], 0
-        with files.open_input_file(f"{base}/{partition.path}") as stream:
-            for row in read_records(stream, self.wanted, self.payloads):
+        with files.open_input_file(partition.path) as stream:
+            records = read_records(stream, self.wanted, self.payloads) if partition.own else read_foreign(stream, partition.path.endswith(".gz"), self.wanted, self.payloads)
+            for row in records:
                 rows.append(row)
                 size += len(row["payload"] or b"") + 200
                 if size > 8 << 20:
@@ -262,11 +333,15 @@ def page_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     Rows that share the largest page_id are all responses; a null page_id is smaller than any other and, if all are null, all are responses.  An empty table gives no records.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
-    copies = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    key = F.when(F.col("payload_bytes") >= least, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.col("payload_digest"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
-    joined = rows.withColumn("key", key).join(copies.select(F.col("payload_digest").alias("key"), "first"), "key", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    rows = rows.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload")).withColumn("own", F.coalesce("page_id", F.lit(-(2**63))))
+    # Only digests and ids are grouped: who revisits whom is settled before a payload moves, and then by page, so that no digest's copies meet in one task.
+    with scratch() as scope:
+        digests = saved(rows.where(F.col("payload_bytes") >= least).select("own", "page_id", "payload_digest"), "digests")
+        copies = saved(digests.groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
+        later = digests.join(copies, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("own", "payload_digest", "first").distinct()
+        later = scope.keep(saved(later, "revisits"))
+    joined = rows.join(later, ["own", "payload_digest"], "left")
+    revisit = F.col("first").isNotNull()
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")))
     return joined.select(
         urn("page_id").alias("record_id"),
@@ -289,6 +364,11 @@ def write_archive(pages: DataFrame, path: str | None = None) -> str:
 
 
 def read_archive(spark, path: str, payloads: bool = True) -> DataFrame:
+    """The records (SCHEMA) of an archive's folder, this module's own or another maker's; without `payloads` no payload is decoded.
+
+    An empty folder has no records; one that does not exist raises FileNotFoundError.  A record without a header has null in its column.  Of another
+    maker's response payload_bytes counts what the record holds, of a revisit what its HTTP header states (0 without).
+    """
     register(spark)
     return spark.read.format("warc").option("payloads", str(payloads).lower()).load(path)
 
