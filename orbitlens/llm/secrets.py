@@ -46,6 +46,8 @@ MARK = "[REDACTED]"
 _KEY, _RULES = "__text_key", "__text_rules"
 #: Strings that a run of literals may stand for before it is cut.
 _MOST = 64
+#: Items of an array that are folded at a time; characters of a piece of text that stretches are cut from.
+FOLD, PIECE = 256, 4096
 
 
 def _strings(node) -> set[str] | None:
@@ -109,6 +111,32 @@ def trigram_query(pattern: str, any_case: bool = False) -> list[list[frozenset[s
     return clauses
 
 
+def _folded(items: Column, kind: str, emit) -> Column:
+    """Structs (at, out) of a fold over an array, FOLD items each: `emit` takes the state `at` and an item and gives the next state and an array of results, of type `kind`.
+
+    Results are gathered by the chunk, so an array of n items is copied about n * FOLD / 2 times in all, not n * n / 2.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def step(acc, x):
+        at, out = emit(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], out).alias("out"))
+
+    def chunk(done, i):
+        start = F.struct(F.when(F.size(done) > 0, F.get(done, F.size(done) - 1)["at"]).otherwise(0).alias("at"), none.alias("out"))
+        return F.concat(done, F.array(F.aggregate(F.slice(items, i * FOLD + 1, FOLD), start, step)))
+
+    chunks = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / FOLD).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(chunks, F.array().cast(f"array<struct<at:int,out:array<{kind}>>>"), chunk)
+
+
+def _results(folded: Column) -> Column:
+    return F.flatten(F.transform(folded, lambda x: x["out"]))
+
+
+_SPAN = "struct<start:int,kind:int,end:int>"
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, order, end) of a rule's spans: what `split` leaves between the matches gives their places."""
     pattern = F.lit(("(?i)" if rule.any_case else "") + rule.pattern)
@@ -119,17 +147,15 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         F.transform(found, lambda x: F.length(x)).alias("size"),
         F.transform(tested, lambda x: F.length(x)).alias("tested"),
     )
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    none = F.array().cast(f"array<{_SPAN}>")
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
+    def emit(at, x):
+        start = at + x["gap"]
         end = start + F.coalesce(x["size"], F.lit(0))
         span = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end")))
-        kept = x["size"].isNotNull() & (x["tested"] >= rule.least)
-        return F.struct(end.alias("at"), F.when(kept, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return end, F.when(x["size"].isNotNull() & (x["tested"] >= rule.least), span).otherwise(none)
 
-    return F.when(F.size(found) > 0, F.aggregate(sizes, zero, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(F.size(found) > 0, _results(_folded(sizes, _SPAN, emit))).otherwise(none)
 
 
 def candidates(texts: DataFrame, rules) -> DataFrame:
@@ -166,7 +192,7 @@ def _found(texts: DataFrame, rules) -> DataFrame:
     """The rows of `texts` (text is not null) with the column `found`."""
     hits = saved(candidates(texts.select(F.xxhash64("text").alias("key"), "text"), rules).select(F.col("key").alias(_KEY), F.col("rules").alias(_RULES)), "secret-candidates")
     rows = texts.withColumn(_KEY, F.xxhash64("text")).join(hits, _KEY, "left")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast(f"array<{_SPAN}>")
     parts = []
     for i, rule in enumerate(rules):
         spans = _spans(F.col("text"), rule, i)
@@ -176,6 +202,28 @@ def _found(texts: DataFrame, rules) -> DataFrame:
     return rows.withColumn("found", F.array_sort(F.concat(*parts))).drop(_KEY, _RULES)
 
 
+def _without(text: Column, found: Column, mark: str) -> Column:
+    """The text with `mark` in place of the spans (by start; overlapping ones by one): the stretches between them, cut from pieces of the text and joined once."""
+    gap = "struct<a:int,b:int>"
+    none = F.array().cast(f"array<{gap}>")
+
+    def emit(at, x):
+        return F.greatest(at, x["end"]), F.when(x["start"] >= at, F.array(F.struct(at.alias("a"), x["start"].alias("b")))).otherwise(none)
+
+    folded, size = _folded(found, gap, emit), F.length(text)
+    last = F.struct(F.get(folded, F.size(folded) - 1)["at"].alias("a"), size.alias("b"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(size / PIECE).cast("int")), lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE)))
+    parts = F.struct(F.concat(_results(folded), F.array(last)).alias("gaps"), pieces.alias("pieces"))
+
+    def stretch(p, g):
+        i, j = F.floor(g["a"] / PIECE).cast("int"), F.floor(g["b"] / PIECE).cast("int")
+        head = F.substring(F.get(p, i), g["a"] % PIECE + 1, F.least(g["b"] - g["a"], F.lit(PIECE)))
+        between = F.when(j > i + 1, F.array_join(F.slice(p, i + 2, F.greatest(j - i - 1, F.lit(0))), "")).otherwise("")
+        return F.when(i == j, head).otherwise(F.concat(head, between, F.substring(F.get(p, j), F.lit(1), g["b"] % PIECE)))
+
+    return F.get(F.transform(F.array(parts), lambda x: F.array_join(F.transform(x["gaps"], lambda g: stretch(x["pieces"], g)), mark)), F.lit(0))
+
+
 def redact_secrets(docs: DataFrame, base=BASE_RULES, more=MORE_RULES, mark: str = MARK) -> DataFrame:
     """The rows of `docs`, all columns as they are, but with each secret of the text replaced by `mark` (overlapping ones by one) and, where there is such a column, n_chars of a changed text anew.
 
@@ -185,14 +233,8 @@ def redact_secrets(docs: DataFrame, base=BASE_RULES, more=MORE_RULES, mark: str
     own = "__own_found"
     rows = docs.withColumnRenamed("found", own).withColumn("__null", F.col("text").isNull()).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = _found(rows, (*base, *more))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
-
-    def step(acc, x):
-        before = F.when(x["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], before).alias("out"))
-
-    clean = F.aggregate("found", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = _without(text, F.col("found"), mark)
     new = F.when(F.size("found") > 0, clean).otherwise(text)
     out = []
     for c in columns:
