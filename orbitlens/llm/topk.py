@@ -44,36 +44,39 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
-def best_of(queries: tuple[np.ndarray, np.ndarray], batches, k: int, levels=LEVELS):
-    """k best (query index, id, score) of the candidates in `batches` (ids, vectors) for each query, ties to the smaller id."""
-    qid, q = queries
-    n = len(qid)
-    ids, scores = np.zeros((n, 0), np.int64), np.zeros((n, 0))
-    floor = np.full(n, -np.inf)
-    q_stats = [_segments(q, s) for s in levels]
-    for cid, x in batches:
+class Best:
+    """The k best candidates (id, score) of each query of a block, ties to the smaller id, of all that are given to `add`."""
+
+    def __init__(self, qid: np.ndarray, q: np.ndarray, k: int, levels=LEVELS):
+        self.qid, self.q, self.k, self.levels = qid, q, k, levels
+        self.ids, self.scores = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0))
+        self.floor = np.full(len(qid), -np.inf)
+        self.stats = [_segments(q, s) for s in levels]
+
+    def add(self, cid: np.ndarray, x: np.ndarray) -> None:
+        qid, q, k, n = self.qid, self.q, self.k, len(self.qid)
         small = max(np.abs(q).max(initial=0), 1) * max(np.abs(x).max(initial=0), 1) * q.shape[1] < _EXACT
         alive = np.ones((n, len(cid)), bool) if small else None
-        if small and np.isfinite(floor).any():
-            for stats, s in zip(q_stats, levels, strict=True):
+        if small and np.isfinite(self.floor).any():
+            for stats, s in zip(self.stats, self.levels, strict=True):
                 rows, cols = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
                 if not len(rows) or not len(cols):
                     break
                 bound = stats[rows] @ _segments(x[cols], s).T
                 slack = 1e-6 + 1e-9 * np.abs(bound)
-                alive[np.ix_(rows, cols)] &= bound + slack >= floor[rows, None]
+                alive[np.ix_(rows, cols)] &= bound + slack >= self.floor[rows, None]
             rows, cols = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
         else:
             rows, cols = np.arange(n), np.arange(len(cid))
         if not len(rows) or not len(cols):
-            continue
+            return
         got = _products(q[rows], x[cols])
         usable = qid[rows, None] != cid[cols][None]
         if alive is not None:
             usable &= alive[np.ix_(rows, cols)]
-        kind = object if got.dtype == object or scores.dtype == object else float
-        all_ids = np.concatenate((ids[rows], np.broadcast_to(cid[cols], got.shape)), axis=1)
-        all_scores = np.concatenate((scores[rows].astype(kind), np.where(usable, got, np.nan).astype(kind)), axis=1)
+        kind = object if got.dtype == object or self.scores.dtype == object else float
+        all_ids = np.concatenate((self.ids[rows], np.broadcast_to(cid[cols], got.shape)), axis=1)
+        all_scores = np.concatenate((self.scores[rows].astype(kind), np.where(usable, got, np.nan).astype(kind)), axis=1)
         value = -all_scores.astype(float)
         if kind is object:
             order = np.array([sorted(range(len(r)), key=lambda j, r=r, i=i: (r[j] != r[j], -r[j] if r[j] == r[j] else 0, i[j])) for r, i in zip(all_scores, all_ids, strict=True)]).reshape(all_ids.shape)
@@ -88,19 +91,22 @@ def best_of(queries: tuple[np.ndarray, np.ndarray], batches, k: int, levels=LEVE
             order = np.lexsort((all_ids, value), axis=1)
         order = order[:, :k]
         new_ids, new_scores = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_scores, order, 1)
-        width = max(ids.shape[1], new_ids.shape[1])
-        if ids.shape[1] < width:
-            pad = ((0, 0), (0, width - ids.shape[1]))
-            ids, scores = np.pad(ids, pad), np.pad(scores.astype(kind), pad, constant_values=np.nan)
-        scores = scores.astype(kind)
-        ids[rows, : new_ids.shape[1]], scores[rows, : new_ids.shape[1]] = new_ids, new_scores
+        width = max(self.ids.shape[1], new_ids.shape[1])
+        if self.ids.shape[1] < width:
+            pad = ((0, 0), (0, width - self.ids.shape[1]))
+            self.ids, self.scores = np.pad(self.ids, pad), np.pad(self.scores.astype(kind), pad, constant_values=np.nan)
+        self.scores = self.scores.astype(kind)
+        self.ids[rows, : new_ids.shape[1]], self.scores[rows, : new_ids.shape[1]] = new_ids, new_scores
         if width >= k:
-            last = scores[:, k - 1].astype(float)
-            floor = np.where(np.isnan(last), -np.inf, last)
-    for i in range(n):
-        for v, s in zip(ids[i], scores[i], strict=True):
-            if s == s:
-                yield i, int(v), int(s)
+            last = self.scores[:, k - 1].astype(float)
+            self.floor = np.where(np.isnan(last), -np.inf, last)
+
+    def rows(self):
+        """(query index, id, score) of what was found."""
+        for i in range(len(self.qid)):
+            for v, s in zip(self.ids[i], self.scores[i], strict=True):
+                if s == s:
+                    yield i, int(v), int(s)
 
 
 def _vectors(batch: pa.RecordBatch):
@@ -116,14 +122,17 @@ def _vectors(batch: pa.RecordBatch):
 
 def _search(batches, blocks: dict, k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    kept: dict[int, list] = {}
+    best: dict[int, Best] = {}
     for batch in batches:
         for size, ids, x in _vectors(batch):
             if size in blocks:
-                kept.setdefault(size, []).append((ids, x))
-    for size, parts in kept.items():
-        pieces = ((i[a : a + ROWS], x[a : a + ROWS]) for i, x in parts for a in range(0, len(i), ROWS))
-        found = list(best_of(blocks[size], pieces, k))
+                if size not in best:
+                    best[size] = Best(*blocks[size], k)
+                own = best[size]
+                for at in range(0, len(ids), ROWS):
+                    own.add(ids[at : at + ROWS], x[at : at + ROWS])
+    for size, own in best.items():
+        found = list(own.rows())
         qid = blocks[size][0]
         columns = [qid[[f[0] for f in found]] if found else [], [f[1] for f in found], [f[2] for f in found]]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
@@ -142,12 +151,12 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id"
 
     Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id; vectors meet those of their own length.
     Every other row is a candidate: repeated rows, with equal vec_ids and vectors, each take a rank of their own.
-    Rows with a query's id count as the query's own.  Equal queries ids are answered once.  Products beyond a long are held to its range.  No queries or an empty table give no rows.
+    Rows with a query's id count as the query's own.  Equal query ids are answered once, for the least of their vectors.  Products beyond a long are held to its range.  No queries or an empty table give no rows.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, embedding).mapInArrow(_scaled, "vec_id long, x array<double>")
     rows = saved(rows, "vectors")
-    queries = saved(rows.where(is_query).dropDuplicates(["vec_id"]).repartitionByRange(F.col("vec_id")).sortWithinPartitions("vec_id"), "queries")
+    queries = saved(rows.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x")).repartitionByRange(F.col("vec_id")).sortWithinPartitions("vec_id"), "queries")
     out = None
     for block in _query_blocks(queries):
         part = rows.mapInArrow(functools.partial(_search, blocks=block, k=k), "query_id long, vec_id long, score long")
