@@ -211,11 +211,19 @@ def test_topk(spark):
     x[50:90] = x[7]
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [None] * 20), (902, [math.nan] * 20), (903, [1.0, 2.0]), (None, [0.0] * 20), (950, []), (955, [1e30] * 20)]
     got = sorted(tuple(r) for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 10 = 0").collect())
-    ints = {i: [math.floor(256 * v) for v in r] for i, r in rows[:300]}
+    ints = {i: [int(np.floor(256 * v)) for v in r] for i, r in [*rows[:300], rows[-1]]}
+    held = lambda v: max(-(2**63), min(2**63 - 1, v))
+    want = []
     for q in range(0, 300, 10):
-        scores = sorted(((-sum(a * b for a, b in zip(ints[q], ints[c], strict=True)), c) for c in ints if c != q))[:5]
-        mine = [(c, s) for i, _, c, s in got if i == q and c != 955]
-        assert mine == [(c, -s) for s, c in scores][: len(mine)] and len(mine) >= 4
+        scores = sorted((-held(sum(a * b for a, b in zip(ints[q], ints[c], strict=True))), c) for c in ints if c != q)[:5]
+        want += [(q, n, c, -s) for n, (s, c) in enumerate(scores, 1)]
+    assert [x for x in got if x[0] < 300] == want
+
+
+def test_topk_of_queries_that_share_an_id(spark):
+    rows = [(0, [2.0, 0.0]), (0, [1.0, 5.0]), (1, [1.0, 1.0]), (2, [3.0, 0.0])]
+    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id = 0").collect()
+    assert [(r.vec_id, r.score) for r in sorted(got)] == [(1, 6 * 256 * 256), (2, 3 * 256 * 256)]
 
 
 @pytest.mark.parametrize("tasks", [1, 4])
@@ -294,15 +302,76 @@ def test_warc_round_trip(spark):
     assert only.count() == 5 and all(r.payload is None for r in only.collect())
 
 
-def test_urls():
-    rules = {}
-    for h, p, v in urls.RULES:
-        rules.setdefault(h, []).append((p, v))
-    assert urls.split_url("HTTP://A.Org?x#y") == ("a.org", "") and urls.split_url(None) == ("", "") and urls.split_url("x") == ("", "")
-    assert urls.rule_of("a.example.org", "/es/x", rules) == ("example.org/es/", "block")
-    assert urls.rule_of("org", "/", rules) == ("org/", "allow") and urls.rule_of("xorg", "/", rules) == (None, None)
-    machine = urls._automaton(urls.STRICT, urls.SOFT)
-    assert urls.term_counts("http://x/casino-bet", machine) == (1, 1) and urls.term_counts("http://x/betting/alphabet", machine) == (0, 1)
+def foreign(path, zipped):
+    """A hand-made archive without skip lengths: a plain file, one member a record, or one member for all."""
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    heads = [("warcinfo", "a", "application/warc-fields", b"software: x\r\n"), ("response", "b", "application/http; msgtype=response", http + b"<html>one\r\n\r\ntwo"), (None, "c", "text/plain", b"no type"), ("revisit", "d", "application/http", b"HTTP/1.1 200 OK\r\nContent-Length: 77\r\n\r\n"), ("response", "e", "application/http", http + b"y" * 200_000)]
+    records = []
+    for kind, i, content, body in heads:
+        top = [b"WARC/1.0", *([f"WARC-Type: {kind}".encode()] if kind else []), f"WARC-Record-ID: <urn:{i}>".encode(), f"Content-Type: {content}".encode(), f"Content-Length: {len(body)}".encode()]
+        records.append(b"\r\n".join(top) + b"\r\n\r\n" + body + b"\r\n\r\n")
+    data = {"plain": b"".join(records), "records": b"".join(map(gzip.compress, records)), "whole": gzip.compress(b"".join(records))}[zipped]
+    (path / ("x.warc" if zipped == "plain" else "x.warc.gz")).write_bytes(data)
+
+
+@pytest.mark.parametrize("zipped", ["plain", "records", "whole"])
+def test_warc_of_other_makers(spark, tmp_path, zipped):
+    foreign(tmp_path, zipped)
+    (tmp_path / "notes.txt").write_text("no archive")
+    got = {r.record_id: r for r in warc.read_archive(spark, str(tmp_path)).collect()}
+    assert set(got) == {f"urn:{i}" for i in "abcde"}
+    assert bytes(got["urn:b"].payload) == b"<html>one\r\n\r\ntwo" and got["urn:b"].payload_bytes == 16 and got["urn:c"].record_type is None
+    assert (got["urn:d"].payload, got["urn:d"].payload_bytes) == (None, 77) and bytes(got["urn:e"].payload) == b"y" * 200_000
+    typed = warc.read_archive(spark, str(tmp_path), payloads=False).where("record_type IS NOT NULL")
+    assert sorted(r.record_id[-1] for r in typed.collect()) == ["a", "b", "d", "e"] and all(r.payload is None for r in typed.collect())
+    assert warc.read_archive(spark, str(tmp_path)).where("record_type = 'response' AND record_id <> 'urn:b'").count() == 1
+
+
+def test_warc_folders(spark, tmp_path):
+    assert warc.read_archive(spark, str(tmp_path)).count() == 0
+    with pytest.raises(Exception, match="(?i)no such file|not found|does not exist"):
+        warc.read_archive(spark, str(tmp_path / "missing")).count()
+
+
+def brute_url(url, rules, vocabulary):
+    """Host, path, rule, verdict and counts by their definitions, one url at a time."""
+    url = url or ""
+    low = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
+    host = path = ""
+    if "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = low(host)
+    fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    _, _, rule, verdict = max(fits, default=(0, 0, None, None))
+    found = [w for t, w in vocabulary.items() if re.search(f"(?<![a-z0-9A-Z]){re.escape(t)}(?![a-z0-9A-Z])", low(url))]
+    return host, path, rule, verdict or ("block" if sum(found) > 0.999 else "allow"), sum(w >= 1 for w in found), sum(w < 1 for w in found)
+
+
+URLS = [
+    None, "", "x", "HTTP://A.Org?x#y", "http://www.example.org/es/x", "http://example.org/en/12", "http://xorg/", "http://a.com/fr/", "http://a.com/de/x?y", "http://x/casino-bet", "http://x/betting/alphabet", "http://x/bet?bet=poker",
+    "a://b://c/d", "http://É.org/é", "://org/", "http://x.net/POKER/Slots", "http://a.com/fr", "http://x.net/line\nbreak/porn", "ſ://xxx",
+]
+
+
+@pytest.mark.parametrize(("rules", "vocabulary"), [(urls.RULES, urls.VOCABULARY), ((), urls.VOCABULARY), (urls.RULES, {}), ((("net", "/line", "allow"), ("x.net", "/l", "block")), {"poker": 0.4, "slots": 0.6, "é": 1.0})])
+def test_urls(spark, rules, vocabulary):
+    rows = [*enumerate(URLS), (None, "http://x/poker/slots"), (3, "x"), (3, "x")]
+    pages = spark.createDataFrame([(i, u, "h", "z") for i, u in rows], "page_id long, url string, html string, host string")
+    got = collections.Counter(tuple(r) for r in urls.filter_urls(pages, rules, vocabulary).collect())
+    assert got == collections.Counter((i, *brute_url(u, rules, vocabulary)) for i, u in rows)
+    assert urls.filter_urls(pages.where("false"), rules, vocabulary).count() == 0
+
+
+def test_url_vocabulary_from_a_file(spark, tmp_path, monkeypatch):
+    (tmp_path / "terms.csv").write_text("term,weight\nCasino,1\nbet,0.5\nBET,0.25\n,1\nzero,0\nnone,\n")
+    assert urls.read_vocabulary(spark, str(tmp_path / "terms.csv")) == {"casino": 1.0, "bet": 0.5}
+    monkeypatch.setattr(urls, "MOST_TERMS", 1)
+    with pytest.raises(ValueError):
+        urls.read_vocabulary(spark, str(tmp_path / "terms.csv"))
 
 
 def brute_score(item, t):
@@ -376,6 +445,137 @@ def test_classifier_on_held_out_labels(spark):
     assert 0 <= net.score(pa.array([long, "", None]))[0] <= 1
 
 
+def loop_score(net, raw):
+    """The network's probability for one text's bytes, chunk by chunk, place by place, byte by byte."""
+    bests, at = [], 0
+    while True:
+        chunk = raw[at : at + classifier.CHUNK]
+        row = np.frombuffer(chunk.ljust(classifier.CHUNK, b"\xff"), np.uint8)
+        seen, marks = {}, []
+        for i in range(classifier.CHUNK):
+            run = bytes(row[i : i + 4]) if i <= classifier.CHUNK - 4 else i
+            back = i - seen[run] if run in seen else 0
+            marks.append(0 if not back or i >= len(chunk) else 1 if back <= 32 else 2 if back <= 192 else 3)
+            seen[run] = i
+        symbol = row.astype(int) * 4 + np.array(marks)
+        places = [sum(net.filters[k, symbol[p + k]] for k in range(classifier.WIDTH)) for p in range(classifier.CHUNK - classifier.WIDTH + 1)]
+        bests.append(np.max(places, axis=0))
+        at += classifier.STRIDE
+        if at + classifier.CHUNK - classifier.STRIDE >= len(raw):
+            break
+    active = np.maximum(np.array(bests) + net.bias, 0)
+    z = active.mean(0) @ net.mean + active.max(0) @ net.top + net.offset
+    return 1 / (1 + math.exp(-z))
+
+
+def test_classifier_by_loops():
+    net = classifier.Network()
+    net.bias += R.normal(size=len(net.bias)).astype(np.float32) * 0.1
+    texts = ["", "a", text(30), "same same " * 60, "é" * 700, text(900), "x" * 1024, "y" * 1025, None]
+    want = [loop_score(net, (t or "").encode()) for t in texts]
+    assert net.score(pa.array(texts)) == pytest.approx(want, abs=1e-4)
+
+
+def test_classifier_on_a_very_long_text():
+    net, long = classifier.Network(), "some words " * 420_000 + text(3000)
+    assert len(long) > 1 << 22
+    data, offsets = words.text_buffer(pa.array([long]))
+    z = net.logits(*classifier.symbols(data, offsets))[0]
+    assert net.score(pa.array([long]))[0] == pytest.approx(1 / (1 + math.exp(-float(z))), abs=1e-5)
+
+
+def test_classifier_sample_is_bounded(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"text {i}") for i in range(400)] + [(7, "z" * 300), (9, None), (None, "no id"), (401, "w" * 5000)]
+    marks = [(i, i % 2) for i in range(402)] + [(3, None), (4, 1), (None, 1), (900, 1), (11, 5)]
+    docs, labels = docs_of(spark, rows), spark.createDataFrame([(i, q, "x") for i, q in marks], "doc_id long, quality int, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    label = {i: max(q for d, q in marks if d == i and q in (0, 1)) for i, _ in marks if i is not None and not held(i)}
+    order = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i in label], "i long").select("i", F.xxhash64("i")).collect()}
+    for most, limit in ((20, 1 << 20), (1000, 1 << 20), (50, 400)):
+        want = collections.Counter()
+        for q in (0, 1):
+            used = 0
+            for i in sorted((i for i in label if label[i] == q and any(d == i and len(t or "") <= limit // 2 for d, t in rows)), key=lambda i: (order[i], i))[:most]:
+                own = min((t or "" for d, t in rows if d == i and len(t or "") <= limit // 2), key=len)
+                if used + len(own) <= limit // 2:
+                    want[own, q] += 1
+                    used += len(own)
+        texts, y, weights = classifier.sample(docs, labels, most, limit)
+        assert collections.Counter(zip(texts, y.astype(int).tolist(), strict=True)) == want
+        assert weights.sum() == pytest.approx(len(weights))
+    assert classifier.sample(docs, labels.where("false"))[0] == [] and classifier.sample(docs.where("false"), labels)[0] == []
+    assert classifier.classify(docs.where("false"), classifier.fit(docs, labels.where("false"))).count() == 0
+
+
+def test_packing_needs_few_sequences(spark):
+    """Plans of small sets of lengths against the least number of sequences, by search."""
+
+    def least(lengths, capacity):
+        best, order = len(lengths), sorted(lengths, reverse=True)
+
+        def place(i, gaps):
+            nonlocal best
+            if len(gaps) >= best:
+                return
+            if i == len(order):
+                best = len(gaps)
+                return
+            for g in set(gaps):
+                if g >= order[i]:
+                    rest = list(gaps)
+                    rest.remove(g)
+                    place(i + 1, [*rest, g - order[i]])
+            place(i + 1, [*gaps, capacity - order[i]])
+
+        place(0, [])
+        return best
+
+    for _ in range(60):
+        lengths = R.integers(1, 31, int(R.integers(1, 9)))
+        got = packing.plan(np.bincount(lengths, minlength=31), 30)["sequences"][0]
+        assert least(lengths.tolist(), 30) <= got <= least(lengths.tolist(), 30) + 1
+
+
+def test_packing_of_a_very_long_text():
+    ids = packing.token_ids(packing.default_tokenizer())
+    long = " ".join(f"word{i % 977} naïve" for i in range(130_000)) + "  end\n\n"
+    assert len(long) > 1 << 20
+    assert ids.encode([long])[0] == np.array(ids.tokenizer.encode(long, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+ALL_SECRETS = [(r.kind, re.compile(r.pattern, (re.I if r.any_case else 0) | re.A), r.group, r.least) for r in (*secrets.BASE_RULES, *secrets.MORE_RULES)]
+
+
+def all_spans(t):
+    return sorted((m.start(), k, m.end()) for k, (_, pattern, group, least) in enumerate(ALL_SECRETS) for m in pattern.finditer(t) if len(m[group]) >= least)
+
+
+def redacted(t):
+    out, at = [], 0
+    for a, _, b in all_spans(t):
+        if a >= at:
+            out += [t[at:a], secrets.MARK]
+        at = max(at, b)
+    return "".join([*out, t[at:]])
+
+
+MORE_SECRETS = [
+    "-----BEGIN RSA PRIVATE KEY----- x -----BEGIN PRIVATE KEY-----", "ghp_" + "aB3" * 12, "ghx_" + "a" * 36, "xoxb-12345-abcdefgh", "xoxb-1", "token=ghp_" + "a1" * 18, "secret: AKIA" + "Z" * 16 + " " + "0f" * 20,
+    " ".join(f"token=abcdefgh{i} é" for i in range(3000)),
+]
+
+
+def test_all_kinds_of_secrets(spark):
+    rows = list(enumerate([*SECRETS, *MORE_SECRETS])) + ODD
+    found = secrets.scan_secrets(docs_of(spark, rows)).collect()
+    got = collections.Counter((r.doc_id, tuple((x.start, x.kind, x.end) for x in r.found)) for r in found)
+    assert got == collections.Counter((i, tuple(all_spans(t or ""))) for i, t in rows)
+    clean = collections.Counter((r.doc_id, r.text) for r in secrets.redact_secrets(docs_of(spark, rows)).collect())
+    assert clean == collections.Counter((i, None if t is None else redacted(t)) for i, t in rows)
+
+
 def test_empty_tables(spark):
     docs = docs_of(spark, [(1, "x")]).where("doc_id = 2")
     assert jaccard.ngram_jaccard_join(docs).count() == 0
@@ -385,6 +585,9 @@ def test_empty_tables(spark):
     assert secrets.scan_secrets(docs).count() == 0
     assert decontaminate.contamination(docs, docs.selectExpr("doc_id AS item_id", "text")).count() == 0
     assert topk.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), "true").count() == 0
+    assert jaccard.keep_one(docs).count() == 0 and jaccard.link_counts(docs).count() == 0 and secrets.redact_secrets(docs).count() == 0
+    assert decontaminate.drop_contaminated(docs, docs.selectExpr("doc_id AS item_id", "text")).count() == 0
+    assert decontaminate.drop_contaminated(docs_of(spark, ODD), docs.selectExpr("doc_id AS item_id", "text")).count() == len(ODD)
     assert warc.read_archive(spark, warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
@@ -394,3 +597,53 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert 100 < out.select("doc_id").distinct().count() < 200
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    """Every stage by its definition, on a folder with copies, a benchmark passage, secrets, odd texts, nulls and clashing columns."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    source = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(5).collect()]
+    rows = [(r.doc_id, " ".join((r.text or "").split()[:250])) for r in source]
+    good = next(t for _, t in rows if len(t.split()) > 120)
+    rows += [(1000, good), (1001, good + " and more"), (1002, f"{good} {items[0][1]}"), (1003, good.replace(good.split()[3], "password: hunter2hunter2", 1)), (1003, good), (None, good + " too"), *ODD]
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1.5, "z", 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, component string, node int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+
+    net = classifier.fit(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    rows = [(i, t) for (i, t), p in zip(rows, net.score(pa.array([t for _, t in rows], pa.large_string())), strict=True) if p >= classifier.THRESHOLD]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in (split(t) for _, t in rows)]
+    label = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = [new if x == old else x for x in label]
+    last = lambda i: math.inf if i is None else i
+    first, kept = {}, []
+    for k, (i, t) in enumerate(rows):
+        if sets[k]:
+            first[label[k]] = min(first.get(label[k], (math.inf, math.inf)), (last(i), k))
+    alone = {(i, t or "") for k, (i, t) in enumerate(rows) if not sets[k]}
+    chosen = [rows[k] for _, k in first.values()] + [next((j, t) for j, t in rows if (j, t or "") == x) for x in alone]
+    passages = [split(t) for _, t in items]
+    for i, t in chosen:
+        w = np.array(split(t), object)
+        hit = any(decontaminate.align(np.array(x, object), w)[0] >= decontaminate.THRESHOLD * 2 * len(x) for x in passages if len(w))
+        if not hit:
+            kept.append((i, redacted(t or "")))
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    want = collections.Counter()
+    for i, t in kept:
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        for n, (start, size) in enumerate(packing.cut(len(ids), 1024)):
+            want[i, n, start, size, zlib.crc32(ids[start : start + size].tobytes())] += 1
+    got = collections.Counter(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "start", "length", "ids_crc32").collect())
+    assert got == want and len(kept) > 15 and 1002 not in {i for i, _ in kept}
+    spark.createDataFrame([], docs.schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
