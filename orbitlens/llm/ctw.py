@@ -28,7 +28,7 @@ from .common import blocks_of, partitions, remainder, saved, table
 #: Preceding bytes in the longest context; at most 5, so that a gram fits 48 bits.
 DEPTH = 5
 #: Bytes of text to a block.
-BLOCK = 24 << 20
+BLOCK = 16 << 20
 #: Blocks that one merge reads.
 FAN_IN = 64
 _FF = np.uint8(255)
@@ -176,7 +176,7 @@ def _stream(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarr
     return out, starts
 
 
-def _gram_chunks(data: np.ndarray, offsets: np.ndarray, depth: int, size: int = 1 << 21):
+def _gram_chunks(data: np.ndarray, offsets: np.ndarray, depth: int, size: int = 1 << 20):
     """For ranges of whole texts: gram of every byte and end (context above, symbol below), and each text's first gram."""
     at = 0
     while at < len(offsets) - 1:
@@ -209,22 +209,24 @@ def _distinct(keys: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray,
     if weight is None or weight.all():
         k = np.sort(keys)
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-        return k[first], np.diff(np.append(first, len(k))).astype(float)
+        return k[first], np.diff(np.append(first, len(k))).astype(np.uint32)
     a, n = _distinct(keys[weight], None)
     b, m = _distinct(keys[~weight], None)
-    return _merge([a, b], [n, np.zeros(len(m))])
+    return _merge([a, b], [n, np.zeros_like(m)])
 
 
 def _block_keys(data, offsets, train, depth):
-    """The sorted distinct grams and words of a block, with training counts."""
+    """The sorted distinct grams and words of a block, with training counts; chunks of like size are merged as they come, which bounds the memory."""
     grams, words = [], []
     for at, stop, codes, first in _gram_chunks(data, offsets, depth):
         grams.append(_distinct(codes, np.repeat(train[at:stop], np.diff(first))))
+        while len(grams) > 1 and len(grams[-2][0]) < 2 * len(grams[-1][0]):
+            grams[-2:] = [_merge(*map(list, zip(*grams[-2:], strict=True)))]
     starts, ends, first = W.word_bounds(data, offsets)
     for a, b in W.slices(first, 1 << 19):
         h = W.hash_words(data, starts[first[a] : first[b]], ends[first[a] : first[b]], True)
         words.append(_distinct(h, np.repeat(train[a:b], np.diff(first[a : b + 1]))))
-    words.append((np.array([_END]), np.array([float(train.sum())])))
+    words.append((np.array([_END]), np.array([train.sum()], np.uint32)))
     return _merge(*map(list, zip(*grams, strict=True))) if grams else _merge([], []), _merge(*map(list, zip(*words, strict=True)))
 
 
@@ -393,8 +395,8 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     merged = merged.groupBy("part").applyInArrow(_merge_group, "part int, salt long, keys binary, counts binary")
     model = saved(merged.mapInArrow(functools.partial(_model_rows, depth=depth, parts=parts), _MODEL), "ctw-model")
     total, seen = model.where(F.col("part") >= parts).agg(F.sum("total"), F.sum("seen")).first()
-    top = model.where(F.col("part") < parts).select(F.explode(F.arrays_zip("node", "a", "b", "logs")).alias("x")).groupBy("x.node").agg(F.sum("x.a"), F.sum("x.b"), F.sum("x.logs")).toPandas()
-    top = top_nodes(top["node"].to_numpy(np.int64), *(top.iloc[:, i].to_numpy(float) for i in (1, 2, 3)))
+    top = model.where(F.col("part") < parts).select(F.explode(F.arrays_zip("node", "a", "b", "logs")).alias("x")).groupBy("x.node").agg(F.sum("x.a"), F.sum("x.b"), F.sum("x.logs")).toArrow()
+    top = top_nodes(top.column(0).to_numpy().astype(np.int64), *(top.column(i).to_numpy().astype(float) for i in (1, 2, 3)))
     final = model.select("part", "keys", "counts", "ones").mapInArrow(functools.partial(_final_rows, depth=depth, parts=parts, top=top), "part int, keys binary, answers binary")
     salts = max(1, -(-blocks // FAN_IN))
     final = final.select("part", F.lit(None).cast("long").alias("block"), "keys", "answers", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
