@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from orbitlens.llm.classifier import fit, keep_good
-from orbitlens.llm.common import saved, table
+from orbitlens.llm.common import discard, saved, scratch, table
 from orbitlens.llm.decontaminate import drop_contaminated
 from orbitlens.llm.jaccard import keep_one
 from orbitlens.llm.packing import pack_documents
@@ -47,7 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; each one's rows are written, and its predecessor's and its own scratch tables go then."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as own:
+            docs = own.keep(saved(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
