@@ -14,11 +14,11 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import remainder, table
+from .common import release, remainder, table
 
 CHUNK, STRIDE, WIDTH, FILTERS = 1024, 896, 8, 12
 #: Bounds of the training sample: rows of each class, and bytes of text in all.
@@ -98,8 +98,8 @@ class Network:
         out = np.empty(len(offsets) - 1)
         at = 0
         while at < len(out):
-            stop = max(int(np.searchsorted(offsets, offsets[at] + (1 << 19), "right")) - 1, at + 1)
-            stop = min(stop, at + 256)
+            stop = max(int(np.searchsorted(offsets, offsets[at] + (1 << 18), "right")) - 1, at + 1)
+            stop = min(stop, at + 128)
             out[at:stop] = self._scores(data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at])
             at = stop
         return out
@@ -179,13 +179,23 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS, limit: int = BY
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sized = docs.select("doc_id", F.struct(F.octet_length(text).alias("size"), F.xxhash64(text).alias("hash")).alias("x")).where(F.col("x.size") <= limit // 2)
     least = sized.join(marks, "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).withColumn("order", F.xxhash64("doc_id"))
-    first = Window.partitionBy("quality").orderBy("order", "doc_id")
-    ranked = least.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows)
-    chosen, used = {}, dict.fromkeys(counts, 0)
-    for r in sorted(ranked.select("doc_id", "quality", "rank", "x.size", "x.hash").collect(), key=lambda r: (r["quality"], r["rank"])):
-        if used[r["quality"]] + r["size"] <= limit // 2:
-            chosen[r["doc_id"], r["hash"]] = r["quality"]
-            used[r["quality"]] += r["size"]
+    found: dict[int, list] = {}
+    part = {label: 2 * rows / n for label, n in counts.items()}
+    while part:  # hashes are even, so about twice the rows wanted lie below the first bound; labels without a document take another turn
+        below = [(F.col("quality") == label) & (F.col("order") <= min(int(share * 2**64) - 2**63, 2**63 - 1)) for label, share in part.items()]
+        got = least.where(functools.reduce(lambda a, b: a | b, below)).select("order", "doc_id", "quality", "x.size", "x.hash").collect()
+        for label in [*part]:
+            found[label] = sorted((r for r in got if r["quality"] == label), key=lambda r: (r["order"], r["doc_id"]))[:rows]
+            part[label] *= 4
+            if len(found[label]) == rows or part[label] >= 4:
+                del part[label]
+    chosen = {}
+    for label, ranked in sorted(found.items()):
+        used = 0
+        for r in ranked:
+            if used + r["size"] <= limit // 2:
+                chosen[r["doc_id"], r["hash"]] = label
+                used += r["size"]
     if not chosen:
         return [], np.zeros(0, np.float32), np.zeros(0, np.float32)
     ids, hashes = (sorted({k[i] for k in chosen}) for i in (0, 1))
@@ -207,6 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
         net.train([texts[i] for i in order], y[order], weights[order])
     else:
         net.mean[:], net.top[:] = 0, 0
+    release()
     return net
 
 
@@ -215,6 +226,7 @@ def _score_rows(batches, net: Network, threshold: float):
         score = net.score(batch.column(batch.schema.get_field_index("text")))
         extra = {"score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))}
         yield pa.RecordBatch.from_arrays([*batch.columns, *extra.values()], names=[*batch.schema.names, *extra])
+        release()
 
 
 def classify(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
@@ -230,6 +242,7 @@ def classify(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> Dat
 def _good_rows(batches, net: Network, threshold: float):
     for batch in batches:
         yield batch.filter(pa.array(net.score(batch.column(batch.schema.get_field_index("text"))) >= threshold))
+        release()
 
 
 def keep_good(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:

@@ -247,10 +247,10 @@ def _label(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     first = saved(texts.select("doc_id", "key", "text").mapInArrow(functools.partial(_set_rows, n=n), _SETS), "sets")
     sets = first.where("shingle is null").select("doc_id", "n_shingles", "node", "key")
-    often = first.where("shingle is not null").groupBy("shingle").agg(F.sum("rows").alias("rows")).where("rows >= 4").orderBy(F.desc("rows"), "shingle").limit(FREQUENT).toPandas()
-    keys = often["shingle"].to_numpy(np.int64).view(np.uint64)
+    often = first.where("shingle is not null").groupBy("shingle").agg(F.sum("rows").alias("rows")).where("rows >= 4").orderBy(F.desc("rows"), "shingle").limit(FREQUENT).toArrow()
+    keys = often["shingle"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    frequent, counts = keys[order], often["rows"].to_numpy(np.int64)[order]
+    frequent, counts = keys[order], often["rows"].to_numpy().astype(np.int64)[order]
     heads = saved(texts.select("text").mapInArrow(functools.partial(_head_rows, n=n, num=num, den=den, frequent=frequent, counts=counts), _HEADS), "heads")
     # columns in the heads of two classes at least
     shared = heads.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("shingle")
@@ -282,7 +282,7 @@ def _label(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         """Links among the pairs (a, b): only the rows of the matrix that they name are made, from the texts anew."""
         pairs = saved(promising(pairs), "pairs")
         nodes = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-nodes")
-        used = nodes.join(cells.select("node", "key").distinct(), "node").select(F.pmod("key", F.lit(FILTER)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
+        used = nodes.join(cells.select("node", "key").distinct(), "node").select(F.pmod("key", F.lit(FILTER)).alias("bit")).distinct().toArrow()["bit"].to_numpy().astype(np.int64)
         if not len(used):
             return pairs
         bits = np.zeros(FILTER, bool)
@@ -374,7 +374,7 @@ def _inside_links(labelled: DataFrame, docs: DataFrame, n: int, num: int, den: i
     parts = F.greatest(F.ceil(F.count("*") / LINK_BLOCK), F.ceil(F.sum("cells") / LINK_CELLS)).cast("long")
     several = classes.groupBy("component").agg(parts.alias("parts"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
     classes = saved(classes.join(several, "component").drop("cells"), "classes")
-    used = classes.select(F.pmod("key", F.lit(FILTER)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
+    used = classes.select(F.pmod("key", F.lit(FILTER)).alias("bit")).distinct().toArrow()["bit"].to_numpy().astype(np.int64)
     if not len(used):
         return docs.sparkSession.createDataFrame([], "a long, b long, overlap long")
     bits = np.zeros(FILTER, bool)

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import release, saved, table
 
 CAPACITY = 1024
 END_ID = 2
 #: Words whose ids a task remembers; beyond it the earlier half, with most of the frequent ones, stays.
-CACHE = 800_000
+CACHE = 500_000
 _SEGMENT = 1 << 20
 
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -125,6 +125,7 @@ def _pieces(batches, path: str, capacity: int, end_id: int):
                     rows.append((doc, i, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), task, int(met[length])))
                     met[length] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        release()
 
 
 def plan(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
