@@ -253,7 +253,7 @@ def _label(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     frequent, counts = keys[order], often["rows"].to_numpy().astype(np.int64)[order]
     heads = saved(texts.select("text").mapInArrow(functools.partial(_head_rows, n=n, num=num, den=den, frequent=frequent, counts=counts), _HEADS), "heads")
     # columns in the heads of two classes at least
-    shared = heads.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("shingle")
+    shared = saved(heads.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("shingle"), "shared")
     by_node = sets.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.min("doc_id").alias("doc_id"))
     cells = heads.join(shared, "shingle", "left_semi").groupBy("shingle", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     cells = saved(cells.join(by_node, "node").withColumn("rank", F.coalesce("doc_id", "node")).drop("doc_id"), "cells")
@@ -295,14 +295,14 @@ def _label(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         return links
 
     def pivots_of(columns: DataFrame) -> DataFrame:
-        """The cells of each column's least rank."""
-        least = columns.groupBy("shingle").agg(F.min("rank").alias("least"))
-        return columns.join(least, "shingle").where("rank = least").drop("least")
+        """The cells of each column's least rank; written on both sides of the join, so that Spark can split a hot column's rows there and in the next one."""
+        least = saved(columns.groupBy("shingle").agg(F.min("rank").alias("least")), "least")
+        return saved(columns.join(least, "shingle").where("rank = least").drop("least"), "pivots")
 
     def mixed_columns(found: DataFrame) -> DataFrame:
         """The cells of the columns that hold several components, with those."""
         marked = cells.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = marked.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
+        several = saved(marked.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle"), "several")
         return saved(marked.join(several, "shingle", "left_semi"), "mixed")
 
     def widened(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -333,8 +333,8 @@ def _label(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             pairs = pivots_of(ranked).alias("x").join(ranked.alias("y"), apart)
         else:
             # all that is left: pairs across components with an end outside the column's main one
-            home = pivots_of(mixed).groupBy("shingle").agg(F.min("component").alias("home"))
-            outside = mixed.join(home, "shingle").where("component <> home").alias("x")
+            home = saved(pivots_of(mixed).groupBy("shingle").agg(F.min("component").alias("home")), "home")
+            outside = saved(mixed.join(home, "shingle").where("component <> home"), "outside").alias("x")
             apart = same & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("x.home")) | (F.col("x.node") < F.col("y.node"))) & bound("x", "y")
             pairs = outside.join(mixed.alias("y"), apart)
         links = multiplied(pairs.select(*ends("x", "y")).distinct())
