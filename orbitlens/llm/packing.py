@@ -13,6 +13,7 @@ import functools
 import itertools
 import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -86,13 +87,17 @@ class TokenIds:
     def look_up(self, held, out) -> None:
         if len(self.words) > CACHE:
             self.words = dict(itertools.islice(self.words.items(), CACHE // 2))
-        new = list({w for *_, words in held for w in words if w not in self.words})
+        new = list(set().union(*(words for *_, words in held)).difference(self.words))
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+            self.words[w] = _packed(e.ids)
         for i, j, words in held:
             out[i][j] = b"".join(map(self.words.__getitem__, words))
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def token_ids(path: str) -> TokenIds:
     if path not in _tokenizers:
         _tokenizers[path] = TokenIds(path)
