@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 from tests.conftest import SF, canonical
@@ -14,6 +15,17 @@ def test_oracle(spark, duck, name):
     assert canonical(got) == canonical(want)
 
 
+def test_relaxed_search_with_cloudless_scenes(spark, duck, tmp_path):
+    """Scenes without any cloud, or with a share below zero, pass any small limit; none of them may keep the relaxed one from holding."""
+    prices = "CASE WHEN o_orderkey % 50 = 1 THEN 600.0 WHEN o_orderkey % 50 = 2 THEN -1.0 ELSE o_totalprice END::DOUBLE"
+    duck.execute(f"COPY (SELECT * REPLACE ({prices} AS o_totalprice) FROM '{SF}/orders.parquet') TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    want = own.execute(catalog.ORACLES["q_scene_search_relaxed"]).df()
+    assert (want["cloud"] == 0).any() and (want["cloud"] < 0).any() and (want["cloud"] > 20).any()
+    assert canonical(catalog.QUERIES["q_scene_search_relaxed"](spark, str(tmp_path)).toPandas()) == canonical(want)
+
+
 def test_flagship_finds_the_city(spark):
     rows = catalog.flagship(spark, SF).collect()
     assert len(rows) == 1 and rows[0]["pixel_count"] == 6
