@@ -109,7 +109,7 @@ def q_pyramid_level(spark, sf_dir):
     """The second level of a written pyramid: means without the pixels of no data; other levels' files are not opened."""
     from ..scratch import scratch_path
 
-    px = pseudo.pixels(spark, sf_dir).where("k < 2").select("aoi", F.concat(F.lit("S"), F.col("k").cast("string")).alias("scene_id"), "r", "c", F.when((F.col("r") + F.col("c")) % 5 != 0, F.round(F.col("red") * 10000)).otherwise(0).alias("red"), "scl")
+    px = pseudo.pixels(spark, sf_dir, in_order=True).where("k < 2").select("aoi", F.concat(F.lit("S"), F.col("k").cast("string")).alias("scene_id"), "r", "c", F.when((F.col("r") + F.col("c")) % 5 != 0, F.round(F.col("red") * 10000)).otherwise(0).alias("red"), "scl")
     path = scratch_path(spark, "pyramid")
     files.write_pyramid(px, path, (1, 2, 4), ("red",))
     return files.read_pyramid(spark, path, 2).select("scene_id", "r", "c", rounded("red").alias("red"), "scl")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.detect import Frame
@@ -34,10 +34,20 @@ def frame(spark: SparkSession, sf_dir: str) -> Frame:
     return Frame(h, h)
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = side(spark, sf_dir)
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("y"), (F.col("l_orderkey") % h).cast("int").alias("r"), (F.col("l_partkey") % h).cast("int").alias("c"))
-    rows = rows.agg((F.avg("l_quantity") / 50 - 0.5).alias("n1"), (F.avg("l_discount") - 0.05).alias("n2"), (F.avg("l_tax") - 0.04).alias("n3"), (F.avg("l_extendedprice") / 105000 - 0.36).alias("n4"))
+def _avg_in_order(c: str) -> Column:
+    """The mean of a column, added up in the order of the table's files and rows."""
+    values = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("file", "at", c))))
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda total, x: total + x[c]), F.size(values))
+
+
+def pixels(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
+    """The raster's pixels.  Averages are added up as partitions come, so their last bits vary; `in_order` takes the rows as they stand, for bands that are then rounded to whole numbers."""
+    h, avg = side(spark, sf_dir), _avg_in_order if in_order else F.avg
+    rows = table(spark, sf_dir, "lineitem")
+    if in_order:
+        rows = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    rows = rows.groupBy(F.year("l_shipdate").alias("y"), (F.col("l_orderkey") % h).cast("int").alias("r"), (F.col("l_partkey") % h).cast("int").alias("c"))
+    rows = rows.agg((avg("l_quantity") / 50 - 0.5).alias("n1"), (avg("l_discount") - 0.05).alias("n2"), (avg("l_tax") - 0.04).alias("n3"), (avg("l_extendedprice") / 105000 - 0.36).alias("n4"))
     kind = F
     for i, (_, r0, r1, c0, c1, y0, *_) in enumerate(CLASSES):
         kind = kind.when((F.col("r") >= r0 * h) & (F.col("r") < r1 * h) & (F.col("c") >= c0 * h) & (F.col("c") < c1 * h) & (F.col("y") >= y0), F.lit(i))

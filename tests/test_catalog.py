@@ -26,6 +26,23 @@ def test_relaxed_search_with_cloudless_scenes(spark, duck, tmp_path):
     assert canonical(catalog.QUERIES["q_scene_search_relaxed"](spark, str(tmp_path)).toPandas()) == canonical(want)
 
 
+def test_pyramid_of_a_table_in_several_files(spark, tmp_path):
+    """Averages that meet a half when rounded: they must not hang on how the rows are dealt to tasks.  One thread of the SQL's engine adds up in the rows' order."""
+    own = duckdb.connect(config={"threads": 1})
+    (tmp_path / "lineitem.parquet").mkdir()
+    for i in range(8):
+        rows = f"SELECT * EXCLUDE file_row_number REPLACE (CASE WHEN l_linenumber = 7 THEN NULL ELSE l_discount END AS l_discount) FROM read_parquet('{SF}/../sf0.01/lineitem.parquet', file_row_number = true) WHERE file_row_number % 8 = {i}"
+        own.execute(f"COPY ({rows}) TO '{tmp_path}/lineitem.parquet/part-{i}.parquet' (FORMAT parquet)")
+    own.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = canonical(own.execute(catalog.ORACLES["q_pyramid_level"]).df())
+    for size in ("128m", "64k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert canonical(catalog.QUERIES["q_pyramid_level"](spark, str(tmp_path)).toPandas()) == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_flagship_finds_the_city(spark):
     rows = catalog.flagship(spark, SF).collect()
     assert len(rows) == 1 and rows[0]["pixel_count"] == 6
